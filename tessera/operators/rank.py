@@ -171,12 +171,14 @@ def descending_counts(df: DataFrame, score: str, label: str, groups: Sequence[st
                       n_buckets: int | None = None) -> DataFrame:
     """WN4: per distinct score, rows/positives at or above it.
 
-    Columns: groups, v, n, n_pos, tp (positives with score >= v), fp, P, N.
+    Columns: groups, v, n, n_pos, tp (positives with score >= v), fp,
+    pos_total, neg_total.
     """
     df, groups, drop = _grouped(df, groups)
     vc = value_counts(df, score, groups, label)
     ps = prefix_sums(vc, groups, ["n", "n_pos"], descending=True, n_buckets=n_buckets)
-    tot = vc.groupBy(*groups).agg(F.sum("n_pos").alias("P"), (F.sum("n") - F.sum("n_pos")).alias("N"))
+    tot = vc.groupBy(*groups).agg(F.sum("n_pos").alias("pos_total"),
+                                  (F.sum("n") - F.sum("n_pos")).alias("neg_total"))
     tp = F.col("cum_n_pos") + F.col("n_pos")
     fp = (F.col("cum_n") + F.col("n")) - tp
     out = ps.select(*groups, "v", "n", "n_pos", tp.alias("tp"), fp.alias("fp"))
@@ -187,8 +189,8 @@ def average_precision(df: DataFrame, score: str, label: str, groups: Sequence[st
                       n_buckets: int | None = None) -> DataFrame:
     """AG20: step-wise AP = sum over distinct thresholds of dRecall * precision."""
     dc = descending_counts(df, score, label, groups, n_buckets)
-    term = F.col("n_pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    return dc.where(F.col("P") > 0).groupBy(*groups).agg(F.sum(term).alias("average_precision"))
+    term = F.col("n_pos") / F.col("pos_total") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    return dc.where(F.col("pos_total") > 0).groupBy(*groups).agg(F.sum(term).alias("average_precision"))
 
 
 def bh_adjust(df: DataFrame, p: str, groups: Sequence[str] = (),

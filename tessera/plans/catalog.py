@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import panel  # noqa: F401
+from tessera.plans import evaluation, panel  # noqa: F401
 from tessera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -66,11 +66,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "event_type")
     y = F.when(F.col("event_type").isin("purchase", "signup"), 1).otherwise(0)
     eid = F.col("event_id")
-    p_a = (F.pmod(mul_mod32(eid, 2654435761), F.lit(700)) + 300 * F.col("y")) / 1000.0
-    p_b = (F.pmod(F.pmod(eid * 40503 + 7, F.lit(65536)), F.lit(800)) + 200 * F.col("y")) / 1000.0
-    return (ev.select(eid.alias("id"), y.alias("y"), F.pmod(eid, F.lit(5)).alias("fold"))
-            .withColumn("p_a", p_a.cast("double"))
-            .withColumn("p_b", p_b.cast("double")))
+    p_a = (F.pmod(mul_mod32(eid, 2654435761), F.lit(700)) + 300 * y) / 1000.0
+    p_b = (F.pmod(F.pmod(eid * 40503 + 7, F.lit(65536)), F.lit(800)) + 200 * y) / 1000.0
+    return ev.select(eid.alias("id"), y.alias("y"), F.pmod(eid, F.lit(5)).alias("fold"),
+                     p_a.cast("double").alias("p_a"), p_b.cast("double").alias("p_b"))
 
 
 def scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
