@@ -230,11 +230,11 @@ def ag34_split_summary(spark, sf_dir):
 d AS (SELECT f.model, f.metric, f.fold, f.value - b.bv AS d
       FROM frame f JOIN base_rung b ON f.fold = b.fold AND f.metric = b.metric WHERE f.model <> 'a'),
 nz AS (SELECT *, abs(d) AS ad FROM d WHERE d <> 0),
-rk AS (SELECT *, rank() OVER (PARTITION BY model, metric ORDER BY ad)
+rk_abs AS (SELECT *, rank() OVER (PARTITION BY model, metric ORDER BY ad)
                  + (count(*) OVER (PARTITION BY model, metric, ad) - 1) / 2.0 AS r FROM nz),
 ws AS (SELECT model, metric, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus,
               sum(CASE WHEN d < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus, count(*) AS n_nonzero
-       FROM rk GROUP BY ALL),
+       FROM rk_abs GROUP BY ALL),
 dl AS (SELECT model, metric, avg(d) AS delta, count(*) AS n_pairs FROM d GROUP BY ALL)
 SELECT dl.model, dl.metric, round(delta, 6) AS delta, n_pairs, round(w_plus, 6) AS w_plus,
        round(w_minus, 6) AS w_minus, n_nonzero, round(least(w_plus, w_minus), 6) AS w_stat
