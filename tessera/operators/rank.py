@@ -62,9 +62,10 @@ def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = Non
 
 def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
                 order_col: str = "v", descending: bool = False,
-                n_buckets: int | None = None) -> DataFrame:
+                n_buckets: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """For each row, ``cum_<m>`` = sum of ``m`` over rows strictly before it
     in ``order_col`` order within ``groups`` (exclusive prefix sum).
+    ``tiebreak`` columns order rows with equal ``order_col`` (ascending).
 
     Works bucket-wise: a window inside (groups, bucket) and an offset from a
     (groups x buckets)-row totals table.
@@ -73,7 +74,7 @@ def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     b = add_buckets(vc, order_col, n_buckets)
     bucket_order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
-    w_in = Window.partitionBy(*groups, BUCKET).orderBy(order) \
+    w_in = Window.partitionBy(*groups, BUCKET).orderBy(order, *[F.col(t).asc() for t in tiebreak]) \
         .rowsBetween(Window.unboundedPreceding, -1)
     within = b.select("*", *[F.coalesce(F.sum(m).over(w_in), F.lit(0)).alias(f"_in_{m}")
                              for m in measures])
