@@ -78,7 +78,8 @@ dose AS (
 EMB_LONG = """
 emb_long AS (
   SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y,
-         generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS value
+         ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT % 5 <> 0 AS is_train,
+         unnest(range(len(embedding)))::INTEGER AS j, unnest(embedding)::DOUBLE AS value
   FROM embeddings)
 """
 
