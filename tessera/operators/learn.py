@@ -29,8 +29,13 @@ LOGISTIC_C = 1.0
 
 
 def assemble(df: DataFrame, arrays: Sequence[str], out: str = "features") -> DataFrame:
-    """PR7/FX6: concatenate array blocks into one ML vector (JVM-side)."""
-    cat = F.concat(*[F.col(a) for a in arrays]) if len(arrays) > 1 else F.col(arrays[0])
+    """PR7/FX6: concatenate array blocks (or scalar columns) into one ML
+    vector, JVM-side."""
+    from pyspark.sql.types import ArrayType
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts = [F.col(a) if isinstance(types[a], ArrayType) else F.array(F.col(a).cast("double"))
+             for a in arrays]
+    cat = F.concat(*parts) if len(parts) > 1 else parts[0]
     return df.withColumn(out, array_to_vector(cat))
 
 
@@ -133,6 +138,9 @@ def cv_predictions(df: DataFrame, fold_col: str, fitter: Fitter, model: str,
                    threads: int = 4) -> DataFrame:
     """ML13/ML14: out-of-fold predictions; every row is scored once by the
     model that did not see its fold.  Returns (fold, model, id, y, p)."""
+    from pyspark import StorageLevel
+    # every fold's fit reads the same assembled rows: compute their lineage once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
     tasks = []
     for f in folds:
@@ -140,7 +148,10 @@ def cv_predictions(df: DataFrame, fold_col: str, fitter: Fitter, model: str,
         te = df.where(F.col(fold_col) == f)
         tasks.append(({"fold": int(f), "model": model},
                       (lambda tr=tr, te=te: fitter(tr, te))))
-    return run_parallel(tasks, threads)
+    out = run_parallel(tasks, threads).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    df.unpersist()
+    return out
 
 
 def cv_score(oof: DataFrame, task: str = "classification") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import cohorts, denoising, evaluation, panel, similarity, splits  # noqa: F401
+from tessera.plans import (cohorts, denoising, evaluation, learning, panel,  # noqa: F401
+                           similarity, splits)
 from tessera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
