@@ -2,13 +2,13 @@
 
 Input is a long table (cohort, target, score) whose missing scores are
 already dropped per target.  One map-side-combined value-count table
-(target, cohort, v) -> n feeds both the exact medians and the rank test, so
-the row-sized data is shuffled once.
+(target, v) -> count per cohort, scanned once with bucketed prefix sums,
+feeds both the exact medians of every cohort and the rank test, so the
+row-sized data is shuffled once and windowed once.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,29 +16,52 @@ from tessera.functions.stats import normal_two_sided_p
 from tessera.operators import rank
 
 
-def cohort_value_counts(long: DataFrame, target: str = "target", cohort: str = "cohort",
-                        value: str = "score") -> DataFrame:
-    """(target, cohort, v, n): ties collapsed; reused by every statistic below."""
-    return (long.groupBy(target, cohort, F.col(value).alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-
-
-def group_medians(vc: DataFrame, target: str = "target", cohort: str = "cohort") -> DataFrame:
-    """AG3: exact interpolated median and row count per (target, cohort)."""
-    med = rank.quantile_from_counts(vc, [target, cohort], 0.5)
-    cnt = vc.groupBy(target, cohort).agg(F.sum("n").alias("n"))
-    return med.join(cnt, [target, cohort]).withColumnRenamed("quantile", "median")
-
-
-def rank_test(vc: DataFrame, target: str = "target", cohort: str = "cohort",
-              active: str = "active", inactive: str = "inactive") -> DataFrame:
-    """AG7: Mann-Whitney U of active vs inactive per target (U, tie term, z, AUC)."""
-    two = (vc.where(F.col(cohort).isin(active, inactive))
-           .groupBy(target, "v")
-           .agg(F.sum("n").alias("n"),
-                F.sum(F.when(F.col(cohort) == active, F.col("n")).otherwise(0)).alias("n_pos")))
-    return rank.rank_test_from_counts(two, [target])
+COHORTS = ("active", "inactive", "screen")
+
+
+def target_scan(long: DataFrame, target: str = "target", cohort: str = "cohort",
+                value: str = "score", cohorts=COHORTS) -> DataFrame:
+    """One value-count row per (target, v) with a count column per cohort and
+    the exclusive prefix sums of each count in ascending v within the target.
+
+    This single bucketed scan serves the medians of every cohort and the
+    rank test (average ranks over active + inactive)."""
+    counts = [F.count_if(F.col(cohort) == c).alias(f"n_{c}") for c in cohorts]
+    vc = long.where(F.col(value).isNotNull()).groupBy(target, F.col(value).alias("v")).agg(*counts)
+    return rank.prefix_sums(vc, [target], [f"n_{c}" for c in cohorts])
+
+
+def target_stats(scan: DataFrame, target: str = "target", cohorts=COHORTS,
+                 active: str = "active", inactive: str = "inactive") -> DataFrame:
+    """Per target: rows and exact interpolated median per cohort (AG3), and
+    the Mann-Whitney U of active vs inactive with tie term, z and AUC (AG7)."""
+    j = scan
+    aggs = []
+    for c in cohorts:
+        n, cum, N = F.col(f"n_{c}"), F.col(f"cum_n_{c}"), F.col(f"tot_n_{c}")
+        lo = F.floor((N - 1) / 2.0)
+        hi = F.ceil((N - 1) / 2.0)
+        inside = lambda pos: (n > 0) & (pos >= cum) & (pos <= cum + n - 1)
+        aggs += [F.max(F.when(inside(lo), F.col("v"))).alias(f"_lo_{c}"),
+                 F.max(F.when(inside(hi), F.col("v"))).alias(f"_hi_{c}"),
+                 F.first(N).alias(f"_cnt_{c}")]
+    m = F.col(f"n_{active}") + F.col(f"n_{inactive}")
+    avg_rank = F.col(f"cum_n_{active}") + F.col(f"cum_n_{inactive}") + (m + 1) / 2.0
+    md = m.cast("double")
+    aggs += [F.sum(F.col(f"n_{active}") * avg_rank).alias("_r1"),
+             F.sum(md * md * md - md).alias("tie_term")]
+    st = j.groupBy(target).agg(*aggs)
+    out = st.select(target, "tie_term", "_r1",
+                    *[F.col(f"_cnt_{c}").cast("bigint").alias(f"n_{c}") for c in cohorts],
+                    *[((F.col(f"_lo_{c}") + F.col(f"_hi_{c}")) / 2.0).cast("double").alias(f"median_{c}")
+                      for c in cohorts])
+    n1, n0 = F.col(f"n_{active}").cast("double"), F.col(f"n_{inactive}").cast("double")
+    nn = n1 + n0
+    u1 = F.col("_r1") - n1 * (n1 + 1) / 2.0
+    sigma = F.sqrt(n1 * n0 / 12.0 * ((nn + 1) - F.col("tie_term") / (nn * (nn - 1))))
+    out = out.withColumn("u_pos", u1).withColumn("u_neg", n1 * n0 - u1)
+    return (out.withColumn("z", F.try_divide(F.greatest("u_pos", "u_neg") - n1 * n0 / 2.0 - 0.5, sigma))
+            .withColumn("auc", F.try_divide(F.col("u_pos"), n1 * n0)).drop("_r1"))
 
 
 def compare_targets(long: DataFrame, dims: DataFrame, with_p: bool = True,
@@ -46,27 +69,21 @@ def compare_targets(long: DataFrame, dims: DataFrame, with_p: bool = True,
     """Entry 1: per target medians by cohort, shift, rank test and (optionally)
     p-values with Benjamini-Hochberg adjustment across targets.
 
-    ``dims`` is the target dimension (ord, target, role); it has one row per
-    target, so joining it is a broadcast of a fixed-size table.
-    """
-    vc = cohort_value_counts(long)
-    med = group_medians(vc)
-    wide = med.groupBy("target").pivot("cohort", ["active", "inactive", "screen"]).agg(
-        F.first("median").alias("median"), F.first("n").alias("n"))
-    wide = wide.select(
-        "target",
-        F.coalesce(F.col("active_n"), F.lit(0)).cast("bigint").alias("n_active"),
-        F.coalesce(F.col("inactive_n"), F.lit(0)).cast("bigint").alias("n_inactive"),
-        F.coalesce(F.col("screen_n"), F.lit(0)).cast("bigint").alias("n_screen"),
-        F.col("active_median").alias("median_active"),
-        F.col("inactive_median").alias("median_inactive"),
-        F.col("screen_median").alias("median_screen"))
-    wide = wide.withColumn("delta", F.col("median_active") - F.col("median_inactive")) \
-               .withColumn("expected_trend", F.col("delta") < 0)  # PR20
-    rt = rank_test(vc).select("target", F.col("u_pos").alias("u_stat"), "tie_term", "z", "auc")
-    out = F.broadcast(dims).join(wide, "target", "inner").join(rt, "target", "left")
+    Row-sized work: one scan/join, one map-side-combined value count, one
+    bucketed prefix-sum pass; everything after that has one row per target.
+    ``dims`` is the target dimension (ord, target, role): fixed size, broadcast."""
+    st = target_stats(target_scan(long))
+    wide = st.withColumn("delta", F.col("median_active") - F.col("median_inactive")) \
+             .withColumn("expected_trend", F.col("delta") < 0)  # PR20
+    out = F.broadcast(dims).join(wide.withColumnRenamed("u_pos", "u_stat"), "target", "inner")
+    out = out.select("ord", "target", "role", "n_active", "n_inactive", "n_screen", "median_active",
+                     "median_inactive", "median_screen", "delta", "expected_trend", "u_stat", "tie_term",
+                     "z", "auc")
     if not with_p:
         return out
+    # one row per target (dimension-sized): materialise before the p-value UDF
+    # and the BH scan so the row-sized pipeline runs once
+    out = rank._small_table(out)
     out = out.withColumn("p_value", normal_two_sided_p("z"))
     # family = the targets of this comparison (dimension-sized): one bucket suffices
     out = rank.bh_adjust(out, "p_value", [], n_buckets=1)

@@ -81,12 +81,39 @@ def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
     totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     w_off = Window.partitionBy(*groups).orderBy(bucket_order) \
         .rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*groups)
+    # (groups x buckets) rows: offsets of each bucket and the group totals
     offsets = totals.select(*groups, BUCKET,
                             *[F.coalesce(F.sum(f"_t_{m}").over(w_off), F.lit(0)).alias(f"_o_{m}")
-                              for m in measures])
-    out = within.join(offsets, on=[*groups, BUCKET], how="inner")
+                              for m in measures],
+                            *[F.sum(f"_t_{m}").over(w_all).alias(f"tot_{m}") for m in measures])
+    offsets = _small_table(offsets)
+    # a proven-small local table is broadcast; otherwise AQE decides from runtime size
+    out = within.join(F.broadcast(offsets) if _is_local(offsets) else offsets,
+                      on=[*groups, BUCKET], how="inner")
     return out.select(*[c for c in vc.columns], BUCKET,
-                      *[(F.col(f"_o_{m}") + F.col(f"_in_{m}")).alias(f"cum_{m}") for m in measures])
+                      *[(F.col(f"_o_{m}") + F.col(f"_in_{m}")).alias(f"cum_{m}") for m in measures],
+                      *[F.col(f"tot_{m}") for m in measures])
+
+
+SMALL_TABLE_ROWS = 200_000
+
+
+def _small_table(df: DataFrame) -> DataFrame:
+    """Materialise a (groups x buckets)-sized table as a local relation when it
+    is proven small (at most ``SMALL_TABLE_ROWS`` rows, checked by fetching one
+    row more); otherwise keep it distributed.  The local copy is what the
+    row-sized side joins against, so the big input is not re-read for it."""
+    rows = df.limit(SMALL_TABLE_ROWS + 1).collect()
+    if len(rows) > SMALL_TABLE_ROWS:
+        return df
+    local = df.sparkSession.createDataFrame(rows, df.schema)
+    local._tessera_local = True  # type: ignore[attr-defined]
+    return local
+
+
+def _is_local(df: DataFrame) -> bool:
+    return bool(getattr(df, "_tessera_local", False))
 
 
 def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.plans import (auditing, cohorts, denoising, dosing, evaluation,  # noqa: F401
-                           io, learning, panel, screening, similarity, splits)
+                           features_q, io, learning, panel, screening, similarity, splits)
 from tessera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

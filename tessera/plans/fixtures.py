@@ -7,12 +7,33 @@ or capped.  The DuckDB oracle builds the same fixtures in SQL
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import identity_key, mul_mod32
 from tessera.sources.tables import table
 
+_MEMO: dict[tuple[str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived input reused by several queries of one session (e.g. the
+    document fingerprints): built once, persisted (memory, spilling to disk;
+    recomputed from lineage if an executor is lost) and memoised per
+    (dataset folder, name).  One entry per input, so repeated queries do not
+    accumulate cached copies."""
+    key = (sf_dir, name)
+    df = _MEMO.get(key)
+    if df is not None and df.sparkSession is spark:
+        return df
+    df = build().persist(StorageLevel.MEMORY_AND_DISK)
+    _MEMO[key] = df
+    return df
+
+
 # The six targets of the F-PANEL fixture, in dimension order
 # (ord, target, role).  Scores per target are defined in ``panel_wide``.
 TARGETS = [

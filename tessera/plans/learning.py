@@ -158,8 +158,30 @@ def ml07_calibration_ablation(spark, sf_dir):
     m = ev.confidence_metrics(preds.where(F.col("rung") != "denoised_only"), "p", "y", ["split_id", "rung"])
     cols = [c for c in m.columns if c not in ("split_id", "rung")]
     frame = m.unpivot(["split_id", "rung"], cols, "metric", "value")
-    summary = ev.split_summary(frame, ["rung", "metric"])
-    return finish(summary)
+    return finish(ev.split_summary(frame.unionByName(_veto_block(preds)), ["rung", "metric"]))
+
+
+def _veto_block(preds):
+    """ML7 veto / fusion block per split: structure score vs the product veto
+    and the mean fusion with the denoised scorer (rates at 0.5, AUC, matched
+    precision at the veto's 0.7 coverage); long (split_id, rung, metric, value)."""
+    w = preds.where(F.col("rung").isin("structure", "denoised_only")) \
+        .groupBy("split_id", "id", "y").pivot("rung", ["structure", "denoised_only"]).agg(F.first("p"))
+    w = w.withColumn("veto", ev.veto("structure", "denoised_only")) \
+         .withColumn("mean_fusion", ev.mean_fusion("structure", "denoised_only"))
+    eff = ev.veto_effect(w, "structure", "veto", "y", ["split_id"], 0.5)
+    rates = eff.unpivot(["split_id"], ["fpr_before", "fpr_after", "recall_before", "recall_after",
+                                       "fpr_reduction_pct"], "metric", "value")
+    lng = w.unpivot(["split_id", "id", "y"], ["structure", "veto", "mean_fusion"], "model", "p")
+    auc = rank.rank_sum_test(lng, "p", "y", ["split_id", "model"]).select(
+        "split_id", F.concat(F.lit("auc_"), F.col("model")).alias("metric"), F.col("auc").alias("value"))
+    n_top = w.groupBy("split_id").agg(F.count_if(F.col("veto") >= 0.7).alias("n_top"))
+    nt = lng.select("split_id", "model").distinct().join(n_top, "split_id")
+    mp = ev.top_n_positives(lng, "p", "y", "id", nt, ["split_id", "model"]).select(
+        "split_id", F.concat(F.lit("matched_precision_"), F.col("model")).alias("metric"),
+        F.col("matched_precision").alias("value"))
+    out = rates.unionByName(auc).unionByName(mp)
+    return out.select("split_id", F.lit("veto_block").alias("rung"), "metric", "value")
 
 
 @query("ml08_single_block")

@@ -32,8 +32,11 @@ def pr05_missing_filter(spark, sf_dir):
 SELECT target, cohort, n, {r6('median')} FROM (
   SELECT target, cohort, count(*) AS n, median(score) AS median FROM panel_long GROUP BY ALL)""")
 def ag03_group_medians(spark, sf_dir):
-    vc = compare.cohort_value_counts(fx.panel_long(spark, sf_dir))
-    return finish(compare.group_medians(vc).select("target", "cohort", "n", "median"))
+    st = compare.target_stats(compare.target_scan(fx.panel_long(spark, sf_dir)))
+    parts = [st.select("target", F.lit(c).alias("cohort"), F.col(f"n_{c}").alias("n"),
+                       F.col(f"median_{c}").alias("median")) for c in compare.COHORTS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("n") > 0)
+    return finish(out)
 
 
 _MEDIANS = with_(PANEL_LONG) + """
@@ -105,6 +108,6 @@ SELECT target, n_pos, n_neg, {r6('tie_term', 'u_pos')}, round(nn - u_pos, 6) AS
        round(u_pos / nn, 6) AS auc
 FROM u""")
 def ag07_rank_test(spark, sf_dir):
-    vc = compare.cohort_value_counts(fx.panel_long(spark, sf_dir))
-    return finish(compare.rank_test(vc).select("target", "n_pos", "n_neg", "tie_term", "u_pos",
-                                               "u_neg", "z", "auc"))
+    st = compare.target_stats(compare.target_scan(fx.panel_long(spark, sf_dir)))
+    return finish(st.select("target", F.col("n_active").alias("n_pos"), F.col("n_inactive").alias("n_neg"),
+                            "tie_term", "u_pos", "u_neg", "z", "auc"))
