@@ -201,8 +201,9 @@ def ag26_confidence_metrics(spark, sf_dir):
 
 
 def _metric_frame(spark, sf_dir):
+    """ST3 long frame; undefined metrics (e.g. precision with nothing flagged) are dropped."""
     m = _metrics(spark, sf_dir)
-    return m.unpivot(G, _METRIC_COLS, "metric", "value")
+    return m.unpivot(G, _METRIC_COLS, "metric", "value").where(F.col("value").isNotNull())
 
 
 _FRAME_SQL = "frame AS (UNPIVOT metrics ON " + ", ".join(_METRIC_COLS) + \
