@@ -89,32 +89,39 @@ def _top_rows(sim: np.ndarray, kk: int) -> np.ndarray:
     return out
 
 
+REF_BLOCK = 8192
+
+
 def _bitmap_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool,
-                 max_broadcast_bytes: int, n_bits: int = N_BITS) -> DataFrame | None:
+                 max_broadcast_bytes: int, n_bits: int = N_BITS,
+                 ref_block: int = REF_BLOCK) -> DataFrame | None:
     """Top-k neighbours per query against a broadcast, size-checked reference.
 
-    The reference is measured first (one count); it is only collected and
-    broadcast (as sorted position lists) when it fits ``max_broadcast_bytes``,
-    otherwise None is returned and the caller uses the equi-join.  Queries
-    stream through Arrow batches; intersections are a 0/1 matrix product."""
+    The reference is measured first (one aggregation); it is only collected
+    and broadcast (as sorted int16 position lists) when it fits
+    ``max_broadcast_bytes``; otherwise None is returned and the caller uses
+    the equi-join.  Queries stream through Arrow batches; intersections of a
+    query chunk with a block of at most ``ref_block`` references are one 0/1
+    matrix product, and a running top-k is merged block by block, so a
+    task's memory is bounded by one dense block whatever the reference size."""
     stats = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("bits")).alias("s")).first()
     n_ref, n_pos = int(stats["n"]), int(stats["s"] or 0)
-    if n_ref == 0 or n_ref * 24 + n_pos * 4 > max_broadcast_bytes \
-            or n_ref * n_bits * 4 > 4 * max_broadcast_bytes:
+    if n_ref == 0 or n_ref * 24 + n_pos * 2 > max_broadcast_bytes:
+        return None
+    kk = min(k, n_ref - (1 if exclude_self else 0))
+    if kk <= 0:
         return None
     ref = r.select("rid", "bits").toPandas().sort_values("rid", kind="stable")
     payload = (ref["rid"].to_numpy(dtype=np.int64),
                [np.asarray(b, dtype=np.int16) for b in ref["bits"]])
     bc = q.sparkSession.sparkContext.broadcast(payload)
-    kk = min(k, n_ref - (1 if exclude_self else 0))
-    if kk <= 0:
-        return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rids, rbits = bc.value
-        rm = _dense(rbits, n_bits)
-        rs = rm.sum(axis=1).astype(np.int64)
-        step = max(1, min(1024, (64 << 20) // max(1, 4 * len(rids))))
+        rs = np.array([len(b) for b in rbits], dtype=np.int64)
+        blocks = [(b0, min(b0 + ref_block, len(rids))) for b0 in range(0, len(rids), ref_block)]
+        dense_once = _dense(rbits, n_bits) if len(blocks) == 1 else None
+        step = max(1, min(1024, (32 << 20) // max(1, 4 * min(len(rids), ref_block))))
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -123,16 +130,26 @@ def _bitmap_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool,
                 qids = qids_all[s:s + step]
                 qm = _dense(list(pdf["bits"].iloc[s:s + step]), n_bits)
                 qs = qm.sum(axis=1).astype(np.int64)
-                inter = np.rint(qm @ rm.T).astype(np.int64)
-                union = qs[:, None] + rs[None, :] - inter
-                sim = np.where(union > 0, inter / np.maximum(union, 1), 0.0)
-                if exclude_self:
-                    sim = np.where(qids[:, None] == rids[None, :], -1.0, sim)
-                idx = _top_rows(sim, kk)
-                rows = np.arange(idx.shape[0])[:, None]
-                yield pd.DataFrame({"qid": np.repeat(qids, kk), "rid": rids[idx].ravel(),
-                                    "inter": inter[rows, idx].ravel(),
-                                    "union_size": union[rows, idx].ravel()})
+                best = None  # (sim, ref index, inter, union), each (nq, <=kk)
+                for b0, b1 in blocks:
+                    rm = dense_once if dense_once is not None else _dense(rbits[b0:b1], n_bits)
+                    inter = np.rint(qm @ rm.T).astype(np.int64)
+                    union = qs[:, None] + rs[None, b0:b1] - inter
+                    sim = np.where(union > 0, inter / np.maximum(union, 1), 0.0)
+                    if exclude_self:
+                        sim = np.where(qids[:, None] == rids[None, b0:b1], -1.0, sim)
+                    idx = _top_rows(sim, min(kk, b1 - b0))
+                    rows = np.arange(idx.shape[0])[:, None]
+                    cand = (sim[rows, idx], idx + b0, inter[rows, idx], union[rows, idx])
+                    if best is not None:
+                        cand = tuple(np.concatenate([a, c], axis=1) for a, c in zip(best, cand))
+                    # keep kk: similarity desc, then reference position (= id order) asc
+                    order = np.lexsort((cand[1], -cand[0]), axis=-1)[:, :kk]
+                    rows = np.arange(order.shape[0])[:, None]
+                    best = tuple(a[rows, order] for a in cand)
+                yield pd.DataFrame({"qid": np.repeat(qids, best[1].shape[1]),
+                                    "rid": rids[best[1]].ravel(),
+                                    "inter": best[2].ravel(), "union_size": best[3].ravel()})
 
     schema = "qid long, rid long, inter long, union_size long"
     res = q.select("qid", "bits").mapInPandas(run, schema)
@@ -143,8 +160,8 @@ def _bitmap_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool,
 
 
 def topk_neighbours(queries: DataFrame, refs: DataFrame, k: int = 1, exclude_self: bool = False,
-                    strategy: str = "auto", max_broadcast_bytes: int = 256 << 20,
-                    salts: int = 64) -> DataFrame:
+                    strategy: str = "auto", max_broadcast_bytes: int = 128 << 20,
+                    salts: int = 64, ref_block: int = REF_BLOCK) -> DataFrame:
     """WN3: the k most similar references per query (Tanimoto), ties by
     reference id.  Inputs: ``queries(qid, bits)``, ``refs(rid, bits)``.
 
@@ -152,7 +169,7 @@ def topk_neighbours(queries: DataFrame, refs: DataFrame, k: int = 1, exclude_sel
     than k overlapping references get fewer rows (callers pad)."""
     res = None
     if strategy in ("auto", "bitmap"):
-        res = _bitmap_topk(queries, refs, k, exclude_self, max_broadcast_bytes)
+        res = _bitmap_topk(queries, refs, k, exclude_self, max_broadcast_bytes, ref_block=ref_block)
         if res is None and strategy == "bitmap":
             raise ValueError("reference side exceeds the broadcast budget")
     if res is None:

@@ -25,10 +25,11 @@ def test_anti_plus_semi_is_everything(spark):
     assert co.decontaminate(scr, lab).count() + co.member_of(scr, lab, "key").count() == scr.count()
 
 
-def test_bitmap_and_equijoin_neighbours_agree(spark):
+@pytest.mark.parametrize("ref_block", [8192, 50])
+def test_bitmap_and_equijoin_neighbours_agree(spark, ref_block):
     q, r, _ = simq._sides(spark, SF_SMALL)
-    a = sm.topk_neighbours(q, r, 5, strategy="bitmap").select("qid", "rid", "nn_rank",
-                                                               F.round("sim", 12).alias("s"))
+    a = sm.topk_neighbours(q, r, 5, strategy="bitmap", ref_block=ref_block).select(
+        "qid", "rid", "nn_rank", F.round("sim", 12).alias("s"))
     b = sm.topk_neighbours(q, r, 5, strategy="equijoin").select("qid", "rid", "nn_rank",
                                                                  F.round("sim", 12).alias("s"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
