@@ -1 +1 @@
-"""tessera."""
+"""tessera: Spark-native screening analytics (see README.md)."""

@@ -1 +1,5 @@
-"""tessera."""
+"""Structured Streaming operators.
+
+The reference performs no streaming work (no stream sources, windows,
+watermarks or stateful operators), so none are provided here.
+"""
