@@ -1,8 +1,8 @@
 """Audit of computed numbers against expected values (JN14, AG42, AG43, ML19).
 
 Computed metrics arrive as a long (metric, computed) table; the expected
-table (metric, expected, tolerance, kind) is small and fixed in size, so the
-join broadcasts it.  A check whose number could not be computed fails; a
+table (metric, expected, tolerance, kind) is small; AQE broadcasts it from
+its measured size.  A check whose number could not be computed fails; a
 claim with any unverifiable condition is false, never assumed true.
 """
 
@@ -15,8 +15,8 @@ KINDS = ("abs", "rel", "min", "max")
 
 
 def expected_join(computed: DataFrame, expected: DataFrame) -> DataFrame:
-    """JN14: expected rows left-joined to computed metrics (expected table broadcast)."""
-    return F.broadcast(expected).join(computed, "metric", "left")
+    """JN14: expected rows left-joined to computed metrics."""
+    return expected.join(computed, "metric", "left")
 
 
 def audit_checks(joined: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def evaluate_claims(checks: DataFrame, claims: DataFrame) -> DataFrame:
 def benchmark_validation(measured: DataFrame, published: DataFrame) -> DataFrame:
     """ML19: measured vs published per endpoint; ``beats`` is direction-aware
     (higher is better for AUC-like metrics, lower for error metrics)."""
-    j = F.broadcast(published).join(measured, ["endpoint", "metric"], "left")
+    j = published.join(measured, ["endpoint", "metric"], "left")
     higher = F.col("metric").isin("auc", "roc_auc", "average_precision", "accuracy")
     beats = F.when(higher, F.col("measured") >= F.col("published")).otherwise(
         F.col("measured") <= F.col("published"))

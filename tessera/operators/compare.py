@@ -71,11 +71,12 @@ def compare_targets(long: DataFrame, dims: DataFrame, with_p: bool = True,
 
     Row-sized work: one scan/join, one map-side-combined value count, one
     bucketed prefix-sum pass; everything after that has one row per target.
-    ``dims`` is the target dimension (ord, target, role): fixed size, broadcast."""
+    ``dims`` is the target dimension (ord, target, role); AQE broadcasts it
+    from its measured size (no unchecked hint)."""
     st = target_stats(target_scan(long))
     wide = st.withColumn("delta", F.col("median_active") - F.col("median_inactive")) \
              .withColumn("expected_trend", F.col("delta") < 0)  # PR20
-    out = F.broadcast(dims).join(wide.withColumnRenamed("u_pos", "u_stat"), "target", "inner")
+    out = dims.join(wide.withColumnRenamed("u_pos", "u_stat"), "target", "inner")
     out = out.select("ord", "target", "role", "n_active", "n_inactive", "n_screen", "median_active",
                      "median_inactive", "median_screen", "delta", "expected_trend", "u_stat", "tie_term",
                      "z", "auc")

@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 BUCKET = "_bucket"
 
 
-def _default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+# Distinct values one window partition may hold; beyond it the scan is split
+# into quantile buckets (sized from the measured count of the value table).
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 8192
+QUANTILE_GRID = 1024
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (),
@@ -43,16 +46,30 @@ def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = Non
     """Attach an order-preserving bucket id from approximate quantiles of ``order_col``.
 
     Boundaries only affect balance, never results: a tie (same value) always
-    lands in one bucket.  The value-count table is persisted because the
-    quantile pass and the scan both read it.
-    """
-    n_buckets = n_buckets or _default_buckets(vc)
-    if n_buckets <= 1:
+    lands in one bucket.  Without an explicit ``n_buckets`` the count of the
+    value table decides: one bucket per ``ROWS_PER_BUCKET`` distinct values
+    (count and quantiles come from the same aggregation job).  The value
+    table is persisted because that job and the scan both read it."""
+    if n_buckets is not None and n_buckets <= 1:
         return vc.withColumn(BUCKET, F.lit(0))
     vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = vc.approxQuantile(order_col, probs, 1.0 / (4 * n_buckets))
-    splits = [float("-inf")] + sorted({float(q) for q in qs}) + [float("inf")]
+    grid = n_buckets or QUANTILE_GRID
+    probs = [i / grid for i in range(1, grid)]
+    v = F.col(order_col).cast("double")
+    row = vc.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(v, probs, 4 * grid).alias("q")).first()
+    if n_buckets is None:
+        n_buckets = min(MAX_BUCKETS, max(1, -(-int(row["n"]) // ROWS_PER_BUCKET)))
+        if n_buckets <= 1:
+            return vc.withColumn(BUCKET, F.lit(0))
+        if n_buckets > grid:  # only at very large scale: a finer grid, one more job
+            probs = [i / n_buckets for i in range(1, n_buckets)]
+            qs = vc.agg(F.percentile_approx(v, probs, 4 * n_buckets)).first()[0]
+        else:
+            qs = [row["q"][int(i * grid / n_buckets) - 1] for i in range(1, n_buckets)]
+    else:
+        qs = row["q"]
+    splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
     if len(splits) < 3:
         return vc.withColumn(BUCKET, F.lit(0))
     b = Bucketizer(splits=splits, inputCol=order_col, outputCol=BUCKET, handleInvalid="keep")

@@ -47,7 +47,7 @@ TARGETS = [
 
 
 def targets(spark: SparkSession) -> DataFrame:
-    """JN3 dimension table (6 rows, fixed size: safe to broadcast)."""
+    """JN3 dimension table (6 rows)."""
     return spark.createDataFrame(TARGETS, "ord int, target string, role string")
 
 
