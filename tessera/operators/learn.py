@@ -115,7 +115,7 @@ Fitter = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def run_parallel(tasks: Sequence[tuple[dict, Callable[[], DataFrame]]],
-                 threads: int = 4) -> DataFrame:
+                 threads: int = 8) -> DataFrame:
     """Run independent fit tasks concurrently; each returns a prediction
     frame, tagged with its literal columns and unioned."""
     def one(t):
@@ -135,7 +135,7 @@ def run_parallel(tasks: Sequence[tuple[dict, Callable[[], DataFrame]]],
 
 
 def cv_predictions(df: DataFrame, fold_col: str, fitter: Fitter, model: str,
-                   threads: int = 4) -> DataFrame:
+                   threads: int = 8) -> DataFrame:
     """ML13/ML14: out-of-fold predictions; every row is scored once by the
     model that did not see its fold.  Returns (fold, model, id, y, p)."""
     from pyspark import StorageLevel

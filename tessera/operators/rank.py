@@ -26,10 +26,21 @@ BUCKET = "_bucket"
 # Distinct values one window partition may hold; beyond it the scan is split
 # into quantile buckets (sized from the measured count of the value table).
 ROWS_PER_BUCKET = 1_000_000
+# below this many distinct values per bucket, splitting costs more than it saves
+MIN_ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 8192
 QUANTILE_GRID = 1024
 
 
+def _bucket_count(spark, n: int) -> int:
+    """Enough buckets for memory (ROWS_PER_BUCKET) and, when the table is large
+    enough, for parallelism (one per shuffle partition)."""
+    par = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    need = -(-n // ROWS_PER_BUCKET)
+    want = min(par, n // MIN_ROWS_PER_BUCKET)
+    return int(min(MAX_BUCKETS, max(1, need, want)))
+
+
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (),
                  label: str | None = None) -> DataFrame:
     """One row per (groups, v): ``n`` rows and ``n_pos`` positives (label 1).
@@ -59,7 +70,7 @@ def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = Non
     row = vc.agg(F.count(F.lit(1)).alias("n"),
                  F.percentile_approx(v, probs, 4 * grid).alias("q")).first()
     if n_buckets is None:
-        n_buckets = min(MAX_BUCKETS, max(1, -(-int(row["n"]) // ROWS_PER_BUCKET)))
+        n_buckets = _bucket_count(vc.sparkSession, int(row["n"]))
         if n_buckets <= 1:
             return vc.withColumn(BUCKET, F.lit(0))
         if n_buckets > grid:  # only at very large scale: a finer grid, one more job
