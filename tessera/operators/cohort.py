@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import with_scalars
+
 ROLES = ("active", "inactive", "screen")
 
 
@@ -41,8 +43,7 @@ def cohort_counts(df: DataFrame, cohort: str = "cohort", key: str = "key") -> Da
     tot = df.agg(F.count_if(F.col(cohort) == "active").alias("_na"),
                  F.count_if(F.col(cohort).isin("active", "inactive")).alias("_nl"))
     share = (F.col("_na") / F.greatest(F.col("_nl"), F.lit(1))).alias("active_share")
-    return out.withColumn("_k", F.lit(0)).join(
-        tot.select(share).withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return with_scalars(out, tot.select(share))
 
 
 def first_occurrence(df: DataFrame, key: str, order: str, cols: Sequence[str] = ()) -> DataFrame:
@@ -182,4 +183,4 @@ def class_balance(df: DataFrame, label: str, group: str) -> DataFrame:
     """AG39: value counts of the label and the number of distinct groups."""
     vc = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     ng = df.select(group).distinct().agg(F.count(F.lit(1)).alias("n_groups"))
-    return vc.withColumn("_k", F.lit(0)).join(ng.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return with_scalars(vc, ng)

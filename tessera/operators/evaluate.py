@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import with_scalars
 from tessera.operators import rank
 
 EPS = 1e-7
@@ -23,10 +24,11 @@ def _c(c: Column | str) -> Column:
 
 
 def join_on_groups(a: DataFrame, b: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on the group keys; ungrouped inputs join on a constant key."""
+    """Equi-join on the group keys; without groups ``b`` is a one-row aggregate
+    attached to every row of ``a``."""
     if groups:
         return a.join(b, list(groups), how)
-    return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k", how).drop("_k")
+    return with_scalars(a, b, how)
 
 
 # ---------------------------------------------------------------- scalar fusions

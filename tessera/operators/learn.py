@@ -20,6 +20,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import with_scalars
 from tessera.operators import rank
 
 # fixed values: learner settings of the reference protocol
@@ -48,8 +49,7 @@ def class_weights(df: DataFrame, y: str = "y", out: str = "w") -> DataFrame:
     """Balanced weights n / (2 n_c) (one small aggregation, joined by label)."""
     c = df.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    w = c.withColumn("_k", F.lit(0)).join(n.withColumn("_k", F.lit(0)), "_k") \
-        .select(y, (F.col("_n") / (2.0 * F.col("_nc"))).alias(out))
+    w = with_scalars(c, n).select(y, (F.col("_n") / (2.0 * F.col("_nc"))).alias(out))
     return df.join(w, y, "inner")
 
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import with_scalars
+
 N_BITS = 2048
 # fixed values: the applicability-domain settings and the overlap bands
 AD_K = 5
@@ -193,8 +195,7 @@ def nearest_neighbour(queries: DataFrame, refs: DataFrame, ref_label: DataFrame,
     the lowest reference id at similarity 0 (explicit padding)."""
     top = topk_neighbours(queries, refs, 1, **kw).select("qid", "rid", "sim")
     first_ref = refs.agg(F.min("rid").alias("_first"))
-    allq = queries.select("qid").withColumn("_k", F.lit(0)) \
-        .join(first_ref.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    allq = with_scalars(queries.select("qid"), first_ref)
     out = allq.join(top, "qid", "left").select(
         "qid", F.coalesce("rid", "_first").alias("rid"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
     return out.join(ref_label, "rid", "left")
@@ -208,8 +209,7 @@ def knn_mean_distance(queries: DataFrame, refs: DataFrame, k: int = AD_K,
     n_ref = refs.agg(F.count(F.lit(1)).alias("_n"))
     top = topk_neighbours(queries, refs, k, exclude_self=exclude_self, **kw)
     agg = top.groupBy("qid").agg(F.sum(1.0 - F.col("sim")).alias("_sd"), F.count(F.lit(1)).alias("_c"))
-    allq = queries.select("qid").withColumn("_k", F.lit(0)) \
-        .join(n_ref.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    allq = with_scalars(queries.select("qid"), n_ref)
     j = allq.join(agg, "qid", "left")
     kk = F.least(F.lit(k), F.col("_n") - (1 if exclude_self else 0))
     found = F.coalesce("_sd", F.lit(0.0))
@@ -241,7 +241,7 @@ def overlap_summary(nn: DataFrame, active_col: str = "nn_active", floor: float =
                   F.avg(F.col(active_col).cast("double")).alias("frac_nn_active"),
                   F.avg((F.col("sim") > floor).cast("double")).alias("frac_nn_similarity_above"))
     med = exact_quantile(nn, "sim", [], 0.5).withColumnRenamed("quantile", "median_nn_similarity")
-    out = base.withColumn("_k", F.lit(0)).join(med.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    out = with_scalars(base, med)
     return out.withColumn("band", band(F.col("frac_nn_active")))
 
 
@@ -254,23 +254,24 @@ def band(x: Column) -> Column:
 
 
 def minhash_join(queries: DataFrame, refs: DataFrame, threshold: float = 0.6,
-                 num_tables: int = 8, seed: int = 42) -> DataFrame:
+                 num_tables: int = 8, seed: int = 42, n_bits: int = N_BITS) -> DataFrame:
     """JN15: approximate similarity join with MinHash LSH, then exact verify.
 
-    Sparse binary vectors come from ``CountVectorizer`` over the positions
-    (JVM-side); candidate pairs from ``MinHashLSH.approxSimilarityJoin``
-    (Jaccard distance < threshold); similarities are then recomputed exactly.
-    Recall is below 1 by design; the exact operators above are the reference."""
-    from pyspark.ml.feature import CountVectorizer, MinHashLSH
+    Sparse binary vectors come from a fixed-vocabulary vectoriser (position i
+    -> index i, JVM-side, deterministic); candidate pairs from
+    ``MinHashLSH.approxSimilarityJoin`` (Jaccard distance < threshold);
+    similarities are then recomputed exactly.  Recall is below 1 by design;
+    the exact operators above are the reference."""
+    from pyspark.ml.feature import MinHashLSH
+
+    from tessera.functions.descriptors import fingerprint_vector
 
     def prep(df, id_col):
-        return df.where(F.size("bits") > 0).select(
+        tok = df.where(F.size("bits") > 0).select(
             id_col, "bits", F.transform("bits", lambda x: x.cast("string")).alias("_tok"))
+        return fingerprint_vector("_tok", "features", n_bits).transform(tok)
 
     qv, rv = prep(queries, "qid"), prep(refs, "rid")
-    cv = CountVectorizer(inputCol="_tok", outputCol="features", binary=True, minDF=1.0).fit(
-        qv.select("_tok").unionByName(rv.select("_tok")))
-    qv, rv = cv.transform(qv), cv.transform(rv)
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=num_tables,
                        seed=seed).fit(rv)
     pairs = model.approxSimilarityJoin(qv, rv, threshold, distCol="jaccard_distance")

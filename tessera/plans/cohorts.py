@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import with_scalars
 from tessera.functions.keys import group_key, identity_key, loose_identity_key, normalise_key
 from tessera.operators import cohort as co
 from tessera.operators import rank
@@ -107,11 +108,8 @@ def ag02_selection_funnel(spark, sf_dir):
                  F.count_if(F.col("cohort") == "screen").alias("n_screen"))
     first = _screen_first(spark, sf_dir)
     dec = co.decontaminate(first, _labelled(spark, sf_dir))
-    k = F.lit(0).alias("_k")
-    out = base.select("*", k) \
-        .join(first.agg(F.count(F.lit(1)).alias("n_screen_dedup")).select("*", k), "_k") \
-        .join(dec.agg(F.count(F.lit(1)).alias("n_screen_decontaminated")).select("*", k), "_k")
-    return out.drop("_k")
+    out = with_scalars(base, first.agg(F.count(F.lit(1)).alias("n_screen_dedup")))
+    return with_scalars(out, dec.agg(F.count(F.lit(1)).alias("n_screen_decontaminated")))
 
 
 @query("wn02_first_occurrence", with_(DOCS) + _DECON_SQL + """
@@ -293,8 +291,7 @@ def fx04_identity_levels(spark, sf_dir):
     n1 = k.select("k1").distinct().agg(F.count(F.lit(1)).alias("n_keys_exact"))
     n2 = k.select("k2").distinct().agg(F.count(F.lit(1)).alias("n_keys_loose"))
     n = d.agg(F.count(F.lit(1)).alias("n_rows"))
-    z = F.lit(0).alias("_k")
-    return n1.select("*", z).join(n2.select("*", z), "_k").join(n.select("*", z), "_k").drop("_k")
+    return with_scalars(with_scalars(n1, n2), n)
 
 
 @query("fx03_group_keys", """

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import with_scalars
 from tessera.operators import denoise as dn
 from tessera.operators import evaluate as ev
 from tessera.operators import learn as ln
@@ -127,8 +128,7 @@ def ml06_feature_ablation(spark, sf_dir):
     order = {v: i for i, (v, _) in enumerate(RUNGS)}
     ordc = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])
     best = res.agg(F.max(F.struct("auc", (-ordc[F.col("variant")]).alias("_o"), "variant")).alias("b"))
-    return finish(res.withColumn("_k", F.lit(0)).join(
-        best.select(F.col("b.variant").alias("_best")).withColumn("_k", F.lit(0)), "_k")
+    return finish(with_scalars(res, best.select(F.col("b.variant").alias("_best")))
         .select("variant", "auc", "average_precision", (F.col("variant") == F.col("_best")).alias("is_best")))
 
 
@@ -239,7 +239,7 @@ def ml15_two_model_blend(spark, sf_dir):
     grid = ln.blend_grid(a, b, 41)
     half = grid.where(F.col("w") == 0.5).select(F.col("metric").alias("auc_half_blend"))
     best = ln.best_blend(grid)
-    return finish(best.withColumn("_k", F.lit(0)).join(half.withColumn("_k", F.lit(0)), "_k").drop("_k"))
+    return finish(with_scalars(best, half))
 
 
 def _learners():

@@ -8,14 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import with_scalars
+
 
 def preview(df: DataFrame, order: Sequence, k: int = 20) -> DataFrame:
     """SK1: the first k rows by ``order`` (distributed top-k) flagged as a
     preview, with the total row count of the full table."""
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
     top = df.orderBy(*order).limit(k)
-    return top.withColumn("_k", F.lit(0)).join(total.withColumn("_k", F.lit(0)), "_k").drop("_k") \
-        .withColumn("is_preview", F.col("total_rows") > k)
+    return with_scalars(top, total).withColumn("is_preview", F.col("total_rows") > k)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:

@@ -89,3 +89,15 @@ def test_screening_fallback_runs(spark):
     out = scq._fallback_scores(spark, SF_TINY)
     rows = out.collect()
     assert rows and all(0.0 <= r["proba"] <= 1.0 for r in rows)
+
+
+def test_minhash_recall_against_exact(spark):
+    q, r, _ = simq._sides(spark, SF_SMALL)
+    exact = sm.topk_neighbours(q, r, 50, strategy="equijoin").where(F.col("sim") >= 0.8) \
+        .select("qid", "rid")
+    approx = sm.minhash_join(q, r, threshold=0.6).select("qid", "rid")
+    n_exact = exact.count()
+    if n_exact == 0:
+        pytest.skip("no highly similar pairs in this fixture")
+    found = exact.join(approx, ["qid", "rid"], "left_semi").count()
+    assert found / n_exact >= 0.9
