@@ -301,16 +301,19 @@ def ag36_matched_precision(spark, sf_dir):
 
 @query("jn13_paired_join", with_(SCORES) + """
 , a AS (SELECT fold, id FROM scores_long WHERE model = 'a'),
-b AS (SELECT fold, id FROM scores_long WHERE model = 'b' AND id % 7 <> 0)
+b AS (SELECT s.fold, s.id FROM scores_long s JOIN events e ON s.id = e.event_id
+      WHERE s.model = 'b' AND e.event_type <> 'error')
 SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b,
        (SELECT count(*) FROM a JOIN b USING (fold, id)) AS n_paired,
        (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS n_only_a,
        (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS n_only_b""")
 def jn13_paired_join(spark, sf_dir):
-    """JN13: paired held-out rows of two models (model b misses ids divisible by 7)."""
+    """JN13: paired held-out rows of two models; model b does not score error events."""
     lng = _long(spark, sf_dir)
     a = lng.where(F.col("model") == "a")
-    b = lng.where((F.col("model") == "b") & (F.pmod("id", F.lit(7)) != 0))
+    errors = table(spark, sf_dir, "events").where(F.col("event_type") == "error") \
+        .select(F.col("event_id").alias("id"))
+    b = lng.where(F.col("model") == "b").join(errors, "id", "left_anti")
     return ev.paired_rows(a, b, ["fold", "id"])
 
 
