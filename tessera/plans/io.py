@@ -16,7 +16,7 @@ from tessera.sources.tables import table
 
 
 @query("sc02_wide_scan", """
-SELECT vec_id AS id, len(embedding) AS n_features,
+SELECT vec_id AS id, len(embedding)::INTEGER AS n_features,
        round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 6) AS x_sum FROM embeddings""")
 def sc02_wide_scan(spark, sf_dir):
     """SC2: a wide table (key + one column per feature) packed back to one
