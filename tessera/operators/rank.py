@@ -117,9 +117,14 @@ def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
                             *[F.sum(f"_t_{m}").over(w_all).alias(f"tot_{m}") for m in measures])
     offsets = _small_table(offsets)
     # a proven-small local table is broadcast; otherwise AQE decides from runtime size
-    out = within.join(F.broadcast(offsets) if _is_local(offsets) else offsets,
-                      on=[*groups, BUCKET], how="inner")
-    return out.select(*[c for c in vc.columns], BUCKET,
+    # null-safe on the group keys: a NULL group is a group like any other
+    keys = [*groups, BUCKET]
+    off = offsets.select(*[F.col(k).alias(f"_g_{k}") for k in keys],
+                         *[c for c in offsets.columns if c not in keys])
+    off = F.broadcast(off) if _is_local(offsets) else off
+    cond = [within[k].eqNullSafe(off[f"_g_{k}"]) for k in keys]
+    out = within.join(off, on=cond, how="inner")
+    return out.select(*[within[c] for c in vc.columns], within[BUCKET].alias(BUCKET),
                       *[(F.col(f"_o_{m}") + F.col(f"_in_{m}")).alias(f"cum_{m}") for m in measures],
                       *[F.col(f"tot_{m}") for m in measures])
 

@@ -99,3 +99,10 @@ def test_no_single_partition_exchange(spark, data):
     _, df = data
     plan = rank.rank_sum_test(df, "v", "y", ["g"], n_buckets=8)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 2.0, 0), ("a", 1.0, 0), ("a", 3.0, 1)],
+                               "g string, v double, y int")
+    got = {r["g"]: r["auc"] for r in rank.rank_sum_test(df, "v", "y", ["g"], n_buckets=1).collect()}
+    assert got == {None: 0.0, "a": 1.0}
