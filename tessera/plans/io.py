@@ -122,3 +122,17 @@ def sk04_provenance(spark, sf_dir):
     out = sinks.provenance(a.unionByName(b), {"seed": "42", "k": "5"})
     params = F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.select("input", "n_rows", "checksum", params.alias("params"), "evidence_kind")
+
+
+@query("sk03_json_summary")
+def sk03_json_summary(spark, sf_dir):
+    """SK3: a nested run summary (audit totals with the per-check rows as an
+    array of structs) written as JSON under the checkpoint folder and read back."""
+    from tessera.plans import auditing
+    checks = auditing.ag42_audit_checks(spark, sf_dir)
+    summary = checks.agg(F.count(F.lit(1)).alias("n_checks"), F.count_if("match").alias("n_matched"),
+                         F.sort_array(F.collect_list(F.struct("metric", "computed", "match"))).alias("checks"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/summary-{uuid.uuid4().hex}"
+    sinks.write_json_summary(summary, path)
+    return spark.read.json(path).select("summary.n_checks", "summary.n_matched",
+                                        F.size("summary.checks").alias("n_rows"))
