@@ -51,6 +51,8 @@ def first_occurrence(df: DataFrame, key: str, order: str, cols: Sequence[str] =
 
     ``min(struct(order, ...))`` is a partially aggregated group-by, so a key
     holding a third of all rows is collapsed map-side before any shuffle."""
+    if not cols:  # a plain min keeps the hash aggregate (no sort)
+        return df.groupBy(key).agg(F.min(order).alias(order))
     packed = F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols])).alias("_m")
     return df.groupBy(key).agg(packed).select(
         key, F.col("_m._o").alias(order), *[F.col(f"_m.{c}").alias(c) for c in cols])

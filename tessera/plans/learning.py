@@ -141,20 +141,35 @@ def _registry_splits(spark, sf_dir, n_random=3):
 @query("ml07_calibration_ablation")
 def ml07_calibration_ablation(spark, sf_dir):
     """ML7: rungs x splits -> calibration metrics (AG26-AG32), across-split
-    mean / sd (AG34) and the veto/fusion block; long (rung, metric) table."""
+    mean / sd (AG34) and the veto/fusion block; long (rung, metric) table.
+
+    Each split's denoised blocks are built once (splits in parallel) and
+    persisted for the six fits that read them; predictions are materialised
+    before the blocks are released."""
+    from concurrent.futures import ThreadPoolExecutor
     e, reg = _registry_splits(spark, sf_dir)
     splits = [r[0] for r in reg.select("split_id").distinct().orderBy("split_id").collect()]
-    tasks = []
-    for s in splits:
+
+    def blocks(s):
         part = e.join(reg.where(F.col("split_id") == s).select("id", "set"), "id")
         tr, te = part.where(F.col("set") == "train"), part.where(F.col("set") == "test")
         tr, te = _denoised_blocks(tr, te)
+        return s, tr.persist(StorageLevel.MEMORY_AND_DISK), te.persist(StorageLevel.MEMORY_AND_DISK)
+
+    with ThreadPoolExecutor(max_workers=len(splits) or 1) as pool:
+        per_split = list(pool.map(blocks, splits))
+    tasks = []
+    for s, tr, te in per_split:
         for v, c in RUNGS:
             tasks.append(({"split_id": s, "rung": v},
                           (lambda c=c, tr=tr, te=te: _gbt(ln.assemble(tr, c), ln.assemble(te, c)))))
         tasks.append(({"split_id": s, "rung": "denoised_only"},
                       (lambda tr=tr, te=te: _gbt(ln.assemble(tr, ["rec"]), ln.assemble(te, ["rec"])))))
     preds = ln.run_parallel(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    preds.count()
+    for _, tr, te in per_split:
+        tr.unpersist()
+        te.unpersist()
     m = ev.confidence_metrics(preds.where(F.col("rung") != "denoised_only"), "p", "y", ["split_id", "rung"])
     cols = [c for c in m.columns if c not in ("split_id", "rung")]
     frame = m.unpivot(["split_id", "rung"], cols, "metric", "value")
