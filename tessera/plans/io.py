@@ -29,12 +29,20 @@ def sc02_wide_scan(spark, sf_dir):
                                 F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("x_sum")))
 
 
-@query("sc03_registry_scan")
+def _sc03_sql() -> str:
+    from tessera.plans.splits import _sss_sql
+    return """
+WITH e AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y FROM embeddings)
+SELECT set, y, count(*) AS n FROM (""" + _sss_sql(3, 0.8) + """) WHERE repeat = 1 GROUP BY ALL"""
+
+
+@query("sc03_registry_scan", _sc03_sql())
 def sc03_registry_scan(spark, sf_dir):
     """SC3/PR4: registry written partitioned by split_id under the session's
     checkpoint folder, read back with partition pruning on one split."""
-    e = fx.embeddings(spark, sf_dir).select("id", "y")
-    reg = sp.split_registry(e.withColumn("grp", F.pmod("id", F.lit(7))), "id", "y", "grp", n_random=3)
+    raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"))
+    e = fx.embeddings(spark, sf_dir).select("id", "y").join(raw, "id")
+    reg = sp.split_registry(e, "id", "y", "grp", n_random=3)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
     sinks.write_table(reg, path, partition_by=["split_id"])
     r = scans.split_registry_scan(spark, path, "random_01")
@@ -124,7 +132,13 @@ def sk04_provenance(spark, sf_dir):
     return out.select("input", "n_rows", "checksum", params.alias("params"), "evidence_kind")
 
 
-@query("sk03_json_summary")
+def _sk03_sql() -> str:
+    from tessera.plans.auditing import _COMPUTED_SQL
+    return _COMPUTED_SQL + """
+SELECT count(*) AS n_checks, count(*) FILTER (WHERE match) AS n_matched, count(*) AS n_rows FROM checks"""
+
+
+@query("sk03_json_summary", _sk03_sql())
 def sk03_json_summary(spark, sf_dir):
     """SK3: a nested run summary (audit totals with the per-check rows as an
     array of structs) written as JSON under the checkpoint folder and read back."""
@@ -135,4 +149,4 @@ def sk03_json_summary(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/summary-{uuid.uuid4().hex}"
     sinks.write_json_summary(summary, path)
     return spark.read.json(path).select("summary.n_checks", "summary.n_matched",
-                                        F.size("summary.checks").alias("n_rows"))
+                                        F.size("summary.checks").cast("bigint").alias("n_rows"))
