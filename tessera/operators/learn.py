@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
 from tessera.operators import rank
+from tessera.session import retain
 
 # fixed values: learner settings of the reference protocol
 GBT_STEP = 0.05
@@ -138,9 +139,8 @@ def cv_predictions(df: DataFrame, fold_col: str, fitter: Fitter, model: str,
                    threads: int = 8) -> DataFrame:
     """ML13/ML14: out-of-fold predictions; every row is scored once by the
     model that did not see its fold.  Returns (fold, model, id, y, p)."""
-    from pyspark import StorageLevel
     # every fold's fit reads the same assembled rows: compute their lineage once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.transform(retain)
     folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
     tasks = []
     for f in folds:
@@ -148,7 +148,7 @@ def cv_predictions(df: DataFrame, fold_col: str, fitter: Fitter, model: str,
         te = df.where(F.col(fold_col) == f)
         tasks.append(({"fold": int(f), "model": model},
                       (lambda tr=tr, te=te: fitter(tr, te))))
-    out = run_parallel(tasks, threads).persist(StorageLevel.MEMORY_AND_DISK)
+    out = run_parallel(tasks, threads).transform(retain)
     out.count()
     df.unpersist()
     return out

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tessera.session import retain
 
 BUCKET = "_bucket"
 
@@ -63,7 +63,7 @@ def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = Non
     table is persisted because that job and the scan both read it."""
     if n_buckets is not None and n_buckets <= 1:
         return vc.withColumn(BUCKET, F.lit(0))
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+    vc = vc.transform(retain)
     grid = n_buckets or QUANTILE_GRID
     probs = [i / grid for i in range(1, grid)]
     v = F.col(order_col).cast("double")

@@ -17,6 +17,7 @@ from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.registry import query
 from tessera.plans.sql_fixtures import EMB_LONG, with_
+from tessera.session import retain
 
 
 def _split(spark, sf_dir):
@@ -205,14 +206,13 @@ def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4, threa
     Standardising the top-m columns equals selecting them from the fold's
     z-scored block, so each fold is z-scored once and persisted; the m fits
     of a fold read that block and run concurrently."""
-    from pyspark import StorageLevel
     p = train.agg(F.max(F.size("x"))).first()[0]
     grid = sp.size_grid(int(p), grid_points)
     sss = sp.stratified_shuffle(train.select("id", "y"), "id", "y", n_inner, 0.7)
     tasks, held = [], []
     for r in range(n_inner):
         part = train.join(sss.where(F.col("repeat") == r).select("id", "set"), "id", "inner") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+            .transform(retain)
         fit = part.where(F.col("set") == "train")
         order = dn.denoise_fit(fit).order
         st = dn.zscore_fit(fit)
@@ -220,7 +220,7 @@ def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4, threa
         mean = np.array([r_["mean"] for r_ in rows]); scale = np.array([r_["scale"] for r_ in rows])
         weights = ln.class_weights(fit.select("y"), "y").select("y", "w").distinct()
         z = dn.zscore_apply_arrays(part, mean, scale).join(weights, "y", "inner") \
-            .select("id", "y", "w", "set", "z").persist(StorageLevel.MEMORY_AND_DISK)
+            .select("id", "y", "w", "set", "z").transform(retain)
         held += [part, z]
         for m in grid:
             sel = z.withColumn("features", ln.array_to_vector(F.array(*[F.col("z")[c] for c in order[:m]])))
@@ -229,7 +229,7 @@ def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4, threa
                           (lambda a=a, b=b: ln.fit_logistic(a, b, weighted=True))))
     preds = ln.run_parallel(tasks, threads)
     out = rank.rank_sum_test(preds, "p", "y", ["fold", "m"]).select("fold", "m", "auc")
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out = out.transform(retain)
     out.count()
     for h in held:
         h.unpersist()

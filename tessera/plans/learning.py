@@ -9,7 +9,6 @@ Boosted trees use 60 iterations in these registered runs (library default 400).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
@@ -22,6 +21,7 @@ from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.registry import query
 from tessera.sources.tables import table
+from tessera.session import retain
 
 GBT_ITERS = 60
 BASE, EXTRA6, WIDE = list(range(0, 32)), list(range(32, 38)), list(range(38, 64))
@@ -154,7 +154,7 @@ def ml07_calibration_ablation(spark, sf_dir):
         part = e.join(reg.where(F.col("split_id") == s).select("id", "set"), "id")
         tr, te = part.where(F.col("set") == "train"), part.where(F.col("set") == "test")
         tr, te = _denoised_blocks(tr, te)
-        return s, tr.persist(StorageLevel.MEMORY_AND_DISK), te.persist(StorageLevel.MEMORY_AND_DISK)
+        return s, tr.transform(retain), te.transform(retain)
 
     with ThreadPoolExecutor(max_workers=len(splits) or 1) as pool:
         per_split = list(pool.map(blocks, splits))
@@ -165,7 +165,7 @@ def ml07_calibration_ablation(spark, sf_dir):
                           (lambda c=c, tr=tr, te=te: _gbt(ln.assemble(tr, c), ln.assemble(te, c)))))
         tasks.append(({"split_id": s, "rung": "denoised_only"},
                       (lambda tr=tr, te=te: _gbt(ln.assemble(tr, ["rec"]), ln.assemble(te, ["rec"])))))
-    preds = ln.run_parallel(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    preds = ln.run_parallel(tasks).transform(retain)
     preds.count()
     for _, tr, te in per_split:
         tr.unpersist()
@@ -248,9 +248,9 @@ def ml14_oof_table(spark, sf_dir):
 @query("ml15_two_model_blend")
 def ml15_two_model_blend(spark, sf_dir):
     """ML15: two OOF models, fixed 0.5 blend, best blend weight (AG40/TK2) and lift (AG41)."""
-    a = _oof(spark, sf_dir, _gbt, "gbt").persist(StorageLevel.MEMORY_AND_DISK)
+    a = _oof(spark, sf_dir, _gbt, "gbt").transform(retain)
     b = _oof(spark, sf_dir, lambda tr, te: ln.fit_forest(tr, te, n_trees=50), "forest") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .transform(retain)
     grid = ln.blend_grid(a, b, 41)
     half = grid.where(F.col("w") == 0.5).select(F.col("metric").alias("auc_half_blend"))
     best = ln.best_blend(grid)
@@ -272,7 +272,7 @@ def _stack(spark, sf_dir, folds):
     for name, f in _learners().items():
         o = _oof(spark, sf_dir, f, name, folds)
         oofs = o if oofs is None else oofs.unionByName(o)
-    oofs = oofs.persist(StorageLevel.MEMORY_AND_DISK)
+    oofs = oofs.transform(retain)
     base = rank.rank_sum_test(oofs, "p", "y", ["model"]).select("model", "auc")
     wide = oofs.groupBy("id", "y", "fold").pivot("model", list(_learners())).agg(F.first("p"))
     names = list(_learners())

@@ -73,3 +73,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_PERSISTED: list[DataFrame] = []
+
+
+def retain(df: DataFrame) -> DataFrame:
+    """Persist an intermediate reused by several jobs (memory, spilling to
+    disk; recomputed from lineage if an executor is lost) and remember it so
+    a long-running application can drop it with ``release()``."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
+    return df
+
+
+def release() -> int:
+    """Unpersist every intermediate kept by tessera; returns how many.
+    Call between independent queries of a long-lived session."""
+    n = 0
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)
+        n += 1
+    return n
