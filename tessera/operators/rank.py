@@ -62,7 +62,7 @@ def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = Non
     (count and quantiles come from the same aggregation job).  The value
     table is persisted because that job and the scan both read it."""
     if n_buckets is not None and n_buckets <= 1:
-        return vc.withColumn(BUCKET, F.lit(0))
+        return _single(vc)
     vc = vc.transform(retain)
     grid = n_buckets or QUANTILE_GRID
     probs = [i / grid for i in range(1, grid)]
@@ -72,7 +72,7 @@ def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = Non
     if n_buckets is None:
         n_buckets = _bucket_count(vc.sparkSession, int(row["n"]))
         if n_buckets <= 1:
-            return vc.withColumn(BUCKET, F.lit(0))
+            return _single(vc)
         if n_buckets > grid:  # only at very large scale: a finer grid, one more job
             probs = [i / n_buckets for i in range(1, n_buckets)]
             qs = vc.agg(F.percentile_approx(v, probs, 4 * n_buckets)).first()[0]
@@ -82,12 +82,18 @@ def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = Non
         qs = row["q"]
     splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
     if len(splits) < 3:
-        return vc.withColumn(BUCKET, F.lit(0))
+        return _single(vc)
     b = Bucketizer(splits=splits, inputCol=order_col, outputCol=BUCKET, handleInvalid="keep")
     return b.transform(vc.withColumn(order_col, F.col(order_col).cast("double"))) \
         .withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
 
+def _single(vc: DataFrame) -> DataFrame:
+    out = vc.withColumn(BUCKET, F.lit(0))
+    out._tessera_single = True  # type: ignore[attr-defined]
+    return out
+
+
 def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
                 order_col: str = "v", descending: bool = False,
                 n_buckets: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -104,6 +110,12 @@ def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
     bucket_order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     w_in = Window.partitionBy(*groups, BUCKET).orderBy(order, *[F.col(t).asc() for t in tiebreak]) \
         .rowsBetween(Window.unboundedPreceding, -1)
+    if getattr(b, "_tessera_single", False):
+        # one bucket: prefix sums and group totals come out of one window stage
+        w_grp = Window.partitionBy(*groups, BUCKET)
+        return b.select(*[c for c in vc.columns], BUCKET,
+                        *[F.coalesce(F.sum(m).over(w_in), F.lit(0)).alias(f"cum_{m}") for m in measures],
+                        *[F.sum(m).over(w_grp).alias(f"tot_{m}") for m in measures])
     within = b.select("*", *[F.coalesce(F.sum(m).over(w_in), F.lit(0)).alias(f"_in_{m}")
                              for m in measures])
     totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
