@@ -29,7 +29,7 @@ ROWS_PER_BUCKET = 1_000_000
 # below this many distinct values per bucket, splitting costs more than it saves
 MIN_ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 8192
-QUANTILE_GRID = 1024
+QUANTILE_GRID = 256
 
 
 def _bucket_count(spark, n: int) -> int:
