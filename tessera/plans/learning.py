@@ -304,3 +304,34 @@ def ml17_grouped_eval(spark, sf_dir):
     grp = F.array_position(F.col("x"), F.array_max("x"))
     folds = sp.group_kfold(b.withColumn("grp", grp), "grp", 5).drop("grp")
     return finish(_stack(spark, sf_dir, folds))
+
+
+@query("ml16_stack_regression")
+def ml16_stack_regression(spark, sf_dir):
+    """ML16/ML13/AG40/AG41 for an RMSE endpoint: regressors' OOF predictions of
+    the raw label value, their CV RMSE, a linear meta-learner on the OOF
+    columns, and the best two-model blend with its sign-aware lift."""
+    raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    e = fx.embeddings(spark, sf_dir).join(raw, "id").withColumn("y", F.col("label").cast("double"))
+    folds = sp.hash_kfold(e.select("id", "y", "x"), "id", 5)
+    learners = {"gbt": lambda tr, te: ln.fit_regressor(tr, te, "gbt", max_iter=GBT_ITERS),
+                "forest": lambda tr, te: ln.fit_regressor(tr, te, "forest"),
+                "linear": lambda tr, te: ln.fit_regressor(tr, te, "linear")}
+    oofs = None
+    for name, f in learners.items():
+        o = ln.cv_predictions(ln.assemble(folds, ["x"]), "fold", f, name)
+        oofs = o if oofs is None else oofs.unionByName(o)
+    scores = ln.cv_score(oofs, task="regression")
+    wide = oofs.groupBy("id", "y", "fold").pivot("model", list(learners)).agg(F.first("p"))
+    meta = ln.cv_predictions(ln.assemble(wide, list(learners)), "fold",
+                             lambda tr, te: ln.fit_regressor(tr, te, "linear"), "meta_linear")
+    meta_score = ln.cv_score(meta, task="regression")
+    grid = ln.blend_grid(oofs.where(F.col("model") == "gbt"), oofs.where(F.col("model") == "forest"),
+                         41, task="regression")
+    best = ln.best_blend(grid, higher_is_better=False).select(
+        F.lit("blend_gbt_forest").alias("model"), F.col("best_metric").alias("mean"),
+        F.lit(None).cast("double").alias("sd"), F.lit(None).cast("long").alias("n_folds"),
+        "best_w", "lift")
+    out = scores.unionByName(meta_score).withColumn("best_w", F.lit(None).cast("double")) \
+        .withColumn("lift", F.lit(None).cast("double"))
+    return finish(out.unionByName(best))
