@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
+from tessera.session import share
 
 N_BITS = 2048
 # fixed values: the applicability-domain settings and the overlap bands
@@ -116,10 +117,10 @@ def _bitmap_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool,
     ref = r.select("rid", "bits").toPandas().sort_values("rid", kind="stable")
     payload = (ref["rid"].to_numpy(dtype=np.int64),
                [np.asarray(b, dtype=np.int16) for b in ref["bits"]])
-    bc = q.sparkSession.sparkContext.broadcast(payload)
+    ref_value = share(q.sparkSession, payload)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rids, rbits = bc.value
+        rids, rbits = ref_value()
         rs = np.array([len(b) for b in rbits], dtype=np.int64)
         blocks = [(b0, min(b0 + ref_block, len(rids))) for b0 in range(0, len(rids), ref_block)]
         dense_once = _dense(rbits, n_bits) if len(blocks) == 1 else None

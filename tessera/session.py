@@ -44,6 +44,17 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def share(spark: SparkSession, value):
+    """Ship a bounded driver-side value to the tasks: a broadcast variable on a
+    classic session; captured in the task closure where no SparkContext is
+    reachable (Spark Connect).  Returns a zero-argument getter."""
+    try:
+        bc = spark.sparkContext.broadcast(value)
+        return lambda: bc.value
+    except Exception:  # noqa: BLE001 - no JVM SparkContext behind this session
+        return lambda: value
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset.
 
@@ -51,8 +62,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is; a fresh temporary folder is only chosen when nothing is configured
     (tests, local runs).
     """
-    sc = spark.sparkContext
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        return conf_dir or tempfile.gettempdir()
+    conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if conf_dir:
         if not current:
