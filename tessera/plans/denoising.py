@@ -236,12 +236,20 @@ def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4, threa
     return out
 
 
+def _inner_scores(spark, sf_dir):
+    """The (fold, m, auc) table of the training split, shared by ML9 and ML10
+    within a session (grid of 8 sizes for the registered runs; the library
+    default is the 90-point grid)."""
+    def build():
+        tr, _ = _split(spark, sf_dir)
+        return inner_selection(spark, tr, grid_points=8)
+    return fx.shared(spark, sf_dir, "inner_selection_scores", build)
+
+
 @query("ml10_inner_selection")
 def ml10_inner_selection(spark, sf_dir):
-    """ML10: mean inner AUC per candidate feature count (grid of 8 sizes for
-    the check run; the library default is the 90-point grid)."""
-    tr, _ = _split(spark, sf_dir)
-    scores = inner_selection(spark, tr, grid_points=8)
+    """ML10: mean inner AUC per candidate feature count."""
+    scores = _inner_scores(spark, sf_dir)
     return finish(scores.groupBy("m").agg(F.avg("auc").alias("mean_auc"),
                                           F.stddev_pop("auc").alias("sd_auc")))
 
@@ -252,7 +260,7 @@ def ml09_denoise_select(spark, sf_dir):
     signal count and the chosen feature count."""
     tr, _ = _split(spark, sf_dir)
     sel = dn.denoise_fit(tr)
-    best = dn.best_size(inner_selection(spark, tr, grid_points=8)).first()
+    best = dn.best_size(_inner_scores(spark, sf_dir)).first()
     m = int(best["m_opt"])
     rows = [(pos + 1, j, pos < m) for pos, j in enumerate(sel.order)]
     out = spark.createDataFrame(rows, "position int, j int, selected boolean")

@@ -29,7 +29,8 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     df = _MEMO.get(key)
     if df is not None and df.sparkSession is spark:
         return df
-    df = build().persist(StorageLevel.MEMORY_AND_DISK)
+    # a projection of its own, so releasing a builder's intermediates leaves it cached
+    df = build().select("*").persist(StorageLevel.MEMORY_AND_DISK)
     _MEMO[key] = df
     return df
 
