@@ -101,3 +101,21 @@ def test_minhash_recall_against_exact(spark):
         pytest.skip("no highly similar pairs in this fixture")
     found = exact.join(approx, ["qid", "rid"], "left_semi").count()
     assert found / n_exact >= 0.9
+
+
+def test_flagship_pvalues_and_bh(spark):
+    import math
+    from tessera.plans import panel
+    rows = panel.compare_targets(spark, SF_TINY).collect()
+    z = np.array([r["z"] for r in rows])
+    p = np.minimum(1.0, np.array([math.erfc(abs(v) / math.sqrt(2.0)) for v in z]))
+    for r, pv in zip(rows, p):
+        assert r["p_value"] == pytest.approx(pv, abs=1e-6)
+    order = np.argsort(p, kind="stable")
+    m = len(p)
+    q = p[order] * m / np.arange(1, m + 1)
+    adj = np.empty(m)
+    adj[order] = np.minimum(1, np.minimum.accumulate(q[::-1])[::-1])
+    for r, a in zip(rows, adj):
+        assert r["p_adjusted"] == pytest.approx(a, abs=1e-6)
+        assert r["significant"] == (r["p_adjusted"] < 0.001)
