@@ -11,7 +11,7 @@ from tessera.operators import similar as sm
 from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.registry import query
-from tessera.plans.sql_fixtures import PANEL_LONG, SCORES, with_
+from tessera.plans.sql_fixtures import PANEL_LONG, SCORES, TOKENS, with_
 from tessera.sources.tables import table
 
 
@@ -84,7 +84,19 @@ def fx05_descriptor_panel(spark, sf_dir):
     return d.select("doc_id", *[desc[n].alias(n) for n in names])
 
 
-@query("fx06_fingerprint_descriptors")
+@query("fx06_fingerprint_descriptors", with_(TOKENS) + """
+, t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+toks AS (SELECT doc_id, t, list_filter(string_split_regex(trim(t), '\\s+'), lambda x: x <> '') AS tk FROM t),
+nz AS (SELECT doc_id,
+              (length(t) > 0)::INTEGER + (len(tk) > 0)::INTEGER + (len(list_distinct(tk)) > 0)::INTEGER + 1
+              + (length(regexp_replace(t, '[^0-9]', '', 'g')) > 0)::INTEGER
+              + (length(regexp_replace(t, '[^A-Z]', '', 'g')) > 0)::INTEGER
+              + (length(regexp_replace(t, '[^[:punct:]]', '', 'g')) > 0)::INTEGER
+              + (length(regexp_replace(t, '[^\\p{L}]', '', 'g')) > 0)::INTEGER
+              + (len(tk) > 0)::INTEGER AS n_desc
+       FROM toks)
+SELECT nz.doc_id, 2057 AS width, (coalesce(s.nbits, 0) + n_desc)::INTEGER AS n_nonzero
+FROM nz LEFT JOIN doc_size s ON nz.doc_id = s.doc_id""")
 def fx06_fingerprint_descriptors(spark, sf_dir):
     """FX6: sparse fingerprint ++ dense descriptor panel as one ML vector."""
     from pyspark.ml.functions import vector_to_array
