@@ -139,15 +139,23 @@ def cv_predictions(df: DataFrame, fold_col: str, fitter: Fitter, model: str,
                    threads: int = 8) -> DataFrame:
     """ML13/ML14: out-of-fold predictions; every row is scored once by the
     model that did not see its fold.  Returns (fold, model, id, y, p)."""
-    # every fold's fit reads the same assembled rows: compute their lineage once
+    return cv_predictions_many(df, fold_col, {model: fitter}, threads)
+
+
+def cv_predictions_many(df: DataFrame, fold_col: str, fitters: dict[str, Fitter],
+                        threads: int = 8) -> DataFrame:
+    """Out-of-fold predictions of several learners: all (learner, fold) fits
+    are independent, so they share one thread pool and one persisted input."""
+    # every fit reads the same assembled rows: compute their lineage once
     df = df.transform(retain)
     folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
     tasks = []
-    for f in folds:
-        tr = df.where(F.col(fold_col) != f)
-        te = df.where(F.col(fold_col) == f)
-        tasks.append(({"fold": int(f), "model": model},
-                      (lambda tr=tr, te=te: fitter(tr, te))))
+    for model, fitter in fitters.items():
+        for f in folds:
+            tr = df.where(F.col(fold_col) != f)
+            te = df.where(F.col(fold_col) == f)
+            tasks.append(({"fold": int(f), "model": model},
+                          (lambda tr=tr, te=te, fitter=fitter: fitter(tr, te))))
     out = run_parallel(tasks, threads).transform(retain)
     out.count()
     df.unpersist()

@@ -268,11 +268,7 @@ def _learners():
 
 
 def _stack(spark, sf_dir, folds):
-    oofs = None
-    for name, f in _learners().items():
-        o = _oof(spark, sf_dir, f, name, folds)
-        oofs = o if oofs is None else oofs.unionByName(o)
-    oofs = oofs.transform(retain)
+    oofs = ln.cv_predictions_many(ln.assemble(folds, ["x"]), "fold", _learners())
     base = rank.rank_sum_test(oofs, "p", "y", ["model"]).select("model", "auc")
     wide = oofs.groupBy("id", "y", "fold").pivot("model", list(_learners())).agg(F.first("p"))
     names = list(_learners())
@@ -317,10 +313,7 @@ def ml16_stack_regression(spark, sf_dir):
     learners = {"gbt": lambda tr, te: ln.fit_regressor(tr, te, "gbt", max_iter=GBT_ITERS),
                 "forest": lambda tr, te: ln.fit_regressor(tr, te, "forest"),
                 "linear": lambda tr, te: ln.fit_regressor(tr, te, "linear")}
-    oofs = None
-    for name, f in learners.items():
-        o = ln.cv_predictions(ln.assemble(folds, ["x"]), "fold", f, name)
-        oofs = o if oofs is None else oofs.unionByName(o)
+    oofs = ln.cv_predictions_many(ln.assemble(folds, ["x"]), "fold", learners)
     scores = ln.cv_score(oofs, task="regression")
     wide = oofs.groupBy("id", "y", "fold").pivot("model", list(learners)).agg(F.first("p"))
     meta = ln.cv_predictions(ln.assemble(wide, list(learners)), "fold",
