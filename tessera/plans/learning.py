@@ -248,9 +248,10 @@ def ml14_oof_table(spark, sf_dir):
 @query("ml15_two_model_blend")
 def ml15_two_model_blend(spark, sf_dir):
     """ML15: two OOF models, fixed 0.5 blend, best blend weight (AG40/TK2) and lift (AG41)."""
-    a = _oof(spark, sf_dir, _gbt, "gbt").transform(retain)
-    b = _oof(spark, sf_dir, lambda tr, te: ln.fit_forest(tr, te, n_trees=50), "forest") \
-        .transform(retain)
+    folds = ln.assemble(sp.stratified_kfold(_blocks(spark, sf_dir), "id", "y", 5), ["x"])
+    both = ln.cv_predictions_many(folds, "fold", {
+        "gbt": _gbt, "forest": lambda tr, te: ln.fit_forest(tr, te, n_trees=50)})
+    a, b = both.where(F.col("model") == "gbt"), both.where(F.col("model") == "forest")
     grid = ln.blend_grid(a, b, 41)
     half = grid.where(F.col("w") == 0.5).select(F.col("metric").alias("auc_half_blend"))
     best = ln.best_blend(grid)
