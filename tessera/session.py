@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,17 +57,20 @@ def share(spark: SparkSession, value):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset.
+    """Return the session's checkpoint folder, creating a local one only for
+    ``local`` masters.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is; a fresh temporary folder is only chosen when nothing is configured
-    (tests, local runs).
+    is; when a cluster session has none, this raises, because a machine-local
+    folder would not be seen by the other executors.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
-        return conf_dir or tempfile.gettempdir()
+    except Exception:  # noqa: BLE001 - no SparkContext is reachable from this session
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
     conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if conf_dir:
@@ -75,19 +79,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the configured checkpoint folder.
+def write_shared(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    Used where a plan is reused by several jobs and a lost executor must not
-    force recomputation of a long lineage.  Never ``localCheckpoint``.
+    Cuts the lineage of iterative plans: a lost executor costs nothing that is
+    already written.  Give the frame to ``drop_shared`` once nothing reads it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tessera-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SHARED[id(out)] = (out, path)
+    return out
+
+
+_SHARED: dict[int, tuple[DataFrame, str]] = {}
+
+
+def drop_shared(*frames: DataFrame) -> None:
+    """Delete tables of ``write_shared`` that later steps no longer read."""
+    for df in frames:
+        _, path = _SHARED.pop(id(df), (None, None))
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _PERSISTED: list[DataFrame] = []
