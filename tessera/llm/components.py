@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import drop_shared, write_shared
 
 
+class Forest:
+    """Spanning forest of links that are found block by block inside a task."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of the links (i, j) that join two trees so far apart."""
+        x, y = self.label[i], self.label[j]
+        new = np.flatnonzero(x != y)
+        if not len(new):
+            return new
+        x, y = x[new], y[new]
+        _, first = np.unique(np.minimum(x, y) * len(self.label) + np.maximum(x, y), return_index=True)
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while (above := up.get(v, v)) != v:
+                up[v] = v = up.get(above, above)
+            return v
+
+        taken = []
+        for k in first.tolist():
+            u, v = root(int(x[k])), root(int(y[k]))
+            if u != v:
+                up[max(u, v)] = min(u, v)
+                taken.append(k)
+        table = np.arange(len(self.label))
+        for v in list(up):
+            table[v] = root(v)
+        self.label = table[self.label]
+        return new[taken]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, secrets, simhash
+from tessera.llm import ann, bpe, langid, licenses, lmscore, mixing, secrets, sharding, simhash, vecdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +18,8 @@ RANK_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Token shares of the mix.
 TARGETS = {"high": 0.75, "low": 0.23, "toxic": 0.02}
 
+SHARD_BYTES = 1 << 20
+
 
 def query(name: str, oracle: str | None = None):
     def register(fn):
@@ -55,6 +57,35 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "r.lang_pred", "r.score", "r.runner_up", "r.n_letters")
 
 
+@query("op3_license_scan", licenses.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.license_scan(docs, licenses.known_licenses(spark)).withColumn("notices", F.array_join("notices", ","))
+
+
+@query("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op5_embedding_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op6_sharding", sharding.oracle(SHARD_BYTES))
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+
+
+@query("op7_lm_score", lmscore.oracle())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = mixing.label_domains(table(spark, sf_dir, "labels")).where("domain = 'high'").select("doc_id")
+    scores = lmscore.cross_entropy_difference(docs, good)
+    return scores.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_all", "score")])
+
+
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
