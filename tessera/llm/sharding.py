@@ -39,8 +39,8 @@ def key_hash(key: Column) -> Column:
 
 
 def _bits(prefix: Column, depth: Column) -> Column:
-    """The prefix as text of 0s and 1s, ``root`` at depth 0."""
-    return F.when(depth == 0, "root").otherwise(F.right(F.lpad(F.bin(prefix), HASH_BITS, "0"), depth))
+    """``b`` and the prefix as 0s and 1s (a folder name that reads back as text)."""
+    return F.concat(F.lit("b"), F.right(F.lpad(F.bin(prefix), HASH_BITS, "0"), depth))
 
 
 def _settle(cells: DataFrame, bits: int, first: int, limit: int) -> DataFrame:
@@ -68,7 +68,7 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
                 if now[1] and now[1] + size > limit:
                     now[0], now[1] = now[0] + 1, 0
                 now[1] += size
-                names.append(f"{h:048b}.{part}.{now[0]}")
+                names.append(f"b{h:048b}.{part}.{now[0]}")
             yield pdf[["doc_id", "n_bytes"]].assign(shard=names, depth=HASH_BITS)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -128,6 +128,6 @@ s AS (SELECT depth, h >> ({HASH_BITS} - depth) AS prefix, sum(n_bytes) AS shard_
 f AS (SELECT r.doc_id, r.n_bytes, r.h, min(depth) AS depth FROM r, d JOIN s USING (depth)
       WHERE s.prefix = r.h >> ({HASH_BITS} - s.depth) AND (shard_bytes <= {limit} OR shard_rows = 1) GROUP BY ALL)
 SELECT f.doc_id, CAST(f.n_bytes AS BIGINT) AS n_bytes,
-       CASE WHEN f.depth = 0 THEN 'root' ELSE right(lpad(bin(s.prefix), {HASH_BITS}, '0'), CAST(f.depth AS INTEGER)) END AS shard,
+       'b' || right(lpad(bin(s.prefix), {HASH_BITS}, '0'), CAST(f.depth AS INTEGER)) AS shard,
        CAST(f.depth AS INTEGER) AS depth, CAST(s.shard_bytes AS BIGINT) AS shard_bytes, s.shard_rows
 FROM f JOIN s ON s.depth = f.depth AND s.prefix = f.h >> ({HASH_BITS} - f.depth)"""
