@@ -53,27 +53,27 @@ def signed_rank_exact_p(w_plus: float, n: int) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def _signed_rank_p(w_plus: pd.Series, w_minus: pd.Series, n: pd.Series) -> pd.Series:
+def _signed_rank_p(w_plus: pd.Series, w_minus: pd.Series, n: pd.Series, tie_term: pd.Series) -> pd.Series:
     out = []
-    for wp, wm, k in zip(w_plus, w_minus, n):
+    for wp, wm, k, tie in zip(w_plus, w_minus, n, tie_term):
         if k is None or pd.isna(k) or k == 0:
             out.append(np.nan)
             continue
         k = int(k)
         w = min(wp, wm)
-        if k <= 50 and float(wp).is_integer() and float(wm).is_integer():
+        if k <= 50 and tie == 0:
             out.append(signed_rank_exact_p(w, k))
         else:
             mu = k * (k + 1) / 4.0
-            sd = math.sqrt(k * (k + 1) * (2 * k + 1) / 24.0)
-            z = (w - mu) / sd
-            out.append(min(1.0, math.erfc(abs(z) / math.sqrt(2.0))))
+            variance = (k * (k + 1) * (2 * k + 1) - tie / 2.0) / 24.0
+            out.append(min(1.0, math.erfc(abs(w - mu) / math.sqrt(2.0 * variance))))
     return pd.Series(out, dtype=float)
 
 
-def signed_rank_p(w_plus: str, w_minus: str, n: str) -> Column:
-    """Two-sided Wilcoxon signed-rank p from W+, W- and the non-zero pair count.
+def signed_rank_p(w_plus: str, w_minus: str, n: str, tie_term: str = "tie_term") -> Column:
+    """Two-sided Wilcoxon signed-rank p from W+, W-, the non-zero pair count and
+    the tie term (sum of t^3 - t over runs of equal absolute differences).
 
-    Exact distribution for n <= 50 when ranks are untied (integral W),
-    otherwise the normal approximation (no tie correction)."""
-    return _signed_rank_p(F.col(w_plus), F.col(w_minus), F.col(n))
+    Exact distribution for n <= 50 without ties, otherwise the normal
+    approximation with tie-corrected variance."""
+    return _signed_rank_p(F.col(w_plus), F.col(w_minus), F.col(n), F.col(tie_term))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stats import normal_two_sided_p
 from tessera.operators import rank
+from tessera.session import retain
 
 
 COHORTS = ("active", "inactive", "screen")
@@ -58,7 +59,7 @@ def target_stats(scan: DataFrame, target: str = "target", cohorts=COHORTS,
     n1, n0 = F.col(f"n_{active}").cast("double"), F.col(f"n_{inactive}").cast("double")
     nn = n1 + n0
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2.0
-    sigma = F.sqrt(n1 * n0 / 12.0 * ((nn + 1) - F.col("tie_term") / (nn * (nn - 1))))
+    sigma = F.sqrt(n1 * n0 / 12.0 * ((nn + 1) - F.try_divide(F.col("tie_term"), nn * (nn - 1))))
     out = out.withColumn("u_pos", u1).withColumn("u_neg", n1 * n0 - u1)
     return (out.withColumn("z", F.try_divide(F.greatest("u_pos", "u_neg") - n1 * n0 / 2.0 - 0.5, sigma))
             .withColumn("auc", F.try_divide(F.col("u_pos"), n1 * n0)).drop("_r1"))
@@ -82,12 +83,11 @@ def compare_targets(long: DataFrame, dims: DataFrame, with_p: bool = True,
                      "z", "auc")
     if not with_p:
         return out
-    # one row per target (dimension-sized): materialise before the p-value UDF
-    # and the BH scan so the row-sized pipeline runs once
-    out = rank._small_table(out)
+    # persisted before the p-value UDF and the BH scan, so the row-sized pipeline runs once
+    out = out.transform(retain)
     out = out.withColumn("p_value", normal_two_sided_p("z"))
-    # family = the targets of this comparison (dimension-sized): one bucket suffices
-    out = rank.bh_adjust(out, "p_value", [], n_buckets=1)
+    # family = the targets of this comparison
+    out = rank.bh_adjust(out, "p_value")
     return out.withColumn("significant", F.col("p_adjusted") < alpha)
 
 

@@ -22,8 +22,8 @@ def neglog_to_mgkg(p: Column | str, mw: Column | str) -> Column:
 
 
 def mgkg_to_neglog(mgkg: Column | str, mw: Column | str) -> Column:
-    """PR16 inverse: -log10(mg/kg / 1000 / MW)."""
-    return -F.log10(_c(mgkg) / 1000.0 / _c(mw))
+    """PR16 inverse: -log10(mg/kg / 1000 / MW); NULL for a molecular weight of 0."""
+    return -F.log10(F.try_divide(_c(mgkg) / 1000.0, _c(mw)))
 
 
 def neglog_to_mmol_l(p: Column | str) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
 from tessera.operators import rank
+from tessera.session import retain
 
 EPS = 1e-7
 
@@ -27,14 +28,22 @@ def join_on_groups(a: DataFrame, b: DataFrame, groups: Sequence[str], how: str =
     """Equi-join on the group keys; without groups ``b`` is a one-row aggregate
     attached to every row of ``a``."""
     if groups:
-        return a.join(b, list(groups), how)
+        return rank.join_null_safe(a, b, list(groups), how)
     return with_scalars(a, b, how)
 
 
 # ---------------------------------------------------------------- scalar fusions
+def known(p: Column | str) -> Column:
+    """A score as double, NULL where it is missing (NULL or NaN)."""
+    d = _c(p).cast("double")
+    return F.when(~F.isnan(d), d)
+
+
 def clip_prob(p: Column | str, eps: float = EPS) -> Column:
-    """PR11: clip a probability to [eps, 1 - eps]."""
-    return F.least(F.greatest(_c(p), F.lit(eps)), F.lit(1.0 - eps))
+    """PR11: clip a probability to [eps, 1 - eps]; a missing score stays missing
+    (``greatest`` and ``least`` alone would skip NULL)."""
+    d = known(p)
+    return F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(eps)), F.lit(1.0 - eps)))
 
 
 def veto(a: Column | str, b: Column | str) -> Column:
@@ -54,7 +63,7 @@ def geometric_fusion(a: Column | str, b: Column | str, w: float = 0.5) -> Column
 
 def flag(p: Column | str, t: float) -> Column:
     """PR15: inclusive threshold flag ``p >= t``; a missing score is not flagged."""
-    return F.coalesce(_c(p) >= F.lit(t), F.lit(False))
+    return F.coalesce(known(p) >= F.lit(t), F.lit(False))
 
 
 def inner_edges(n_bins: int) -> list[float]:
@@ -65,12 +74,17 @@ def inner_edges(n_bins: int) -> list[float]:
 
 def bin_index(p: Column | str, n_bins: int) -> Column:
     """Bin of ``p`` among equal-width bins: number of inner edges <= p
-    (left-closed inner edges, last bin closed)."""
-    p = _c(p)
+    (left-closed inner edges, last bin closed); a missing score has no bin."""
+    p = known(p)
     idx = F.lit(0)
     for e in inner_edges(n_bins):
         idx = idx + F.when(p >= F.lit(e), 1).otherwise(0)
-    return idx
+    return F.when(p.isNotNull(), idx)
+
+
+def scored_rows(df: DataFrame, p: str, y: str) -> DataFrame:
+    """Rows that calibration counts: score and label present."""
+    return df.where(known(p).isNotNull() & F.col(y).isNotNull())
 
 
 # ---------------------------------------------------------------- threshold metrics
@@ -132,9 +146,10 @@ def f1_optimal(df: DataFrame, p: str, y: str, groups: Sequence[str]) -> DataFram
 # ---------------------------------------------------------------- calibration
 def calibration_bins(df: DataFrame, p: str, y: str, groups: Sequence[str],
                      n_bins: int = 10) -> DataFrame:
-    """AG29: non-empty equal-width bins of the clipped p: weight, mean p, observed rate."""
+    """AG29: non-empty equal-width bins of the clipped p: weight, mean p, observed rate.
+    Rows with a missing score or label are left out."""
     pc = clip_prob(p)
-    b = df.select(*groups, pc.alias("_p"), F.col(y).cast("double").alias("_y"),
+    b = scored_rows(df, p, y).select(*groups, pc.alias("_p"), F.col(y).cast("double").alias("_y"),
                   bin_index(pc, n_bins).alias("bin"))
     per = b.groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("n_bin"),
                                         F.avg("_p").alias("mean_p"), F.avg("_y").alias("obs_rate"))
@@ -149,8 +164,10 @@ def confidence_metrics(df: DataFrame, p: str, y: str, groups: Sequence[str],
 
     One row-level pass aggregates per (group, bin); every calibration number
     is then a sum over at most ``n_bins`` rows per group.  AUC comes from the
-    rank machinery and is joined on the group keys."""
+    rank machinery and is joined on the group keys.  Rows with a missing score
+    or label are left out of every metric."""
     groups = list(groups)
+    df = scored_rows(df, p, y)
     pc = clip_prob(p)
     yy = F.col(y).cast("double")
     rows = df.select(*groups, pc.alias("_p"), yy.alias("_y"), bin_index(pc, n_bins).alias("_bin"))
@@ -230,11 +247,12 @@ def paired_signed_rank(metrics: DataFrame, split: str, rung: str, metric: str,
     nz = d.where(F.col("d") != 0).withColumn("ad", F.abs("d"))
     w = Window.partitionBy(rung, metric).orderBy("ad")
     wt = Window.partitionBy(rung, metric, "ad")
-    ranked = nz.withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
+    ranked = nz.withColumn("t", F.count(F.lit(1)).over(wt)).withColumn("r", F.rank().over(w) + (F.col("t") - 1) / 2.0)
     ws = ranked.groupBy(rung, metric).agg(
         F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
         F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
-        F.count(F.lit(1)).alias("n_nonzero"))
+        F.count(F.lit(1)).alias("n_nonzero"),
+        F.sum(F.col("t") * F.col("t") - 1).alias("tie_term"))  # sum of t^3 - t over the tied runs
     delta = d.groupBy(rung, metric).agg(F.avg("d").alias("delta"), F.count(F.lit(1)).alias("n_pairs"))
     return delta.join(ws, [rung, metric], "left").withColumn(
         "w_stat", F.least("w_plus", "w_minus"))
@@ -259,7 +277,7 @@ def top_n_positives(df: DataFrame, p: str, y: str, id_col: str, n_per_group: Dat
     cut = j.where((above < F.col("n_top")) & (at_or_above >= F.col("n_top"))).select(
         *groups, F.col("v").alias("_cut"),
         (F.col("tp") - F.col("n_pos")).alias("_pos_above"),
-        (F.col("n_top") - above).alias("_need"))
+        (F.col("n_top") - above).alias("_need")).transform(retain)  # read three times
     # tie group at the cut: first ``_need`` rows by id.  ``cut`` has one row
     # per group (group-count-sized).
     ties = df.select(*groups, id_col, F.col(y).cast("bigint").alias("_y"), F.col(p).alias("_v")) \

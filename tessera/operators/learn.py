@@ -28,6 +28,7 @@ from tessera.session import retain
 GBT_STEP = 0.05
 GBT_VALIDATION_FRACTION = 0.1
 LOGISTIC_C = 1.0
+RIDGE_ALPHA = 1.0
 
 
 def assemble(df: DataFrame, arrays: Sequence[str], out: str = "features") -> DataFrame:
@@ -108,7 +109,11 @@ def fit_regressor(train: DataFrame, test: DataFrame, kind: str = "gbt",
     elif kind == "forest":
         est = RandomForestRegressor(labelCol="y", featuresCol="features", numTrees=100, seed=seed)
     else:
-        est = LinearRegression(labelCol="y", featuresCol="features", regParam=1.0, elasticNetParam=0.0)
+        # ridge alpha on the summed squared error is alpha / n on Spark's mean loss, which
+        # divides the penalty by the label's standard deviation once more
+        n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
+        est = LinearRegression(labelCol="y", featuresCol="features", regParam=RIDGE_ALPHA / max(1, n) * (sd or 1.0),
+                               elasticNetParam=0.0, standardization=False)
     return est.fit(train).transform(test).select(*keep, F.col("prediction").alias("p"))
 
 

@@ -2,165 +2,101 @@
 
 ``rank() OVER (ORDER BY v)`` without a partition sends every row to one task.
 Everything here works on the *value-count table* instead: ties collapse in a
-map-side-combined ``groupBy(groups, v)``; prefix sums over it are computed
-inside quantile buckets (``partitionBy(groups, bucket)``) plus a small
-per-bucket offset table.  No step holds a whole group in one task:
-the biggest window partition is one bucket of distinct values.
+map-side-combined ``groupBy(groups, v)``, and prefix sums over it are computed
+inside the ranges of a range partitioning on (groups, v, tie break) plus an
+offset table with one row per (group, range).  The ranges come from Spark's
+own sampling, in the columns' own types, so there is one code path at every
+size, a hot group or a tied value is split like any other run of rows, and no
+task holds more than a range.
 
 Ranks are *average* ranks (ties share the mean of their positions), the
-convention of rank tests, Spearman and ROC-AUC.
+convention of rank tests, Spearman and ROC-AUC.  Missing values (NULL, NaN) are
+never ranked, rows with a NULL label are not counted, and a NULL group is a
+group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from tessera.session import retain
+from pyspark.sql.types import DoubleType, FloatType
+
+from tessera.session import write_shared
 
 BUCKET = "_bucket"
 
 
-# Distinct values one window partition may hold; beyond it the scan is split
-# into quantile buckets (sized from the measured count of the value table).
-ROWS_PER_BUCKET = 1_000_000
-# below this many distinct values per bucket, splitting costs more than it saves
-MIN_ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 8192
-QUANTILE_GRID = 256
+def present(df: DataFrame, column: str) -> Column:
+    """True where ``column`` is neither NULL nor NaN."""
+    c = F.col(column)
+    return c.isNotNull() & ~F.isnan(c) if isinstance(df.schema[column].dataType, (DoubleType, FloatType)) else c.isNotNull()
 
 
-def _bucket_count(spark, n: int) -> int:
-    """Enough buckets for memory (ROWS_PER_BUCKET) and, when the table is large
-    enough, for parallelism (one per shuffle partition)."""
-    par = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    need = -(-n // ROWS_PER_BUCKET)
-    want = min(par, n // MIN_ROWS_PER_BUCKET)
-    return int(min(MAX_BUCKETS, max(1, need, want)))
+def join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL; the keys come from ``a``."""
+    other = b.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    joined = a.join(other, [a[k].eqNullSafe(other[f"_key_{k}"]) for k in keys], how)
+    return joined.drop(*[f"_key_{k}" for k in keys])
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (),
                  label: str | None = None) -> DataFrame:
-    """One row per (groups, v): ``n`` rows and ``n_pos`` positives (label 1).
-
-    NULL values are dropped (missing is never ranked)."""
+    """One row per (groups, v): ``n`` rows and ``n_pos`` positives (label 1)."""
+    kept = df.where(present(df, value))
     aggs = [F.count(F.lit(1)).alias("n")]
     if label is not None:
+        kept = kept.where(F.col(label).isNotNull())
         aggs.append(F.sum(F.col(label).cast("bigint")).alias("n_pos"))
-    return (df.where(F.col(value).isNotNull())
-            .groupBy(*groups, F.col(value).alias("v")).agg(*aggs))
-
-
-def add_buckets(vc: DataFrame, order_col: str = "v", n_buckets: int | None = None) -> DataFrame:
-    """Attach an order-preserving bucket id from approximate quantiles of ``order_col``.
-
-    Boundaries only affect balance, never results: a tie (same value) always
-    lands in one bucket.  Without an explicit ``n_buckets`` the count of the
-    value table decides: one bucket per ``ROWS_PER_BUCKET`` distinct values
-    (count and quantiles come from the same aggregation job).  The value
-    table is persisted because that job and the scan both read it."""
-    if n_buckets is not None and n_buckets <= 1:
-        return _single(vc)
-    vc = vc.transform(retain)
-    grid = n_buckets or QUANTILE_GRID
-    probs = [i / grid for i in range(1, grid)]
-    v = F.col(order_col).cast("double")
-    row = vc.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(v, probs, 4 * grid).alias("q")).first()
-    if n_buckets is None:
-        n_buckets = _bucket_count(vc.sparkSession, int(row["n"]))
-        if n_buckets <= 1:
-            return _single(vc)
-        if n_buckets > grid:  # only at very large scale: a finer grid, one more job
-            probs = [i / n_buckets for i in range(1, n_buckets)]
-            qs = vc.agg(F.percentile_approx(v, probs, 4 * n_buckets)).first()[0]
-        else:
-            qs = [row["q"][int(i * grid / n_buckets) - 1] for i in range(1, n_buckets)]
-    else:
-        qs = row["q"]
-    splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
-    if len(splits) < 3:
-        return _single(vc)
-    b = Bucketizer(splits=splits, inputCol=order_col, outputCol=BUCKET, handleInvalid="keep")
-    return b.transform(vc.withColumn(order_col, F.col(order_col).cast("double"))) \
-        .withColumn(BUCKET, F.col(BUCKET).cast("int"))
-
-
-def _single(vc: DataFrame) -> DataFrame:
-    out = vc.withColumn(BUCKET, F.lit(0))
-    out._tessera_single = True  # type: ignore[attr-defined]
-    return out
+    return kept.groupBy(*groups, F.col(value).alias("v")).agg(*aggs)
+
+
+def add_ranges(vc: DataFrame, groups: Sequence[str], order_col: str = "v", n_buckets: int | None = None,
+               tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Range-partition by (groups, order, tie break) and attach the number of the
+    range.  Numbers follow the order; AQE merges small ranges (not with an
+    explicit ``n_buckets``).  Stored as a table: the totals and the scan must
+    read the same ranges, also after an executor or a cached block is lost."""
+    keys = [*groups, order_col, *tiebreak]
+    parts = vc.repartitionByRange(n_buckets, *keys) if n_buckets else vc.repartitionByRange(*keys)
+    return write_shared(parts.withColumn(BUCKET, F.spark_partition_id()), "ranges")
 
 
 def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
                 order_col: str = "v", descending: bool = False,
                 n_buckets: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """For each row, ``cum_<m>`` = sum of ``m`` over rows strictly before it
-    in ``order_col`` order within ``groups`` (exclusive prefix sum).
-    ``tiebreak`` columns order rows with equal ``order_col`` (ascending).
+    in ``order_col`` order within ``groups`` (exclusive prefix sum), and
+    ``tot_<m>`` = sum over the group.
+    ``tiebreak`` columns order rows with equal ``order_col`` (ascending, or
+    descending with ``descending`` where the ranges have to run that way too).
 
-    Works bucket-wise: a window inside (groups, bucket) and an offset from a
-    (groups x buckets)-row totals table.
+    A window inside (groups, range) plus an offset per (group, range).
     """
     groups = list(groups)
+    if descending and tiebreak:
+        # ranges ascend in all their columns: turn the order round instead of the ranges
+        vc = vc.withColumn("_order", -F.col(order_col))
+        out = prefix_sums(vc, groups, measures, "_order", False, n_buckets, tiebreak)
+        return out.drop("_order")
+    b = add_ranges(vc, groups, order_col, n_buckets, tiebreak)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    b = add_buckets(vc, order_col, n_buckets)
     bucket_order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
-    w_in = Window.partitionBy(*groups, BUCKET).orderBy(order, *[F.col(t).asc() for t in tiebreak]) \
+    before = Window.partitionBy(*groups, BUCKET).orderBy(order, *[F.col(t).asc() for t in tiebreak]) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    if getattr(b, "_tessera_single", False):
-        # one bucket: prefix sums and group totals come out of one window stage
-        w_grp = Window.partitionBy(*groups, BUCKET)
-        return b.select(*[c for c in vc.columns], BUCKET,
-                        *[F.coalesce(F.sum(m).over(w_in), F.lit(0)).alias(f"cum_{m}") for m in measures],
-                        *[F.sum(m).over(w_grp).alias(f"tot_{m}") for m in measures])
-    within = b.select("*", *[F.coalesce(F.sum(m).over(w_in), F.lit(0)).alias(f"_in_{m}")
-                             for m in measures])
+    within = b.select("*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_in_{m}") for m in measures])
     totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    w_off = Window.partitionBy(*groups).orderBy(bucket_order) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*groups)
-    # (groups x buckets) rows: offsets of each bucket and the group totals
+    earlier = Window.partitionBy(*groups).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
     offsets = totals.select(*groups, BUCKET,
-                            *[F.coalesce(F.sum(f"_t_{m}").over(w_off), F.lit(0)).alias(f"_o_{m}")
-                              for m in measures],
-                            *[F.sum(f"_t_{m}").over(w_all).alias(f"tot_{m}") for m in measures])
-    offsets = _small_table(offsets)
-    # a proven-small local table is broadcast; otherwise AQE decides from runtime size
-    # null-safe on the group keys: a NULL group is a group like any other
-    keys = [*groups, BUCKET]
-    off = offsets.select(*[F.col(k).alias(f"_g_{k}") for k in keys],
-                         *[c for c in offsets.columns if c not in keys])
-    off = F.broadcast(off) if _is_local(offsets) else off
-    cond = [within[k].eqNullSafe(off[f"_g_{k}"]) for k in keys]
-    out = within.join(off, on=cond, how="inner")
-    return out.select(*[within[c] for c in vc.columns], within[BUCKET].alias(BUCKET),
-                      *[(F.col(f"_o_{m}") + F.col(f"_in_{m}")).alias(f"cum_{m}") for m in measures],
+                            *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
+                            *[F.sum(f"_t_{m}").over(whole).alias(f"tot_{m}") for m in measures])
+    out = join_null_safe(within, offsets, [*groups, BUCKET])
+    return out.select(*vc.columns, BUCKET, *[(F.col(f"_o_{m}") + F.col(f"_in_{m}")).alias(f"cum_{m}") for m in measures],
                       *[F.col(f"tot_{m}") for m in measures])
 
 
-SMALL_TABLE_ROWS = 200_000
-
-
-def _small_table(df: DataFrame) -> DataFrame:
-    """Materialise a (groups x buckets)-sized table as a local relation when it
-    is proven small (at most ``SMALL_TABLE_ROWS`` rows, checked by fetching one
-    row more); otherwise keep it distributed.  The local copy is what the
-    row-sized side joins against, so the big input is not re-read for it."""
-    rows = df.limit(SMALL_TABLE_ROWS + 1).collect()
-    if len(rows) > SMALL_TABLE_ROWS:
-        return df
-    local = df.sparkSession.createDataFrame(rows, df.schema)
-    local._tessera_local = True  # type: ignore[attr-defined]
-    return local
-
-
-def _is_local(df: DataFrame) -> bool:
-    return bool(getattr(df, "_tessera_local", False))
-
-
 def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (),
                   label: str | None = None, n_buckets: int | None = None) -> DataFrame:
     """WN1: value-count table with ``avg_rank`` (1-based, ties averaged)."""
@@ -196,7 +132,7 @@ def rank_test_from_counts(vc: DataFrame, groups: Sequence[str] = (),
     nn = n1 + n0
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2.0
     res = agg.withColumn("u_pos", u1).withColumn("u_neg", n1 * n0 - F.col("u_pos"))
-    sigma = F.sqrt(n1 * n0 / 12.0 * ((nn + 1) - F.col("tie_term") / (nn * (nn - 1))))
+    sigma = F.sqrt(n1 * n0 / 12.0 * ((nn + 1) - F.try_divide(F.col("tie_term"), nn * (nn - 1))))
     mu = n1 * n0 / 2.0
     return (res.withColumn("z", F.try_divide(F.greatest("u_pos", "u_neg") - mu - 0.5, sigma))
             .withColumn("auc", F.try_divide(F.col("u_pos"), n1 * n0))
@@ -210,17 +146,14 @@ def exact_quantile(df: DataFrame, value: str, groups: Sequence[str] = (), q: flo
     Same result as ``percentile``/numpy, but computed from cumulative counts:
     no group's values are ever held together in one task.
     """
-    df, groups, drop = _grouped(df, groups)
-    return quantile_from_counts(value_counts(df, value, groups), groups, q, n_buckets).drop(*drop)
+    return quantile_from_counts(value_counts(df, value, groups), groups, q, n_buckets)
 
 
 def quantile_from_counts(vc: DataFrame, groups: Sequence[str], q: float = 0.5,
                          n_buckets: int | None = None) -> DataFrame:
-    """``exact_quantile`` on a value-count table (groups, v, n); groups non-empty."""
+    """``exact_quantile`` on a value-count table (groups, v, n)."""
     groups = list(groups)
-    ps = prefix_sums(vc, groups, ["n"], n_buckets=n_buckets)
-    w_tot = vc.groupBy(*groups).agg(F.sum("n").alias("_N"))
-    pos = ps.join(w_tot, on=groups, how="inner")
+    pos = prefix_sums(vc, groups, ["n"], n_buckets=n_buckets).withColumnRenamed("tot_n", "_N")
     # 0-based fractional position h = q*(N-1); neighbours floor(h), floor(h)+1
     h = F.lit(q) * (F.col("_N") - 1)
     lo = F.floor(h)
@@ -247,15 +180,11 @@ def descending_counts(df: DataFrame, score: str, label: str, groups: Sequence[st
     Columns: groups, v, n, n_pos, tp (positives with score >= v), fp,
     pos_total, neg_total.
     """
-    df, groups, drop = _grouped(df, groups)
-    vc = value_counts(df, score, groups, label)
-    ps = prefix_sums(vc, groups, ["n", "n_pos"], descending=True, n_buckets=n_buckets)
-    tot = vc.groupBy(*groups).agg(F.sum("n_pos").alias("pos_total"),
-                                  (F.sum("n") - F.sum("n_pos")).alias("neg_total"))
+    ps = prefix_sums(value_counts(df, score, groups, label), groups, ["n", "n_pos"], descending=True, n_buckets=n_buckets)
     tp = F.col("cum_n_pos") + F.col("n_pos")
     fp = (F.col("cum_n") + F.col("n")) - tp
-    out = ps.select(*groups, "v", "n", "n_pos", tp.alias("tp"), fp.alias("fp"))
-    return out.join(tot, on=groups, how="inner").drop(*drop)
+    return ps.select(*groups, "v", "n", "n_pos", tp.alias("tp"), fp.alias("fp"), F.col("tot_n_pos").alias("pos_total"),
+                     (F.col("tot_n") - F.col("tot_n_pos")).alias("neg_total"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, groups: Sequence[str] = (),
@@ -274,13 +203,11 @@ def bh_adjust(df: DataFrame, p: str, groups: Sequence[str] = (),
     largest position), then the running minimum from the largest p down,
     capped at 1.  Computed on distinct p-values and joined back on (groups, p).
     """
-    df, groups, drop = _grouped(df.withColumn(p, F.col(p).cast("double")), groups)
-    vc = value_counts(df, p, groups)
-    ps = prefix_sums(vc, groups, ["n"], n_buckets=n_buckets)
-    m = vc.groupBy(*groups).agg(F.sum("n").alias("_m"))
-    b = ps.join(m, on=groups, how="inner") \
-        .withColumn("_q", F.col("v") * F.col("_m") / (F.col("cum_n") + F.col("n")))
-    # running min from the top: min over p' >= p, bucket-wise like prefix_sums
+    groups = list(groups)
+    df = df.withColumn(p, F.col(p).cast("double"))
+    ps = prefix_sums(value_counts(df, p, groups), groups, ["n"], n_buckets=n_buckets)
+    b = ps.withColumn("_q", F.col("v") * F.col("tot_n") / (F.col("cum_n") + F.col("n")))
+    # running min from the top: min over p' >= p, range-wise like prefix_sums
     w_in = Window.partitionBy(*groups, BUCKET).orderBy(F.col("v").desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
     within = b.withColumn("_in", F.min("_q").over(w_in))
@@ -288,10 +215,10 @@ def bh_adjust(df: DataFrame, p: str, groups: Sequence[str] = (),
     w_off = Window.partitionBy(*groups).orderBy(F.col(BUCKET).desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     off = tmin.select(*groups, BUCKET, F.min("_t").over(w_off).alias("_o"))
-    adj = within.join(off, on=[*groups, BUCKET], how="inner").select(
+    adj = join_null_safe(within, off, [*groups, BUCKET]).select(
         *groups, F.col("v").alias(p),
         F.least(F.lit(1.0), F.coalesce(F.least("_in", "_o"), F.col("_in"))).alias("p_adjusted"))
-    return df.join(adj, on=[*groups, p], how="left").drop(*drop)
+    return join_null_safe(df, adj, [*groups, p], "left")
 
 
 def spearman_binary(long: DataFrame, feature: str, value: str, label: str,
@@ -321,11 +248,3 @@ def spearman_binary(long: DataFrame, feature: str, value: str, label: str,
     vy = syy - sy * sy / N
     rho = F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy))
     return per.select(feature, rho.alias("rho"))
-
-
-def _grouped(df: DataFrame, groups: Sequence[str]):
-    """Give an ungrouped computation one constant group so every join stays an equi-join."""
-    groups = list(groups)
-    if groups:
-        return df, groups, []
-    return df.withColumn("_all", F.lit(0)), ["_all"], ["_all"]

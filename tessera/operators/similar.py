@@ -8,8 +8,9 @@ Fingerprints are sorted arrays of set positions computed inside each row
   position; intersections are counted per (query, reference) pair.  Works for
   any size; AQE splits skewed (hot) positions.
 * ``bitmap``: the reference side is measured first and broadcast only when
-  it fits ``max_broadcast_bytes``; queries stream through Arrow batches and a
-  0/1 matrix product gives all intersections of a batch at once.
+  it fits ``max_broadcast_bytes``; queries stream through Arrow batches, blocks
+  of references whose set sizes cannot reach a query's k-th best are skipped,
+  and a 0/1 matrix product gives the intersections with the others.
 
 Only the k best neighbours per query leave a task: top-k is taken per
 (query, reference-salt) first and then per query, so no task ever holds all
@@ -77,22 +78,40 @@ def _dense(bit_lists, n_bits: int = N_BITS) -> np.ndarray:
     return m
 
 
-def _top_rows(sim: np.ndarray, kk: int) -> np.ndarray:
-    """Column indices of the kk best entries per row: similarity desc, then
-    column (= reference id, columns are id-sorted) asc."""
-    n_ref = sim.shape[1]
-    if kk >= n_ref:
-        return np.argsort(-sim, axis=1, kind="stable")[:, :kk]
-    part = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
-    kth = sim[np.arange(sim.shape[0])[:, None], part].min(axis=1)
-    out = np.empty((sim.shape[0], kk), dtype=np.int64)
-    for i in range(sim.shape[0]):
-        cand = np.nonzero(sim[i] >= kth[i])[0]
-        out[i] = cand[np.argsort(-sim[i, cand], kind="stable")[:kk]]
-    return out
+REF_BLOCK = 8192
 
 
-REF_BLOCK = 8192
+def _size_blocks(sizes: np.ndarray, block: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, least size, largest size) of runs of references that are
+    sorted by size."""
+    return [(a, min(a + block, len(sizes)), int(sizes[a]), int(sizes[min(a + block, len(sizes)) - 1]))
+            for a in range(0, len(sizes), block)]
+
+
+def _bound(n: np.ndarray, least: int, largest: int) -> np.ndarray:
+    """The similarity that sets of ``n`` elements can reach with sets of
+    ``least`` to ``largest``: at most the ratio of the sizes."""
+    n = np.maximum(n, 1e-9)
+    return np.minimum(1.0, np.minimum(largest / n, n / max(least, 1e-9)))
+
+
+class _Best:
+    """The k best references per query so far: similarity desc, reference id asc."""
+
+    def __init__(self, n: int, k: int):
+        self.sim = np.full((n, k), -1.0)
+        self.rid = np.full((n, k), np.iinfo(np.int64).max)
+
+    def offer(self, rows: np.ndarray, sim: np.ndarray, rids: np.ndarray) -> None:
+        k = self.sim.shape[1]
+        for at, row in enumerate(rows):
+            # only entries that may displace the k-th are sorted
+            near = np.flatnonzero((sim[at] > 0) & (sim[at] >= self.sim[row, -1]))
+            if not len(near):
+                continue
+            s, r = np.append(self.sim[row], sim[at, near]), np.append(self.rid[row], rids[near])
+            order = np.lexsort((r, -s))[:k]
+            self.sim[row], self.rid[row] = s[order], r[order]
 
 
 def _bitmap_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool,
@@ -101,70 +120,57 @@ def _bitmap_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool,
     """Top-k neighbours per query against a broadcast, size-checked reference.
 
     The reference is measured first (one aggregation); it is only collected
-    and broadcast (as sorted int16 position lists) when it fits
-    ``max_broadcast_bytes``; otherwise None is returned and the caller uses
-    the equi-join.  Queries stream through Arrow batches; intersections of a
-    query chunk with a block of at most ``ref_block`` references are one 0/1
-    matrix product, and a running top-k is merged block by block, so a
-    task's memory is bounded by one dense block whatever the reference size."""
+    and broadcast when its position lists fit ``max_broadcast_bytes``;
+    otherwise None is returned and the caller uses the equi-join.  References
+    are sorted by set size and cut into blocks; queries stream through Arrow
+    batches and visit the blocks from the best reachable similarity down.  A
+    block is skipped for every query whose k-th best similarity is above what
+    the block's sizes can reach (an exact bound), and intersections with the
+    rest are one 0/1 matrix product, so a task holds one dense block."""
     stats = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("bits")).alias("s")).first()
     n_ref, n_pos = int(stats["n"]), int(stats["s"] or 0)
-    if n_ref == 0 or n_ref * 24 + n_pos * 2 > max_broadcast_bytes:
+    if n_ref == 0 or n_ref * 24 + n_pos * 4 > max_broadcast_bytes:
         return None
     kk = min(k, n_ref - (1 if exclude_self else 0))
     if kk <= 0:
         return None
-    ref = r.select("rid", "bits").toPandas().sort_values("rid", kind="stable")
-    payload = (ref["rid"].to_numpy(dtype=np.int64),
-               [np.asarray(b, dtype=np.int16) for b in ref["bits"]])
+    ref = r.select("rid", "bits", F.size("bits").alias("n")).toPandas().sort_values(["n", "rid"], kind="stable")
+    payload = (ref["rid"].to_numpy(), ref["n"].to_numpy(dtype=np.int64),
+               [np.asarray(b, dtype=np.int32) for b in ref["bits"]])
     ref_value = share(q.sparkSession, payload)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rids, rbits = ref_value()
-        rs = np.array([len(b) for b in rbits], dtype=np.int64)
-        blocks = [(b0, min(b0 + ref_block, len(rids))) for b0 in range(0, len(rids), ref_block)]
+        rids, rsize, rbits = ref_value()
+        blocks = _size_blocks(rsize, ref_block)
         dense_once = _dense(rbits, n_bits) if len(blocks) == 1 else None
         step = max(1, min(1024, (32 << 20) // max(1, 4 * min(len(rids), ref_block))))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            qids_all = pdf["qid"].to_numpy(dtype=np.int64)
             for s in range(0, len(pdf), step):
-                qids = qids_all[s:s + step]
-                qm = _dense(list(pdf["bits"].iloc[s:s + step]), n_bits)
-                qs = qm.sum(axis=1).astype(np.int64)
-                best = None  # (sim, ref index, inter, union), each (nq, <=kk)
-                for b0, b1 in blocks:
-                    rm = dense_once if dense_once is not None else _dense(rbits[b0:b1], n_bits)
-                    inter = np.rint(qm @ rm.T).astype(np.int64)
-                    union = qs[:, None] + rs[None, b0:b1] - inter
-                    sim = np.where(union > 0, inter / np.maximum(union, 1), 0.0)
+                part = pdf.iloc[s:s + step]
+                qids, qm = part["qid"].to_numpy(), _dense(list(part["bits"]), n_bits)
+                qsize = qm.sum(axis=1)
+                best = _Best(len(part), kk)
+                reach = [_bound(qsize, least, largest) for _, _, least, largest in blocks]
+                for at in sorted(range(len(blocks)), key=lambda i: -reach[i].sum()):
+                    rows = np.flatnonzero(reach[at] >= best.sim[:, -1])
+                    if not len(rows):
+                        continue
+                    a, b, _, _ = blocks[at]
+                    rm = dense_once if dense_once is not None else _dense(rbits[a:b], n_bits)
+                    shared = (qm[rows] @ rm.T).astype(float)
+                    sim = shared / np.maximum(qsize[rows][:, None] + rsize[a:b] - shared, 1.0)
                     if exclude_self:
-                        sim = np.where(qids[:, None] == rids[None, b0:b1], -1.0, sim)
-                    idx = _top_rows(sim, min(kk, b1 - b0))
-                    rows = np.arange(idx.shape[0])[:, None]
-                    cand = (sim[rows, idx], idx + b0, inter[rows, idx], union[rows, idx])
-                    if best is not None:
-                        cand = tuple(np.concatenate([a, c], axis=1) for a, c in zip(best, cand))
-                    # keep kk: similarity desc, then reference position (= id order) asc
-                    order = np.lexsort((cand[1], -cand[0]), axis=-1)[:, :kk]
-                    rows = np.arange(order.shape[0])[:, None]
-                    best = tuple(a[rows, order] for a in cand)
-                yield pd.DataFrame({"qid": np.repeat(qids, best[1].shape[1]),
-                                    "rid": rids[best[1]].ravel(),
-                                    "inter": best[2].ravel(), "union_size": best[3].ravel()})
-
-    schema = "qid long, rid long, inter long, union_size long"
-    res = q.select("qid", "bits").mapInPandas(run, schema)
-    # zero-overlap picks are not neighbours: the equi-join never produces them either
-    res = res.where(F.col("inter") > 0)
-    sim = F.when(F.col("union_size") > 0, F.col("inter") / F.col("union_size")).otherwise(0.0)
-    return res.select("qid", "rid", sim.alias("sim"))
+                        sim[qids[rows][:, None] == rids[a:b]] = 0.0
+                    best.offer(rows, sim, rids[a:b])
+                found = best.sim > 0
+                yield pd.DataFrame({"qid": np.repeat(qids, found.sum(axis=1)), "rid": best.rid[found], "sim": best.sim[found]})
+
+    return q.select("qid", "bits").mapInPandas(run, "qid long, rid long, sim double")
 
 
 def topk_neighbours(queries: DataFrame, refs: DataFrame, k: int = 1, exclude_self: bool = False,
                     strategy: str = "auto", max_broadcast_bytes: int = 128 << 20,
-                    salts: int = 64, ref_block: int = REF_BLOCK) -> DataFrame:
+                    salts: int = 64, ref_block: int = REF_BLOCK, n_bits: int = N_BITS) -> DataFrame:
     """WN3: the k most similar references per query (Tanimoto), ties by
     reference id.  Inputs: ``queries(qid, bits)``, ``refs(rid, bits)``.
 
@@ -172,7 +178,7 @@ def topk_neighbours(queries: DataFrame, refs: DataFrame, k: int = 1, exclude_sel
     than k overlapping references get fewer rows (callers pad)."""
     res = None
     if strategy in ("auto", "bitmap"):
-        res = _bitmap_topk(queries, refs, k, exclude_self, max_broadcast_bytes, ref_block=ref_block)
+        res = _bitmap_topk(queries, refs, k, exclude_self, max_broadcast_bytes, n_bits, ref_block)
         if res is None and strategy == "bitmap":
             raise ValueError("reference side exceeds the broadcast budget")
     if res is None:
@@ -260,7 +266,7 @@ def minhash_join(queries: DataFrame, refs: DataFrame, threshold: float = 0.6,
 
     Sparse binary vectors come from a fixed-vocabulary vectoriser (position i
     -> index i, JVM-side, deterministic); candidate pairs from
-    ``MinHashLSH.approxSimilarityJoin`` (Jaccard distance < threshold);
+    ``MinHashLSH.approxSimilarityJoin`` (Jaccard distance <= threshold);
     similarities are then recomputed exactly.  Recall is below 1 by design;
     the exact operators above are the reference."""
     from pyspark.ml.feature import MinHashLSH
@@ -275,7 +281,8 @@ def minhash_join(queries: DataFrame, refs: DataFrame, threshold: float = 0.6,
     qv, rv = prep(queries, "qid"), prep(refs, "rid")
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=num_tables,
                        seed=seed).fit(rv)
-    pairs = model.approxSimilarityJoin(qv, rv, threshold, distCol="jaccard_distance")
+    # the join keeps distances strictly below its bound: the bound itself counts here
+    pairs = model.approxSimilarityJoin(qv, rv, threshold + 1e-9, distCol="jaccard_distance")
     p = pairs.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.rid").alias("rid"),
                      F.col("datasetA.bits").alias("qb"), F.col("datasetB.bits").alias("rb"))
     inter = F.size(F.array_intersect("qb", "rb"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,17 +83,9 @@ def split_registry(df: DataFrame, id_col: str, label: str, group: str, n_random:
     return rnd.unionByName(grp)
 
 
-def size_grid(n_features: int, n_points: int = 90, lo: int = 2) -> list[int]:
-    """ST4: rounded evenly spaced feature counts in [lo, n_features], unique, sorted.
-
-    Rounding is half-to-even, as NumPy does."""
-    vals = np.clip(np.round(np.linspace(lo, n_features, n_points)).astype(int), lo, n_features)
-    return sorted({int(v) for v in vals})
-
-
-def size_grid_frame(spark, p_values: Sequence[int], n_points: int = 90, lo: int = 2) -> DataFrame:
-    """ST4 as a table built by Spark: ``sequence`` + ``bround`` + ``distinct``."""
-    rows = spark.createDataFrame([(int(p),) for p in p_values], "p int")
+def size_grid_frame(rows: DataFrame, n_points: int = 90, lo: int = 2) -> DataFrame:
+    """ST4: (p, m) rounded evenly spaced feature counts between ``lo`` and every
+    p of ``rows``, each once."""
     i = F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i")
     g = rows.select("p", i)
     # same operation order as an evenly spaced grid: start + i * ((stop - start) / (n - 1))

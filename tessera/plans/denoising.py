@@ -85,7 +85,7 @@ def ag11_spectrum(spark, sf_dir):
     """AG11: eigenvalues (descending) with the strict signal flag."""
     sel, _ = _fit(spark, sf_dir)
     s = sel.spectrum
-    rows = [(i + 1, float(v), bool(f)) for i, (v, f) in enumerate(zip(s.eigvals, s.signal))]
+    rows = [(i + 1, float(v), bool(f)) for i, (v, f) in enumerate(zip(s.eigvals[::-1], s.signal[::-1]))]
     return finish(spark.createDataFrame(rows, "position int, eigenvalue double, is_signal boolean"))
 
 
@@ -160,7 +160,7 @@ def ag18_constant_filter(spark, sf_dir):
 def _prefix_scores(spark, sf_dir):
     e = sp.hash_kfold(fx.embeddings(spark, sf_dir), "id", 5)
     p = e.agg(F.max(F.size("x"))).first()[0]
-    grid = sp.size_grid(int(p))
+    grid = _sizes(spark, int(p))
     cum = F.transform(F.sequence(F.lit(1), F.size("x")),
                       lambda i: F.aggregate(F.slice("x", 1, i), F.lit(0.0), lambda a, v: a + v))
     long = e.select("fold", "id", "y", F.posexplode(cum).alias("pos", "score")) \
@@ -197,6 +197,11 @@ def wn08_fold_order(spark, sf_dir):
     return spark.createDataFrame(rows, "fold int, position int, j int")
 
 
+def _sizes(spark, p: int, n_points: int = 90) -> list[int]:
+    """The feature counts of ST4 for one p, ascending."""
+    return sorted(r["m"] for r in sp.size_grid_frame(spark.createDataFrame([(p,)], "p int"), n_points).collect())
+
+
 def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4, threads: int = 8):
     """ML10: inner choice of the feature count: per stratified 70/30 shuffle,
     re-rank features on the fit part, then for each m fit the balanced
@@ -207,7 +212,7 @@ def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4, threa
     z-scored block, so each fold is z-scored once and persisted; the m fits
     of a fold read that block and run concurrently."""
     p = train.agg(F.max(F.size("x"))).first()[0]
-    grid = sp.size_grid(int(p), grid_points)
+    grid = _sizes(spark, int(p), grid_points)
     sss = sp.stratified_shuffle(train.select("id", "y"), "id", "y", n_inner, 0.7)
     tasks, held = [], []
     for r in range(n_inner):

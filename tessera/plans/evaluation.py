@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.keys import mul_mod32
 from tessera.functions.stats import signed_rank_p
 from tessera.operators import evaluate as ev
+from tessera.operators import learn as ln
 from tessera.operators import rank
 from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
@@ -362,9 +363,7 @@ def ag08_bh_adjust(spark, sf_dir):
 
 def _blend_grid(spark, sf_dir):
     s = fx.scores(spark, sf_dir)
-    g = s.select("y", "p_a", "p_b", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("k"))
-    w = (F.col("k") / 40.0)
-    return g.select(w.alias("w"), "y", (w * F.col("p_a") + (1 - w) * F.col("p_b")).alias("p"))
+    return ln.blend_grid(s.select("id", "y", F.col("p_a").alias("p")), s.select("id", F.col("p_b").alias("p")))
 
 
 _GRID_SQL = with_(SCORES) + """
@@ -381,8 +380,7 @@ aucw AS (SELECT w, (sum(ar) FILTER (WHERE y = 1) - sum(y)::DOUBLE * (sum(y) + 1)
 SELECT round(w, 6) AS w, round(auc, 6) AS auc FROM aucw""")
 def ag40_blend_grid(spark, sf_dir):
     """AG40: AUC of w*a + (1-w)*b for 41 weights (rows generated per weight, not joined)."""
-    r = rank.rank_sum_test(_blend_grid(spark, sf_dir), "p", "y", ["w"])
-    return finish(r.select("w", "auc"))
+    return finish(_blend_grid(spark, sf_dir).select("w", F.col("metric").alias("auc")))
 
 
 @query("tk02_best_blend", _GRID_SQL + """
@@ -390,9 +388,8 @@ SELECT round(min(w), 6) AS best_w, round(max(auc), 6) AS best_auc
 FROM aucw WHERE auc = (SELECT max(auc) FROM aucw)""")
 def tk02_best_blend(spark, sf_dir):
     """TK2: best weight; ties -> the first (smallest) weight."""
-    r = rank.rank_sum_test(_blend_grid(spark, sf_dir), "p", "y", ["w"])
-    b = r.agg(F.max(F.struct("auc", (-F.col("w")).alias("nw"))).alias("b"))
-    return finish(b.select((-F.col("b.nw")).alias("best_w"), F.col("b.auc").alias("best_auc")))
+    best = ln.best_blend(_blend_grid(spark, sf_dir))
+    return finish(best.select("best_w", F.col("best_metric").alias("best_auc")))
 
 
 @query("ag41_lift", _GRID_SQL + """
@@ -401,10 +398,7 @@ SELECT round(max(auc) - greatest(max(auc) FILTER (WHERE w = 0), max(auc) FILTER
 FROM aucw""")
 def ag41_lift(spark, sf_dir):
     """AG41: best blend AUC over the best single model (higher is better for AUC)."""
-    r = rank.rank_sum_test(_blend_grid(spark, sf_dir), "p", "y", ["w"])
-    single = F.greatest(F.max(F.when(F.col("w") == 0, F.col("auc"))),
-                        F.max(F.when(F.col("w") == 1, F.col("auc"))))
-    return finish(r.agg((F.max("auc") - single).alias("lift"), single.alias("best_single")))
+    return finish(ln.best_blend(_blend_grid(spark, sf_dir)).select("lift", "best_single"))
 
 
 @query("tk04_model_ranking", with_(SCORES) + """

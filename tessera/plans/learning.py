@@ -273,9 +273,9 @@ def _stack(spark, sf_dir, folds):
     base = rank.rank_sum_test(oofs, "p", "y", ["model"]).select("model", "auc")
     wide = oofs.groupBy("id", "y", "fold").pivot("model", list(_learners())).agg(F.first("p"))
     names = list(_learners())
-    # mean blend of the probability learners (margins are not probabilities)
-    probs = [n for n in names if n != "svc"]
-    wide = wide.withColumn("mean_blend", sum(F.col(n) for n in probs) / float(len(probs)))
+    # mean blend of all learners; a margin enters through the logistic function
+    parts = [1.0 / (1.0 + F.exp(-F.col(n))) if n == "svc" else F.col(n) for n in names]
+    wide = wide.withColumn("mean_blend", sum(parts) / float(len(parts)))
     mean_auc = rank.rank_sum_test(wide.withColumn("_m", F.lit("mean_blend")), "mean_blend", "y", ["_m"]) \
         .select(F.col("_m").alias("model"), "auc")
     # meta-learner CV on the OOF columns (non-nested, as in the reference protocol)

@@ -87,8 +87,4 @@ def st04_size_grid(spark, sf_dir):
     p1 = table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("p"))
     p2 = table(spark, sf_dir, "part").select("p_size").distinct().agg(F.count(F.lit(1)).cast("int").alias("p"))
     ps = p1.unionByName(p2).distinct()
-    i = F.explode(F.sequence(F.lit(0), F.lit(89))).alias("i")
-    g = ps.select("p", i)
-    x = F.col("i") * ((F.col("p") - 2) / 89.0) + F.lit(2.0)
-    return g.select("p", F.least(F.greatest(F.bround(x, 0).cast("int"), F.lit(2)), F.col("p"))
-                    .alias("m")).distinct()
+    return sp.size_grid_frame(ps)

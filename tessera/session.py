@@ -126,9 +126,11 @@ def retain(df: DataFrame) -> DataFrame:
 
 
 def release() -> int:
-    """Unpersist every intermediate kept by tessera; returns how many.
-    Call between independent queries of a long-lived session."""
-    n = 0
+    """Unpersist every intermediate kept by tessera and delete its shared tables;
+    returns how many.  Call between independent queries of a long-lived session,
+    once their results have been read."""
+    n = len(_SHARED)
+    drop_shared(*[df for df, _ in _SHARED.values()])
     while _PERSISTED:
         _PERSISTED.pop().unpersist(blocking=False)
         n += 1
