@@ -86,6 +86,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes of one Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes: rows differ in size by orders
+    of magnitude (long texts, packed tiles), and a worker holds a batch several
+    times over.  A smaller bound that is already set is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    size = int(now.rstrip("kmg") or -1) * scale
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
