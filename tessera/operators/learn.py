@@ -101,11 +101,12 @@ def fit_forest(train: DataFrame, test: DataFrame, keep: Sequence[str] = ("id", "
 
 
 def fit_regressor(train: DataFrame, test: DataFrame, kind: str = "gbt",
-                  keep: Sequence[str] = ("id", "y"), max_iter: int = 100, seed: int = 42) -> DataFrame:
+                  keep: Sequence[str] = ("id", "y"), max_iter: int = 400, seed: int = 42) -> DataFrame:
     """ML4: regression for RMSE endpoints (``gbt``, ``forest`` or ``linear``)."""
     if kind == "gbt":
-        est = GBTRegressor(labelCol="y", featuresCol="features", maxIter=max_iter,
-                           stepSize=GBT_STEP, seed=seed)
+        train = _validation_flag(train, "id", GBT_VALIDATION_FRACTION)
+        est = GBTRegressor(labelCol="y", featuresCol="features", maxIter=max_iter, stepSize=GBT_STEP,
+                           validationIndicatorCol="_is_val", seed=seed)
     elif kind == "forest":
         est = RandomForestRegressor(labelCol="y", featuresCol="features", numTrees=100, seed=seed)
     else:

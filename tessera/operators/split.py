@@ -68,6 +68,23 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFr
     return df.withColumn("fold", F.pmod(seeded_hash(group, seed), F.lit(k)))
 
 
+def balanced_group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42, label: str | None = None) -> DataFrame:
+    """SP4 with folds of near-equal size (and, with ``label``, near-equal class
+    shares): no group spans two folds.
+
+    Groups are dealt in a snake (0..k-1, k-1..0, ...) from the largest down,
+    separately for groups with and without a majority of label 1; the order is
+    a prefix count over the table of groups, ties broken by hash, then name."""
+    positives = F.sum(F.coalesce(F.col(label).cast("long"), F.lit(0))) if label else F.lit(0)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), positives.alias("_p"))
+    order = sizes.select(group, (F.col("_p") * 2 >= F.col("_n")).cast("int").alias("_s"), (-F.col("_n")).alias("v"),
+                         seeded_hash(group, seed).alias("_h"), F.lit(1).alias("n"))
+    place = F.pmod(F.col("cum_n"), F.lit(2 * k))
+    dealt = rank.prefix_sums(order, ["_s"], ["n"], tiebreak=["_h", group])
+    folds = dealt.select(group, F.when(place < k, place).otherwise(2 * k - 1 - place).cast("long").alias("fold"))
+    return rank.join_null_safe(df, folds, [group])
+
+
 def split_registry(df: DataFrame, id_col: str, label: str, group: str, n_random: int = 10,
                    test_frac: float = 0.2, seed: int = 42) -> DataFrame:
     """SP5: long registry (split_id, set, id, y): ``n_random`` stratified

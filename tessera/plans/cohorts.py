@@ -14,6 +14,7 @@ from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.registry import query
 from tessera.plans.sql_fixtures import DOCS, with_
+from tessera.sources import scans
 from tessera.sources.tables import table
 
 
@@ -43,6 +44,18 @@ def sc01_cohort_scan(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "key", "grp", "cohort", "quality")
 
 
+@query("sc01_missing_labels", """
+SELECT doc_id::VARCHAR AS doc_id, quality::DOUBLE AS quality,
+       CASE WHEN quality = 1 THEN 'active' WHEN quality = 0 THEN 'inactive' ELSE 'screen' END AS cohort
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def sc01_missing_labels(spark, sf_dir):
+    """SC1/PR2: the cohort scan of a table whose missing labels are NaN."""
+    raw = table(spark, sf_dir, "documents").select("doc_id") \
+        .join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    raw = raw.withColumn("quality", F.coalesce(F.col("quality").cast("double"), F.lit(float("nan"))))
+    return scans.cohort_scan(raw, "doc_id", "quality").select("doc_id", "quality", "cohort")
+
+
 _REG_SQL = """
 reg AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'x' || doc_id::VARCHAR
                     WHEN doc_id % 2 = 0 THEN lpad(doc_id::VARCHAR, 8, '0')
@@ -176,16 +189,15 @@ def jn07_feature_coverage(spark, sf_dir):
 
 _ARCHIVED_SQL = """
 , archived AS (
-  SELECT key, (doc_id % 10) / 10.0 AS score FROM docs WHERE lang = 'en'
+  SELECT key, (doc_id % 10) / 10.0 AS score FROM docs
   UNION ALL SELECT sha256(lower(trim(text))), (item_id % 10) / 10.0 FROM benchmark)
 """
 
 
 def _archived(spark, sf_dir):
-    """An archived score table: the English documents' identities plus the
-    benchmark passages (most of which have no exact source document)."""
-    d = _docs(spark, sf_dir).where(F.col("lang") == "en") \
-        .select("key", (F.pmod("doc_id", F.lit(10)) / 10.0).alias("score"))
+    """An archived score table: the documents' identities plus the benchmark
+    passages (most of which have no exact source document)."""
+    d = _docs(spark, sf_dir).select("key", (F.pmod("doc_id", F.lit(10)) / 10.0).alias("score"))
     b = table(spark, sf_dir, "benchmark").select(
         identity_key("text").alias("key"), (F.pmod("item_id", F.lit(10)) / 10.0).alias("score"))
     return d.unionByName(b)
@@ -221,15 +233,13 @@ def jn16_reference_overlap(spark, sf_dir):
 
 
 @query("st01_inventory_difference", """
-SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM labels EXCEPT ALL
-                                       SELECT doc_id FROM documents WHERE lang = 'en')
+SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)
 UNION ALL
-SELECT doc_id, 'extra' FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT ALL
-                             SELECT doc_id FROM labels)""")
+SELECT doc_id, 'extra' FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)""")
 def st01_inventory_difference(spark, sf_dir):
-    """ST1: expected inventory (labelled ids) vs actual (English documents)."""
+    """ST1: expected inventory (labelled ids) vs actual (documents)."""
     exp = table(spark, sf_dir, "labels").select("doc_id")
-    act = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id")
+    act = table(spark, sf_dir, "documents").select("doc_id")
     return co.inventory_difference(exp, act)
 
 

@@ -300,6 +300,23 @@ def ag36_matched_precision(spark, sf_dir):
     return finish(r.select(*G, "n_top", "pos_top", "matched_precision"))
 
 
+@query("ag36_top_fifth_precision", with_(SCORES) + f"""
+, nt AS (SELECT fold, (count(*) + 4) // 5 AS n_top FROM scores GROUP BY fold),
+ranked AS (SELECT s.fold, s.model, s.y, n_top,
+                  row_number() OVER (PARTITION BY s.fold, s.model ORDER BY s.p DESC, s.id) AS rn
+           FROM scores_long s JOIN nt ON s.fold = nt.fold)
+SELECT fold, model, n_top, sum(y) FILTER (WHERE rn <= n_top)::BIGINT AS pos_top,
+       round(sum(y) FILTER (WHERE rn <= n_top)::DOUBLE / n_top, 6) AS matched_precision
+FROM ranked GROUP BY fold, model, n_top""")
+def ag36_top_fifth_precision(spark, sf_dir):
+    """AG36: precision of the most confident fifth of the rows per (fold, score)."""
+    n_top = fx.scores(spark, sf_dir).groupBy("fold").agg(F.floor((F.count(F.lit(1)) + 4) / 5).cast("long").alias("n_top"))
+    lng = _long(spark, sf_dir)
+    nt = lng.select("fold", "model").distinct().join(n_top, "fold", "inner")
+    r = ev.top_n_positives(lng, "p", "y", "id", nt, G)
+    return finish(r.select(*G, "n_top", "pos_top", "matched_precision"))
+
+
 @query("jn13_paired_join", with_(SCORES) + """
 , a AS (SELECT fold, id FROM scores_long WHERE model = 'a'),
 b AS (SELECT s.fold, s.id FROM scores_long s JOIN events e ON s.id = e.event_id

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import identity_key, mul_mod32
+from tessera.session import retain
 from tessera.sources.tables import table
 
 _MEMO: dict[tuple[str, str], DataFrame] = {}
@@ -27,11 +27,10 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     accumulate cached copies."""
     key = (sf_dir, name)
     df = _MEMO.get(key)
-    if df is not None and df.sparkSession is spark:
+    if df is not None and df.sparkSession is spark and df.storageLevel.useMemory:
         return df
-    # a projection of its own, so releasing a builder's intermediates leaves it cached
-    df = build().select("*").persist(StorageLevel.MEMORY_AND_DISK)
-    _MEMO[key] = df
+    # a projection of its own, so a builder's intermediates stay separate; release() drops it
+    df = _MEMO[key] = build().select("*").transform(retain)
     return df
 
 

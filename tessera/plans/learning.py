@@ -4,11 +4,12 @@ Feature blocks of the 64-wide embedding play the reference's feature sets:
 ``base`` = features 0-31 (structure block), ``extra6`` = 32-37 (six global
 scores), ``wide`` = 38-63 (the wide block that gets denoised).  Trained
 scorers are checked by invariants (rows-only), never by value.
-Boosted trees use 60 iterations in these registered runs (library default 400).
+Boosted trees run up to 400 iterations and stop early on their held-out tenth.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
@@ -23,7 +24,7 @@ from tessera.plans.registry import query
 from tessera.sources.tables import table
 from tessera.session import retain
 
-GBT_ITERS = 60
+GBT_ITERS = 400
 BASE, EXTRA6, WIDE = list(range(0, 32)), list(range(32, 38)), list(range(38, 64))
 
 
@@ -45,6 +46,17 @@ def _gbt(tr, te):
     return ln.fit_gbt(tr, te, max_iter=GBT_ITERS)
 
 
+@query("pr07_assembled_blocks", """
+SELECT vec_id AS id, 38 AS width, round(list_sum(list_slice(embedding, 1, 38))::DOUBLE, 4) AS total,
+       round(embedding[33]::DOUBLE, 6) AS first_of_extra FROM embeddings""")
+def pr07_assembled_blocks(spark, sf_dir):
+    """PR7: blocks concatenated in order into one vector."""
+    v = vector_to_array(F.col("features"))
+    a = ln.assemble(_blocks(spark, sf_dir), ["base", "extra6"])
+    return a.select("id", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"),
+                    F.round(v[32], 6).alias("first_of_extra"))
+
+
 @query("ml01_gbt_scores")
 def ml01_gbt_scores(spark, sf_dir):
     """ML1: boosted-tree P(class 1) on the held-out fold."""
@@ -69,7 +81,7 @@ def ml03_linear_svc_scores(spark, sf_dir):
     tasks = []
     for name, cols in [("base", ["base"]), ("extra6", ["extra6"]), ("wide", ["wide"]), ("combined", ["x"])]:
         a, b = ln.assemble(tr, cols), ln.assemble(te, cols)
-        tasks.append(({"block": name}, (lambda a=a, b=b: ln.fit_linear_svc(a, b, max_iter=50))))
+        tasks.append(({"block": name}, (lambda a=a, b=b: ln.fit_linear_svc(a, b))))
     return finish(ln.run_parallel(tasks))
 
 
@@ -261,10 +273,10 @@ def ml15_two_model_blend(spark, sf_dir):
 def _learners():
     return {
         "gbt": _gbt,
-        "forest": lambda tr, te: ln.fit_forest(tr, te, n_trees=50),
-        "logistic": lambda tr, te: ln.fit_logistic(tr, te, max_iter=50),
-        "svc": lambda tr, te: ln.fit_linear_svc(tr, te, max_iter=30),
-        "gbt_deep": lambda tr, te: ln.fit_gbt(tr, te, max_iter=GBT_ITERS // 2, max_depth=5),
+        "forest": ln.fit_forest,
+        "logistic": ln.fit_logistic,
+        "svc": ln.fit_linear_svc,
+        "gbt_deep": lambda tr, te: ln.fit_gbt(tr, te, max_iter=GBT_ITERS, max_depth=5),
     }
 
 
@@ -280,8 +292,7 @@ def _stack(spark, sf_dir, folds):
         .select(F.col("_m").alias("model"), "auc")
     # meta-learner CV on the OOF columns (non-nested, as in the reference protocol)
     meta_in = ln.assemble(wide, names)
-    meta = ln.cv_predictions(meta_in, "fold", lambda tr, te: ln.fit_logistic(tr, te, balanced=False,
-                                                                             max_iter=50), "meta")
+    meta = ln.cv_predictions(meta_in, "fold", lambda tr, te: ln.fit_logistic(tr, te, balanced=False), "meta")
     meta_auc = rank.rank_sum_test(meta, "p", "y", ["model"]).select("model", "auc")
     return base.unionByName(mean_auc).unionByName(meta_auc)
 
@@ -295,11 +306,11 @@ def ml16_stack(spark, sf_dir):
 
 @query("ml17_grouped_eval")
 def ml17_grouped_eval(spark, sf_dir):
-    """ML17: as ML16 with group folds; the group is the index of the largest
-    embedding component (no group spans two folds)."""
+    """ML17: as ML16 with group folds balanced in size and class; the group is the
+    index of the largest embedding component (no group spans two folds)."""
     b = _blocks(spark, sf_dir)
     grp = F.array_position(F.col("x"), F.array_max("x"))
-    folds = sp.group_kfold(b.withColumn("grp", grp), "grp", 5).drop("grp")
+    folds = sp.balanced_group_kfold(b.withColumn("grp", grp), "grp", 5, label="y").drop("grp")
     return finish(_stack(spark, sf_dir, folds))
 
 

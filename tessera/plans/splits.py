@@ -61,6 +61,17 @@ def sp04_group_kfold(spark, sf_dir):
     return sp.group_kfold(d, "grp", 5).select("doc_id", "grp", "fold")
 
 
+@query("sp04_balanced_group_kfold", with_(DOCS) + f"""
+, g AS (SELECT grp, count(*) AS n, sum(coalesce(quality, 0)) * 2 >= count(*) AS s FROM docs GROUP BY grp),
+p AS (SELECT grp, (row_number() OVER (PARTITION BY s ORDER BY n DESC, {_h('grp')}, grp) - 1) % 10 AS place FROM g)
+SELECT doc_id, docs.grp, CASE WHEN place < 5 THEN place ELSE 9 - place END AS fold
+FROM docs JOIN p ON docs.grp IS NOT DISTINCT FROM p.grp""")
+def sp04_balanced_group_kfold(spark, sf_dir):
+    """SP4: folds balanced in size and class over whole groups."""
+    d = fx.docs(spark, sf_dir).select("doc_id", "grp", "quality")
+    return sp.balanced_group_kfold(d, "grp", 5, label="quality").select("doc_id", "grp", "fold")
+
+
 @query("sp05_split_registry", with_(DOCS) + """
 , e AS (SELECT doc_id AS id, coalesce(quality, 0) AS y, grp FROM docs)
 SELECT split_id, set, y, count(*) AS n FROM (
