@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import bound_batches, drop_shared, write_shared
+
 UNDETERMINED = "und"
 PROFILE_SIZE = 300
 #: Labelled documents per language that a profile is learned from (expected number).
 TRAIN_DOCS = 2000
 BLOCK_CHARS = 1 << 20
+BROADCAST_LANGUAGES = 10_000
 SPACE = 32
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -89,9 +92,12 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
     by a hash of their text, or from all when there are fewer.  Only the
     profiles (``size`` keys per language) reach the driver.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share"))
-    chosen = (labelled.join(shares, "lang")
+    shares = write_shared(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share")), "shares")
+    # a checked number of languages is sent to the texts; beyond it Spark plans the join
+    few = shares.count() <= BROADCAST_LANGUAGES
+    chosen = (labelled.join(F.broadcast(shares) if few else shares, "lang")
               .where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
               .select("lang", "text"))
 
@@ -110,6 +116,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
     profiles: dict[str, list[int]] = {}
     for r in sorted(top.select("lang", "place", "gram").collect()):
         profiles.setdefault(r["lang"], []).append(r["gram"])
+    drop_shared(shares)
     return profiles
 
 
