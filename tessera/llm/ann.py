@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.vectors import packed, usable
-from tessera.session import drop_shared, write_shared
+from tessera.session import bound_batches, drop_shared, write_shared
 
 NEIGHBOURS = 24
 REVERSE = 12
@@ -337,6 +337,7 @@ def graph_search(start: DataFrame, lists: DataFrame, nodes: DataFrame, n: int, b
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product found for every query row
     (``is_query``, a condition on the id column): query_id, rank, vec_id, score."""
+    bound_batches(vectors.sparkSession)
     rows = vectors.where(usable(F.col(embedding)) & F.col(vec_id).isNotNull())
     rows = rows.select(F.col(vec_id).alias("vec_id"), packed(F.col(embedding).cast("array<double>")).alias("vector"),
                        is_query.alias("is_query"))

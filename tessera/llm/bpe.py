@@ -29,13 +29,13 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import share
+from tessera.session import bound_batches, share
 
 LONG_PIECE = 512
-GROUP_CHARS = 1 << 20       # characters of text that are encoded together
-GROUP_PIECES = 1 << 18      # pieces of one long text that are encoded together
-CACHE_PIECES = 1 << 18      # different pieces whose ids a task remembers
-BLOCK_CELLS = 1 << 20       # cells of one padded matrix
+GROUP_CHARS = 1 << 18       # characters of text that are encoded together
+GROUP_PIECES = 1 << 16      # pieces of one long text that are encoded together
+CACHE_PIECES = 1 << 17      # different pieces whose ids a task remembers
+BLOCK_CELLS = 1 << 18       # cells of one padded matrix
 MAX_RANK_FILE = 64 << 20
 NO_RANK = np.int32(2**31 - 1)
 
@@ -305,6 +305,7 @@ def _encoder(rank_file: bytes, pattern: str) -> Encoder:
 
 def bpe_encode(spark: SparkSession, text: Column, rank_path: str, pattern: str) -> Column:
     """Packed ids of a text column (null: no ids)."""
+    bound_batches(spark)
     ranks = share(spark, read_ranks(rank_path))
 
     @F.pandas_udf(T.BinaryType())
@@ -316,8 +317,35 @@ def bpe_encode(spark: SparkSession, text: Column, rank_path: str, pattern: str)
     return encode(text)
 
 
+CHECKED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType()),
+                        T.StructField("round_trip", T.BooleanType())])
+
+
+def bpe_round_trip(spark: SparkSession, text: Column, rank_path: str, pattern: str, keep_decoded: bool = True) -> Column:
+    """Struct column (ids, decoded, round_trip) of a text column: the packed ids,
+    the bytes that they decode to (null without ``keep_decoded``), and whether
+    those are the bytes of the text.  One Python worker does both ways."""
+    bound_batches(spark)
+    ranks = share(spark, read_ranks(rank_path))
+
+    @F.pandas_udf(CHECKED)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(ranks(), pattern)
+        for texts in batches:
+            ids = encoder.encode([t or "" for t in texts])
+            decoded, same = [], []
+            for packed, t in zip(ids, texts):
+                back = encoder.vocabulary.decode(np.frombuffer(packed, "<u4"))
+                same.append(back == (t or "").encode())
+                decoded.append(back if keep_decoded else None)
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object), "round_trip": same})
+
+    return both(text)
+
+
 def bpe_decode(spark: SparkSession, ids: Column, rank_path: str) -> Column:
     """Bytes of a column of packed ids (null: no bytes)."""
+    bound_batches(spark)
     ranks = share(spark, read_ranks(rank_path))
 
     @F.pandas_udf(T.BinaryType())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import drop_shared, share, write_shared
+from tessera.session import bound_batches, drop_shared, share, write_shared
 
 WEIGHT = 0.75
 PART_ROWS = 1 << 21
@@ -132,6 +132,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text: str = "t
                              weight: float = WEIGHT, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per document: doc_id, n_tokens, loss_target, loss_all and score
     (their difference).  ``targets``: the doc_id of the target documents."""
+    bound_batches(docs.sparkSession)
     wanted = targets.select(F.col("doc_id").alias("_target")).where("_target is not null").distinct()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = write_shared(rows.join(wanted, rows["doc_id"] == wanted["_target"], "left")

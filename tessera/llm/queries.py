@@ -89,10 +89,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = docs.select("doc_id", bpe.bpe_encode(spark, F.col("text"), RANK_PATH, public_tokenizers.PATTERN).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", bpe.bpe_decode(spark, F.col("ids"), RANK_PATH).alias("decoded"))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = docs.select("doc_id", bpe.bpe_round_trip(spark, F.col("text"), RANK_PATH, public_tokenizers.PATTERN).alias("r"))
+    return both.select("doc_id", (F.octet_length("r.ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("r.ids", 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
 
 
 @query("op9_simhash_dedup")

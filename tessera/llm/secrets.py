@@ -24,10 +24,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import bound_batches
+
 # ---- fixed values: the base patterns and their least lengths ----------------
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -181,11 +183,13 @@ def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def secret_spans(text: Column) -> Column:
     """Findings column of a text column."""
+    bound_batches(SparkSession.active())
     return _findings(text)
 
 
 def redact_secrets(text: Column) -> Column:
     """Text column with the spans of all findings masked."""
+    bound_batches(SparkSession.active())
     return _redacted(text)
 
 

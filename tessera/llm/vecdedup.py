@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.components import Forest, components
 from tessera.llm.vectors import packed, usable
-from tessera.session import drop_shared, write_shared
+from tessera.session import bound_batches, drop_shared, write_shared
 
 BLOCK_DIMS = 8
 TILE = 1024
@@ -170,6 +170,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id:
     """One row per vector: vec_id, n_links (other vectors with the same label and
     a cosine of at least ``threshold``), component_id (smallest vec_id reachable
     by links, itself included), kept (vec_id = component_id).  0 < threshold < 1."""
+    bound_batches(vectors.sparkSession)
     able = usable(F.col(embedding)) & F.col(label).isNotNull()
     with_key = write_shared(vectors.select(
         F.col(vec_id).alias("vec_id"), F.col(label).alias("label"),
