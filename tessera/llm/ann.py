@@ -40,7 +40,7 @@ REVERSE = 12
 TABLES = 8
 LEAF = 2048
 EXPAND, ROUNDS = 12, 2
-BEAM, BEAM_EXPAND = 256, 48
+BEAM, BEAM_EXPAND = 256, 256
 MAX_ROUNDS = 64
 BUCKET = 4096
 
