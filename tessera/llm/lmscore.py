@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.frames import with_scalars
 from tessera.session import bound_batches, drop_shared, share, write_shared
 
 WEIGHT = 0.75
@@ -89,7 +90,7 @@ def losses(counts: DataFrame, weight: float = WEIGHT) -> DataFrame:
         out = out.join(sums(key, name), name)
     whole = counts.agg(F.sum("n_all").alias("total_all"), F.sum("n_target").alias("total_target"),
                        F.countDistinct(F.expr(keys["c"])).alias("V"))
-    out = out.crossJoin(F.broadcast(whole))  # one row
+    out = with_scalars(out, whole)
 
     def loss(of: str):
         p = (F.col(f"c_{of}") + 1) / (F.col(f"total_{of}") + F.col("V"))
@@ -133,7 +134,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text: str = "t
     """One row per document: doc_id, n_tokens, loss_target, loss_all and score
     (their difference).  ``targets``: the doc_id of the target documents."""
     bound_batches(docs.sparkSession)
-    wanted = targets.select(F.col("doc_id").alias("_target")).where("_target is not null").distinct()
+    # the target ids grow with the corpus: never broadcast, whatever their size now
+    wanted = targets.select(F.col("doc_id").alias("_target")).where("_target is not null").distinct().hint("merge")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = write_shared(rows.join(wanted, rows["doc_id"] == wanted["_target"], "left")
                         .select("doc_id", "text", F.col("_target").isNotNull().alias("target"),
