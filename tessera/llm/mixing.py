@@ -39,8 +39,10 @@ from tessera.session import drop_shared, write_shared
 
 #: Bound on the labelled documents that the classifier is fitted on (expected number).
 LABELLED_DOCS = 6000
-FEATURES = 1 << 17
+FEATURES = 1 << 16
 POSTERIOR_STEP = 1e-3
+#: Change of the domain shares in one iteration at which the fit ends.
+TOLERANCE = 1e-6
 BLANKS = "[ \\t-\\r]+"
 
 
@@ -128,7 +130,7 @@ def fit_rates(totals: DataFrame, targets: np.ndarray, anchor: float, max_rate: f
         for r in found:
             share[r["d"]] = r["share"]
         residuals.append(share - targets)
-        if np.abs(residuals[-1]).max() < 1e-9:
+        if len(residuals) > 1 and np.abs(residuals[-1] - residuals[-2]).max() < TOLERANCE:
             break
     return residuals
 
