@@ -1,13 +1,17 @@
 """Licence scan by canonical digest lookup.
 
-A text is brought to a canonical form (lower case, copyright lines removed,
+A text is brought to a canonical form (lower case, copyright statements removed,
 punctuation and blanks as one space, equivalent spellings made equal), hashed
-with SHA-256, and joined on the digest with the known licences.  Whole texts are
+with SHA-256, and joined on the digest with the known licences, each with and
+without its titles.  A copyright statement is a line that starts with the word
+or its sign and goes on with a year or another sign, or, at the head of a
+paragraph, with a name; "copyright holder", "owner" and "notice" are words of
+the licence wherever a line is wrapped.  Whole texts are
 looked up, and every whole line of them as a text of its own, which finds the
 one-line licence notices inside documents.
 
 Defined cases: null text counts as empty; an empty canonical form (blanks or
-copyright lines only) matches nothing; repeated lines count once; repeated rows
+copyright statements only) matches nothing; repeated lines count once; repeated rows
 get equal rows; with an empty table of known licences nothing matches.  No text
 is shuffled, only digests.
 """
@@ -24,8 +28,27 @@ EQUIVALENT = [("licence", "license"), ("sub license", "sublicense"), ("copyright
               ("per cent", "percent"), ("whilst", "while"), ("wilful", "willful"), ("centre", "center"),
               ("modelled", "modeled"), ("utilisation", "utilization"), ("authorised", "authorized"),
               ("recognised", "recognized"), ("https", "http")]
-COPYRIGHT_LINE = "(^|\n)[ \t*#/;-]*(copyright|©|\\(c\\))[^\n]*"
-RIGHTS_LINE = "all rights reserved[.]?"
+LICENCE_WORDS = ("holder", "notice", "owner")  # after "copyright": part of the licence, not a statement
+LEAD = "[ \t\r*#/;-]*"
+
+
+def _line_not_from(words: tuple[str, ...]) -> str:
+    """Pattern of a rest of line that starts with none of ``words`` (spelled out,
+    as the patterns are also those of an engine without look-ahead)."""
+    heads = sorted({w[0] for w in words})
+    longer = [h + f"(?:\n|$|{_line_not_from(tuple(w[1:] for w in words if w[0] == h))})" for h in heads
+              if all(len(w) > 1 for w in words if w[0] == h)]
+    return "|".join([f"[^{''.join(heads)}\n][^\n]*", *longer])
+
+
+_GAP = "[ \t\r\n*#/;-]+"
+RIGHTS_LINE = f"all{_GAP}rights{_GAP}reserved[.]?"
+_SIGN = "(?:©|\\(c\\))"
+_DATED = (f"(?:copyright|{_SIGN})[ \t:]*(?:copyright[ \t:]*)?(?:{_SIGN}|[<\\[{{]?(?:[0-9]{{4}}|yyyy|year))"
+          f"(?:[^\n]*{RIGHTS_LINE})?[^\n]*")
+_NAMED = f"copyright(?:[ \t]+|[ \t]*:[ \t]*)(?:{_line_not_from(LICENCE_WORDS)})"
+COPYRIGHT_LINE = (f"(?:(?:^|\n){LEAD}{_DATED}|(?:^|\n[ \t\r]*\n)[ \t\r\n*#/;-]*(?:{_DATED}|{_NAMED}|©[^\n]*)|^[ \t\r\n*#/;-]*(?:{_DATED}|\\(c\\)[^\n]*))"
+                  f"(?:\n?{LEAD}(?:{_DATED}|{_NAMED}))*")
 NOT_A_WORD = "[^\\p{L}\\p{N}]+"
 # ---- fixed values: texts of well-known licences and one-line notices ---------
 KNOWN = {
@@ -55,11 +78,38 @@ you use this software in a product, an acknowledgment in the product documentati
 required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", """3. Neither the name of the copyright holder
+nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+prior written permission.
+THIS SOFTWARE IS PROVIDED""")
+#: Titles that may stand before the text of a licence.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License",
+                     "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License",
+                     "New BSD License", "Modified BSD License", "BSD License"),
+}
 # ------------------------------------------------------------------------------
 
 
@@ -78,10 +128,16 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def titled(texts: dict[str, str]) -> list[tuple[str, str]]:
+    """(license_id, text) of every known text, without and with its titles."""
+    return [(name, head + text) for name, text in texts.items()
+            for head in ("", *(f"{title}\n\n" for title in TITLES.get(name, ())))]
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
     """(license_id, digest) of a table of licence texts; equal canonical texts
     keep the smallest id."""
-    rows = spark.createDataFrame(list(texts.items()), "license_id string, text string")
+    rows = spark.createDataFrame(titled(texts), "license_id string, text string")
     return (rows.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest"))
             .agg(F.min("license_id").alias("license_id")))
 
@@ -118,7 +174,7 @@ def oracle(texts: dict[str, str] = KNOWN) -> str:
             out = f"replace({out}, {quoted(old)}, {quoted(new)})"
         return out
 
-    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in texts.items())
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in titled(texts))
     return f"""
 WITH known AS (SELECT sha256({sql('t')}) AS digest, min(id) AS license_id FROM (VALUES {rows}) AS k(id, t)
                WHERE {sql('t')} <> '' GROUP BY 1),
