@@ -7,8 +7,10 @@ ordered by start, then kind in the order assign, access, hex, lex.
 * ``assign``, ``access`` and ``hex`` are pattern findings.
 * ``lex`` findings come from name-literal pairs: the lexer reads assignments of
   source and configuration syntax (``name = "x"``, ``"name": 'x'``, ``name=x``,
-  ``name := x``, ``name => x``, ``<name>x</name>``), joins literals concatenated
-  with ``+``, and propagates constants (``a = "x"; password = a``).  A literal's
+  ``name := x``, ``name => x``, ``<name>x</name>``), with a type where one stands
+  between (``name: str = "x"``, ``let name: &str = "x"``), reads literals in
+  single and triple quotes, joins literals concatenated with ``+``, and
+  propagates constants (``a = "x"; password = a``).  A literal's
   score is the weight of the most sensitive word in its target's name times the
   strength of the literal; findings have a score of at least 0.5.
 
@@ -45,6 +47,7 @@ SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key
                    ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("auth", "key"): 0.9}
 SENSITIVE_STEMS = ("pass", "pwd", "secret", "key", "token", "cred", "auth", "bearer", "signature")
 PLACEHOLDER = re.compile(r"(?i)(x+|\*+|\.+|none|null|nil|true|false|undefined|todo|your[-_ ].*|example.*|<.*>)\Z")
+PLACEHOLDER_HEAD = re.compile(r"(?i)your[-_ ]|example")  # of the placeholders longer than a word
 # ------------------------------------------------------------------------------
 
 KINDS = ("assign", "access", "hex", "lex")
@@ -52,8 +55,12 @@ FINDINGS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
     T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())]))
 
-SITE = re.compile(r"""(?<![\w.\-$])([A-Za-z_][\w.\-]*+)["'`]?\]?[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+""")
+SITE = re.compile(r"""(?<![\w.\-$])([A-Za-z_][\w.\-]*+)(?:["'`]?\]?|\[\w*+\]|[?!](?=:))[ \t]*+(:=|=>|=(?!=)|:(?![:/]))[ \t]*+""")
+# a type between a name's colon and its equals sign; it has no single colon, so no part of a text is read for two names
+TYPE = re.compile(r"(?:[\w.,|&*?<>\[\] \t]|::|'[A-Za-z_]\w*+(?!'))++")
+TYPED = re.compile(r"=(?![=>])[ \t]*+")
 ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*+)>[ \t]*+([^<>\s]++)[ \t]*+</")
+TRIPLE = re.compile(r"""[rRbBfFuU]{0,2}(?:\"{3}\s*+((?:[^"\\]|\\[\s\S]|"(?!""))*+)\"{3}|'{3}\s*+((?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3})""")
 STRING = re.compile(r"""[rRbBfFuU]{0,2}(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)""")
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#&|]++""")
 REFERENCE = re.compile(r"\$\{?([A-Za-z_][\w.\-]*+)\}?|([A-Za-z_][\w.\-]*+)")
@@ -69,72 +76,163 @@ def name_weight(name: str) -> float:
     return max([0.0, *singles, *pairs])
 
 
-def strength(value: str, quoted: bool) -> float:
-    """0 for short or placeholder literals, else information content against 40
-    bits; an unquoted plain word counts half."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    plain = not quoted and value.isalpha()
-    return min(1.0, bits / 40.0) * (0.5 if plain else 1.0)
-
-
-def _expression(text: str, at: int, known: dict) -> tuple[str, list[tuple[int, int]], bool, int] | None:
-    """Value, literal spans, quoted flag and end of the expression at ``at``:
-    literals and references to known names, concatenated with ``+``."""
-    value, spans, quoted = [], [], False
+FULL_BITS = 40.0
+MANY = 1 << 41  # with two different characters, so many have more than FULL_BITS
+PREFIX = 9  # the longest placeholder that is a fixed word
+
+
+def _bits(counts: dict[str, int]) -> float:
+    n = sum(counts.values())
+    return -sum(c * math.log2(c / n) for c in counts.values())
+
+
+class Value:
+    """What the score of a value needs, without its text, and the places of its
+    literals: its own ``spans`` and those of its ``parts``, which are shared.
+
+    Information content never falls when text is added, so ``counts`` (None
+    from ``FULL_BITS`` on) has few different characters."""
+
+    __slots__ = ("n", "counts", "space", "alpha", "crosses", "head", "last", "quoted", "spans", "parts", "best")
+
+    def __init__(self, text: str = "", quoted: bool = False, spans: tuple = ()):
+        self.n, self.head, self.last = len(text), text[:PREFIX], text[-1:]
+        self.counts: dict[str, int] | None = dict(Counter(text))
+        self.space, self.alpha = any(c.isspace() for c in text), text.isalpha() or not text
+        self.crosses = all(c in "xX" for c in self.counts)
+        self.quoted, self.spans, self.parts, self.best = quoted, spans, (), None
+        if _bits(self.counts) >= FULL_BITS:
+            self.counts = None
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls()
+        out.parts = tuple(parts)
+        for p in parts:
+            out.n, out.head, out.last = min(MANY, out.n + p.n), (out.head + p.head)[:PREFIX] if out.n < PREFIX else out.head, p.last or out.last
+            out.space, out.alpha, out.crosses = out.space or p.space, out.alpha and p.alpha, out.crosses and p.crosses
+            out.quoted = out.quoted or p.quoted
+            if out.counts is None or p.counts is None:
+                out.counts = None
+                continue
+            for c, k in p.counts.items():
+                out.counts[c] = min(MANY, out.counts.get(c, 0) + k)
+            if _bits(out.counts) >= FULL_BITS:
+                out.counts = None
+        return out
+
+    def placeholder(self) -> bool:
+        if self.n <= PREFIX:
+            return bool(PLACEHOLDER.match(self.head))
+        return bool(self.crosses or (self.counts is not None and len(self.counts) == 1 and self.last in "*.")
+                    or (self.head[0] == "<" and self.last == ">") or PLACEHOLDER_HEAD.match(self.head))
+
+    def strength(self) -> float:
+        """0 for short or placeholder literals, else information content against
+        40 bits; an unquoted plain word counts half."""
+        if self.n < 8 or self.space or self.placeholder():
+            return 0.0
+        plain = not self.quoted and self.alpha
+        return (1.0 if self.counts is None else min(1.0, _bits(self.counts) / FULL_BITS)) * (0.5 if plain else 1.0)
+
+
+def _expression(text: str, at: int, known: dict[str, Value]) -> tuple[Value, int] | None:
+    """Value and end of the expression at ``at``: literals and references to
+    known names, concatenated with ``+``."""
+    parts: list[Value] = []
     while True:
-        if m := STRING.match(text, at):
+        if m := TRIPLE.match(text, at):
             k = m.lastindex or 1
-            value.append(m[k] or "")
-            spans.append((m.start(k), m.end(k)))
-            quoted, at = True, m.end()
+            inner = m[k].rstrip()
+            parts.append(Value(inner, True, ((m.start(k), m.start(k) + len(inner)),)))
+            at = m.end()
+        elif m := STRING.match(text, at):
+            k = m.lastindex or 1
+            parts.append(Value(m[k] or "", True, (m.span(k),)))
+            at = m.end()
         elif m := REFERENCE.match(text, at):
             name = m[1] or m[2]
             if name in known and not (b := BARE.match(text, m.end())):
-                old_value, old_spans, old_quoted = known[name]
-                value.append(old_value)
-                spans += old_spans
-                quoted, at = quoted or old_quoted, m.end()
+                parts.append(known[name])
+                at = m.end()
             elif b := BARE.match(text, at):
-                value.append(b[0])
-                spans.append(b.span())
+                parts.append(Value(b[0], False, (b.span(),)))
                 at = b.end()
             else:
                 return None
         elif m := BARE.match(text, at):
-            value.append(m[0])
-            spans.append(m.span())
+            parts.append(Value(m[0], False, (m.span(),)))
             at = m.end()
         else:
             break
         if not (plus := PLUS.match(text, at)):
             break
         at = plus.end()
-    return ("".join(value), spans, quoted, at) if spans else None
+    return (Value.joined(parts), at) if parts else None
 
 
-def lexed(text: str) -> list[tuple]:
-    """``lex`` findings: scored literals of assignments to sensitive names."""
-    known: dict[str, tuple] = {}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
+def _typed(text: str, at: int) -> int | None:
+    """Where the value of an annotated assignment starts (its type is at ``at``)."""
+    if not (kind := TYPE.match(text, at)) or not (sign := TYPED.match(text, kind.end())) or not kind[0].strip():
+        return None
+    depth = 0
+    for c in kind[0]:
+        depth += (c in "<[") - (c in ">]")
+        if depth < 0 or (c == "," and not depth):
+            return None
+    if depth or kind[0][-1] in "|&*":
+        return None
+    # without a blank before the sign only a quoted value tells a type from a value that holds the sign
+    return sign.end() if kind[0][-1] in " \t" or STRING.match(text, sign.end()) else None
 
-    def score(name: str, value: str, spans, quoted: bool) -> None:
-        if (weight := name_weight(name)) and (s := weight * strength(value, quoted)) >= 0.5:
-            for span in spans:
-                if span[0] < span[1] and s > found.get(span, ("", 0.0))[1]:
-                    found[span] = (name, s)
 
+def lexed(text: str) -> list[tuple]:
+    """``lex`` findings: scored literals of assignments to sensitive names."""
+    known: dict[str, Value] = {}
+    values: list[Value] = []
+    ranks = 0
+
+    def score(name: str, value: Value) -> None:
+        nonlocal ranks
+        if (weight := name_weight(name)) and (s := weight * value.strength()) >= 0.5:
+            ranks -= 1  # of equal scores the first name stays
+            value.best = max(value.best or (0.0, 0, ""), (s, ranks, name))
+
+    def take(name: str, at: int) -> Value | None:
+        if not (pair := _expression(text, at, known)):
+            return None
+        known[name] = pair[0]
+        values.append(pair[0])
+        score(name, pair[0])
+        return pair[0]
+
+    past = 0
     for site in SITE.finditer(text):
-        if pair := _expression(text, site.end(), known):
-            value, spans, quoted, _ = pair
-            if len(spans) <= 64:  # a longer chain of references is kept as a value only by its last target
-                known[site[1]] = (value, spans, quoted)
-            score(site[1], value, spans, quoted)
+        if site.start() < past:
+            continue
+        at = _typed(text, site.end()) if site[2] == ":" else None
+        if at is not None:
+            if (plain := _expression(text, at, known)) and plain[0].quoted:
+                past = at
+            else:  # it may also be a value with a sign in it
+                take(site[1], site.end())
+        take(site[1], site.end() if at is None else at)
     for m in ELEMENT.finditer(text):
-        score(m[1], m[2], [m.span(2)], True)
-    return [("lex", a, b, name, round(s, 4)) for (a, b), (name, s) in found.items()]
+        values.append(Value(m[2], True, (m.span(2),)))
+        score(m[1], values[-1])
+    # values come after their parts: from the last to the first, each passes its best on
+    found: dict[tuple[int, int], tuple[float, int, str]] = {}
+    for value in reversed(values):
+        if value.best:
+            for span in value.spans:
+                found[span] = max(found.get(span, value.best), value.best)
+            for part in value.parts:
+                part.best = max(part.best or value.best, value.best)
+                for span in part.spans:
+                    found[span] = max(found.get(span, part.best), part.best)
+    return [("lex", a, b, name, round(s, 4)) for (a, b), (s, _, name) in found.items() if a < b]
 
 
 def findings(text: str | None) -> list[tuple]:
