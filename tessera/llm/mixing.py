@@ -2,13 +2,14 @@
 
 1. A multinomial logistic regression, fitted on labelled documents, predicts
    each document's posterior over the domains.
-2. Distributed projected-gradient least squares finds a nonnegative rate per
-   document so that the expected token totals of the domains match the targets:
+2. Distributed projected least squares finds a nonnegative rate per document so that the expected token totals of the domains match the targets:
    minimise  1/2 sum_d (share_d - target_d)^2 + anchor/2 sum_i c_i (r_i - 1)^2
    over 0 <= r_i (<= max_rate), with c_i the document's share of all tokens and
-   share_d = sum_i c_i p_id r_i.  The gradient of a document's rate depends on
-   its posterior only, so the iterations run over the token totals of equal
-   posteriors.  Posteriors are rounded to ``POSTERIOR_STEP``: the number of
+   share_d = sum_i c_i p_id r_i.  At the optimum the projected gradient is 0:
+   every rate is that of its posterior, clip(1 - p_i . residual / anchor), with
+   residual = share - target.  Newton steps on the residual end when this holds
+   to ``TOLERANCE``, and a fit that does not reach it raises.  The iterations
+   run over the token totals of equal posteriors.  Posteriors are rounded to ``POSTERIOR_STEP``: the number of
    their different values, and so the cost of an iteration, has a bound that
    the corpus does not move.
 3. ``copies`` turns a rate into whole copies: its integer part, plus one with
@@ -23,6 +24,7 @@ first domain by name); a domain without labelled documents has posterior 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,10 @@ from tessera.session import drop_shared, write_shared
 LABELLED_DOCS = 6000
 FEATURES = 1 << 16
 POSTERIOR_STEP = 1e-3
-#: Change of the domain shares in one iteration at which the fit ends.
-TOLERANCE = 1e-6
+#: Difference between the residual that the rates are made from and the one that they have, at which the fit ends.
+TOLERANCE = 1e-10
+#: Fractions of a Newton step that are compared in one pass.
+STEPS = 0.5 ** np.arange(16)
 BLANKS = "[ \\t-\\r]+"
 
 
@@ -93,50 +97,65 @@ def with_posteriors(docs: DataFrame, model, seen: list[str], domains: list[str],
 
 
 def _replay(p: np.ndarray, residuals: list[np.ndarray], anchor: float, max_rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and look-ahead rates after the projected steps of all residuals.
-
-    Accelerated projected gradient; step = 1 / (1 + anchor), as the largest
-    curvature is at most 1 + anchor.
-    """
-    rate = ahead = np.ones(len(p))
-    t = 1.0
-    for residual in residuals:
-        step = (p @ residual + anchor * (ahead - 1.0)) / (1.0 + anchor)
-        new = np.clip(ahead - step, 0.0, max_rate)
-        t_new = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
-        ahead, rate, t = new + (t - 1.0) / t_new * (new - rate), new, t_new
-    return rate, ahead
+    """Rates of the last residual, and the rates before they are clipped (all 1
+    with no residual)."""
+    free = 1.0 - p @ residuals[-1] / anchor if residuals else np.ones(len(p))
+    return np.clip(free, 0.0, max_rate), free
 
 
 def fit_rates(totals: DataFrame, targets: np.ndarray, anchor: float, max_rate: float, iterations: int) -> list[np.ndarray]:
-    """Residuals (share less target) of each iteration: they define every rate.
+    """Residuals (share less target) of each iteration: the last defines every rate.
 
-    ``totals``: c (share of all tokens) and p (posterior).  Each iteration is
-    one Spark aggregation; the driver holds one number per domain.
+    ``totals``: c (share of all tokens) and p (posterior).  The residual y of the
+    optimum is the minimum of the dual 1/2 |y|^2 + y.target - sum_i c_i m(p_i.y),
+    with m(u) the least of u r + anchor/2 (r - 1)^2 over the rates; its gradient
+    is y + target - share.  Each iteration is one Spark aggregation of value,
+    share and curvature at every fraction of the step.
     """
-    residuals: list[np.ndarray] = []
     width = len(targets)
-    for _ in range(iterations):
-        def shares(batches: Iterator[pd.DataFrame], done=tuple(residuals)) -> Iterator[pd.DataFrame]:
-            out = np.zeros(width)
+    size = 1 + width + width * width
+
+    def sums_at(tries: list[np.ndarray]) -> np.ndarray:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(tries), size))
             for pdf in batches:
                 if len(pdf):
-                    p = np.stack(pdf["p"].to_numpy())
-                    out += (pdf["c"].to_numpy() * _replay(p, list(done), anchor, max_rate)[1]) @ p
-            yield pd.DataFrame({"d": np.arange(width), "share": out})
-
-        found = totals.mapInPandas(shares, "d long, share double").groupBy("d").agg(F.sum("share").alias("share")).collect()
-        share = np.zeros(width)
+                    p, c = np.stack(pdf["p"].to_numpy()), pdf["c"].to_numpy(float)
+                    for k, y in enumerate(tries):
+                        rate, free = _replay(p, [y], anchor, max_rate)
+                        inner = c * ((free > 0.0) & (free < max_rate)) / anchor
+                        out[k, 0] += c @ ((p @ y) * rate + anchor / 2.0 * (rate - 1.0) ** 2)
+                        out[k, 1:1 + width] += (c * rate) @ p
+                        out[k, 1 + width:] += ((p * inner[:, None]).T @ p).ravel()
+            yield pd.DataFrame({"at": np.arange(out.size), "sum": out.ravel()})
+
+        found = totals.mapInPandas(partial, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect()
+        out = np.zeros(len(tries) * size)
         for r in found:
-            share[r["d"]] = r["share"]
-        residuals.append(share - targets)
-        if len(residuals) > 1 and np.abs(residuals[-1] - residuals[-2]).max() < TOLERANCE:
-            break
-    return residuals
+            out[r["at"]] = r["sum"]
+        return out.reshape(len(tries), size)
+
+    residuals: list[np.ndarray] = []
+    tries, least = [np.zeros(width)], math.inf
+    for _ in range(iterations):
+        sums = sums_at(tries)
+        values = [0.5 * y @ y + y @ targets - x[0] for y, x in zip(tries, sums)]
+        slopes = [y + targets - x[1:1 + width] for y, x in zip(tries, sums)]
+        # near the optimum the values are equal but for rounding, and the slopes decide
+        allowed = [k for k, v in enumerate(values) if v <= least + 1e-13 * (1.0 + abs(v))] or [int(np.argmin(values))]
+        clear = min(values) < least - 1e-9
+        best = int(np.argmin(values)) if clear else min(allowed, key=lambda k: np.abs(slopes[k]).max())
+        y, least = tries[best], min(least, values[best])
+        residuals.append(y)
+        if np.abs(slopes[best]).max() <= TOLERANCE:
+            return residuals
+        step = np.linalg.solve(np.eye(width) + sums[best, 1 + width:].reshape(width, width), slopes[best])
+        tries = [y - f * step for f in STEPS]
+    raise RuntimeError(f"rates not fitted after {iterations} iterations: projected gradient {np.abs(slopes[best]).max():.3g}")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text", doc_id: str = "doc_id",
-        anchor: float = 1e-3, max_rate: float = float("inf"), iterations: int = 40,
+        anchor: float = 1e-3, max_rate: float = float("inf"), iterations: int = 200,
         labelled_docs: int = LABELLED_DOCS) -> DataFrame:
     """``docs`` plus the struct column ``_mix``: tokens, posterior (array in the
     order of the sorted domain names of ``targets``), rate and copies.
