@@ -26,7 +26,7 @@ from tessera.session import bound_batches, drop_shared, write_shared
 
 UNDETERMINED = "und"
 PROFILE_SIZE = 300
-#: Labelled documents per language that a profile is learned from (expected number).
+#: Different labelled texts per language that a profile is learned from (expected number).
 TRAIN_DOCS = 2000
 BLOCK_CHARS = 1 << 20
 BROADCAST_LANGUAGES = 10_000
@@ -88,18 +88,20 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
     """Profiles of the languages in ``docs`` (rows with null text or language
     are not used).
 
-    Each language is learned from an expected ``train_docs`` documents, chosen
-    by a hash of their text, or from all when there are fewer.  Only the
-    profiles (``size`` keys per language) reach the driver.
+    Each language is learned from an expected ``train_docs`` different texts,
+    chosen by their hash, or from all when there are fewer; copies of a text
+    count once.  Only the profiles (``size`` keys per language) reach the driver.
     """
     bound_batches(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    shares = write_shared(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share")), "shares")
+    # copies go before the count, so a language of few texts keeps them all
+    different = labelled.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    shares = write_shared(different.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share")), "shares")
     # a checked number of languages is sent to the texts; beyond it Spark plans the join
     few = shares.count() <= BROADCAST_LANGUAGES
     chosen = (labelled.join(F.broadcast(shares) if few else shares, "lang")
               .where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-              .select("lang", "text"))
+              .select("lang", "text").distinct())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
