@@ -39,8 +39,9 @@ from pyspark.sql import types as T
 
 from tessera.session import drop_shared, write_shared
 
-#: Bound on the labelled documents that the classifier is fitted on (expected number).
+#: Bound on the labelled documents that the classifier is fitted on (expected number), and the least share of it of a domain.
 LABELLED_DOCS = 6000
+LEAST_DOCS = 50
 FEATURES = 1 << 16
 POSTERIOR_STEP = 1e-3
 #: Difference between the residual that the rates are made from and the one that they have, at which the fit ends.
@@ -54,18 +55,34 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANKS), lambda w: w != "")
 
 
+def even_bound(sizes: list[int], total: int) -> float:
+    """The bound per group at which groups of these sizes have ``total`` members
+    together (infinite when they have no more)."""
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > total:
+            return total / (len(sizes) - k)
+        total -= n
+    return math.inf
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, domains: list[str],
                 labelled_docs: int = LABELLED_DOCS, features: int = FEATURES, max_iter: int = 30):
     """Classifier of word lists: ``labels`` has doc_id and domain.
 
     Documents are taken from ``labels`` by a hash of their id up to an expected
-    ``labelled_docs``; an id with several labels uses the smallest domain name.
-    Returns (model, domains in the order of its classes); model is None when
-    fewer than two domains have labelled documents.
+    ``labelled_docs``, as evenly over the domains as their sizes allow (all of a
+    small domain, at least an expected ``LEAST_DOCS`` of a large one); an id with
+    several labels uses the smallest domain name.  Returns (model, domains in the
+    order of its classes, how many documents one of each stands for): posteriors
+    times these numbers are those at the domains' own frequencies.  model is None
+    when fewer than two domains have labelled documents.
     """
     one = labels.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    n = one.count()
-    share = min(1.0, labelled_docs / n) if n else 0.0
+    one = one.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
+    counts = {r["domain"]: r["count"] for r in one.groupBy("domain").count().collect()}
+    most = max(LEAST_DOCS, even_bound(list(counts.values()), labelled_docs))
+    shares = {d: min(1.0, most / n) for d, n in counts.items()}
+    share = F.coalesce(*[F.when(F.col("domain") == d, F.lit(x)) for d, x in shares.items()], F.lit(1.0))
     sample = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     # the sample has a bound, so it is sent to the documents and no text is shuffled
     train = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -81,17 +98,21 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, doma
                                      probabilityCol="posterior")]
         model = Pipeline(stages=stages).fit(train.withColumn("label", position[F.col("domain").cast("int")]))
     drop_shared(train)
-    return model, [domains[d] for d in seen]
+    return model, [domains[d] for d in seen], [1.0 / shares[domains[d]] for d in seen]
 
 
-def with_posteriors(docs: DataFrame, model, seen: list[str], domains: list[str], text: str) -> DataFrame:
+def with_posteriors(docs: DataFrame, model, seen: list[str], stand_for: list[float], domains: list[str], text: str) -> DataFrame:
     """``docs`` plus the struct column ``_mix`` (tokens, posterior by domain)."""
     held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), words_of(docs[f"`{text}`"]).alias("words"))
     if model is None:
         only = seen[0] if seen else domains[0]
         scored = held.withColumn("p", F.array(*[F.lit(float(d == only)) for d in domains]))
     else:
-        scored = model.transform(held).withColumn("q", F.transform(vector_to_array("posterior"), lambda x: F.round(x / POSTERIOR_STEP) * POSTERIOR_STEP))
+        scored = model.transform(held).withColumn("q", vector_to_array("posterior"))
+        if set(stand_for) != {1.0}:
+            scored = scored.withColumn("q", F.zip_with("q", F.array(*map(F.lit, stand_for)), lambda x, w: x * w))
+            scored = scored.withColumn("total", F.aggregate("q", F.lit(0.0), lambda a, x: a + x)).withColumn("q", F.transform("q", lambda x: x / F.col("total")))
+        scored = scored.withColumn("q", F.transform("q", lambda x: F.round(x / POSTERIOR_STEP) * POSTERIOR_STEP))
         scored = scored.withColumn("p", F.array(*[F.col("q")[seen.index(d)] if d in seen else F.lit(0.0) for d in domains]))
     return scored.select("_row.*", F.struct(F.size("words").cast("long").alias("tokens"), F.col("p").alias("posterior")).alias("_mix"))
 
@@ -165,8 +186,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str
     domains = sorted(targets)
     wanted = np.array([targets[d] for d in domains], float)
     wanted = wanted / wanted.sum()
-    model, seen = fit_domains(docs, labels, text, doc_id, domains, labelled_docs)
-    scored = write_shared(with_posteriors(docs, model, seen, domains, text), "posteriors")
+    model, seen, stand_for = fit_domains(docs, labels, text, doc_id, domains, labelled_docs)
+    scored = write_shared(with_posteriors(docs, model, seen, stand_for, domains, text), "posteriors")
     sums = scored.groupBy(F.col("_mix.posterior").alias("p")).agg(F.sum("_mix.tokens").alias("tokens"))
     sums = write_shared(sums, "posterior-totals")
     everything = sums.agg(F.sum("tokens")).first()[0] or 0
