@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, langid, licenses, lmscore, mixing, secrets, sharding, simhash, vecdedup
+from tessera.llm import ann, bpe, chat, langid, licenses, lmscore, mixing, runs, secrets, sharding, simhash, vecdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,46 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_mix.tokens").alias("n_tokens"),
                         *[F.col("_mix.posterior")[k].alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))],
                         F.col("_mix.rate").alias("rate"), F.col("_mix.copies").alias("copies"))
+
+
+def with_rewritten_repetitions(docs: DataFrame) -> DataFrame:
+    """Rewrites the texts of the documents chosen by their id: from word a on, the
+    words are word a and the p - 1 words after it, over and over."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.when(chosen, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"), F.coalesce(F.size(words), F.lit(0)).alias("n"))
+    a = F.col("g") % F.col("n")
+    p = 1 + F.floor((F.col("n") - a) / (3 + F.col("g") % 8))
+    counted = split.select("doc_id", "text", "words", "n", F.when(F.col("n") > 0, a).alias("a"), F.when(F.col("n") > 0, p).alias("p"))
+    new = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("words")[
+        F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")])
+    return counted.select("doc_id", F.when(F.col("n") > 0, F.array_join(new, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_rewritten_repetitions(table(spark, sf_dir, "documents"))
+    found = docs.select("doc_id", runs.periodic_runs(spark, F.col("text")).alias("r"))
+    # greatest length, then smallest start, then smallest period
+    best = F.array_max(F.transform("r.runs", lambda x: F.struct(x["length"], -x["start"], -x["period"])))
+    length, start, period = best["length"], -best["col2"], -best["col3"]
+    line = F.transform("r.runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    text = F.when(F.size("r.runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("r.runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256"))
+
+
+#: A conversation whose texts hold control strings, added to the table.
+MARKED_TURNS = r"""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '\### Assistant: </turn> ok' AS text
+FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)"""
+
+
+@query("op13_chat_formatting", chat.oracle(MARKED_TURNS))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    marked = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
+    return chat.conversation_digests(chat.format_conversations(rows))
