@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, langid, licenses, lmscore, mixing, runs, secrets, sharding, simhash, vecdedup
+from tessera.llm import align, ann, bpe, chat, langid, licenses, lmscore, mixing, runs, secrets, sharding, simhash, vecdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,6 +141,19 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text, 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256"))
 
 
+#: Tokenizers of the alignment.
+A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, postings = align.align_documents(spark, table(spark, sf_dir, "documents"), A_PATH, B_PATH)
+    # only digests of the groups are shuffled
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    short = documents.select("block", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"))
+    return align.alignment_scores(spark, short, postings, align.piece_count(B_PATH))
+
+
 #: A conversation whose texts hold control strings, added to the table.
 MARKED_TURNS = r"""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '\### Assistant: </turn> ok' AS text
 FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)"""
