@@ -28,6 +28,7 @@ columns are not read.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -48,9 +49,11 @@ from tessera.session import bound_batches, share, write_shared
 BLOCK_DOCS = 1 << 14
 BLOCK_LINKS = 1 << 22       # links after which a block is closed, too
 GROUP_BYTES = 1 << 20       # bytes of text that are aligned together
-LONG_WORD = 1 << 13         # bytes of a word from which on the merges of A are left to its own library
+LONG_WORD = 1 << 13         # characters of a word or gap from which on the merges of A are left to its own library
 MAX_FILE = 64 << 20
 
+_LONG = re.compile(rf"\S{{{LONG_WORD}}}|\s{{{LONG_WORD}}}")
+
 
 def read_file(path: str) -> bytes:
     """A vocabulary file; its size is checked, as it is sent to the tasks."""
@@ -112,7 +115,7 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast is None:
             return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [self.fast.encode_ordinary(t) if len(t) < LONG_WORD or max(map(len, t.split())) < LONG_WORD
+        return [self.fast.encode_ordinary(t) if len(t) < LONG_WORD or not _LONG.search(t)
                 else self.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
