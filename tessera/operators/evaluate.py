@@ -113,8 +113,10 @@ def rates(conf: DataFrame) -> DataFrame:
 
 def veto_effect(df: DataFrame, base: str, vetoed: str, y: str, groups: Sequence[str],
                 t: float = 0.5) -> DataFrame:
-    """AG23: FPR / recall before and after a veto, reduction % and TP lost."""
-    pos, neg = F.col(y) == 1, F.col(y) == 0
+    """AG23: FPR / recall before and after a veto, reduction % and TP lost, over the
+    rows with both scores."""
+    both = known(base).isNotNull() & known(vetoed).isNotNull()
+    pos, neg = both & (F.col(y) == 1), both & (F.col(y) == 0)
     n_pos = F.greatest(F.count_if(pos), F.lit(1)).cast("double")
     n_neg = F.greatest(F.count_if(neg), F.lit(1)).cast("double")
     a = df.groupBy(*groups).agg(
@@ -266,32 +268,32 @@ def top_n_positives(df: DataFrame, p: str, y: str, id_col: str, n_per_group: Dat
 
     ``n_per_group`` has (groups..., n_top).  Rows strictly above the cut
     score come from cumulative counts; the tie group at the cut is resolved
-    by a bucketed prefix count over ids.
+    by a bucketed prefix count over ids.  A NULL group is a group; one with fewer
+    scored rows than n is taken whole, and its precision is over its own rows.
     """
     groups = list(groups)
     dc = rank.descending_counts(df, p, y, groups)
     # rows with score >= v: tp + fp; the cut is the v where that first reaches n_top
-    j = dc.join(n_per_group, groups, "inner")
+    j = join_on_groups(dc, n_per_group, groups).withColumn("_n", F.least("n_top", F.col("pos_total") + F.col("neg_total")))
     at_or_above = F.col("tp") + F.col("fp")
     above = at_or_above - F.col("n")
-    cut = j.where((above < F.col("n_top")) & (at_or_above >= F.col("n_top"))).select(
-        *groups, F.col("v").alias("_cut"),
+    cut = j.where((above < F.col("_n")) & (at_or_above >= F.col("_n"))).select(
+        *groups, F.col("v").alias("_cut"), "_n",
         (F.col("tp") - F.col("n_pos")).alias("_pos_above"),
-        (F.col("n_top") - above).alias("_need")).transform(retain)  # read three times
+        (F.col("_n") - above).alias("_need")).transform(retain)  # read three times
     # tie group at the cut: first ``_need`` rows by id.  ``cut`` has one row
     # per group (group-count-sized).
-    ties = df.select(*groups, id_col, F.col(y).cast("bigint").alias("_y"), F.col(p).alias("_v")) \
-        .join(cut, groups, "inner").where(F.col("_v") == F.col("_cut"))
+    rows = df.where(F.col(y).isNotNull()).select(*groups, id_col, F.col(y).cast("bigint").alias("_y"), F.col(p).alias("_v"))
+    ties = join_on_groups(rows, cut, groups).where(F.col("_v") == F.col("_cut"))
     tvc = ties.groupBy(*groups, F.col(id_col).alias("v")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("n_pos"))
-    tps = rank.prefix_sums(tvc, groups, ["n"]).join(cut, groups, "inner")
+    tps = join_on_groups(rank.prefix_sums(tvc, groups, ["n"]), cut, groups)
     tie_pos = tps.where(F.col("cum_n") < F.col("_need")).groupBy(*groups).agg(
         F.sum("n_pos").alias("_tie_pos"))
-    res = cut.join(tie_pos, groups, "left").select(
-        *groups, (F.col("_pos_above") + F.coalesce(F.col("_tie_pos"), F.lit(0))).alias("pos_top"))
-    out = n_per_group.join(res, groups, "left")
-    return out.withColumn("matched_precision",
-                          F.when(F.col("n_top") > 0, F.col("pos_top") / F.col("n_top")))
+    res = join_on_groups(cut, tie_pos, groups, "left").select(
+        *groups, "_n", (F.col("_pos_above") + F.coalesce(F.col("_tie_pos"), F.lit(0))).alias("pos_top"))
+    out = join_on_groups(n_per_group, res, groups, "left")
+    return out.withColumn("matched_precision", F.when(F.col("_n") > 0, F.col("pos_top") / F.col("_n"))).drop("_n")
 
 
 def paired_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

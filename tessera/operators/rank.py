@@ -53,12 +53,13 @@ def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (),
 
 
 def add_ranges(vc: DataFrame, groups: Sequence[str], order_col: str = "v", n_buckets: int | None = None,
-               tiebreak: Sequence[str] = ()) -> DataFrame:
+               tiebreak: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Range-partition by (groups, order, tie break) and attach the number of the
-    range.  Numbers follow the order; AQE merges small ranges (not with an
-    explicit ``n_buckets``).  Stored as a table: the totals and the scan must
+    range.  Numbers follow the order (with ``descending``, from the largest value of
+    ``order_col``, in any type); AQE merges small ranges (not with an explicit
+    ``n_buckets``).  Stored as a table: the totals and the scan must
     read the same ranges, also after an executor or a cached block is lost."""
-    keys = [*groups, order_col, *tiebreak]
+    keys = [*groups, F.col(order_col).desc() if descending else order_col, *tiebreak]
     parts = vc.repartitionByRange(n_buckets, *keys) if n_buckets else vc.repartitionByRange(*keys)
     return write_shared(parts.withColumn(BUCKET, F.spark_partition_id()), "ranges")
 
@@ -69,25 +70,18 @@ def prefix_sums(vc: DataFrame, groups: Sequence[str], measures: Sequence[str],
     """For each row, ``cum_<m>`` = sum of ``m`` over rows strictly before it
     in ``order_col`` order within ``groups`` (exclusive prefix sum), and
     ``tot_<m>`` = sum over the group.
-    ``tiebreak`` columns order rows with equal ``order_col`` (ascending, or
-    descending with ``descending`` where the ranges have to run that way too).
+    ``tiebreak`` columns order rows with equal ``order_col``, always ascending.
 
     A window inside (groups, range) plus an offset per (group, range).
     """
     groups = list(groups)
-    if descending and tiebreak:
-        # ranges ascend in all their columns: turn the order round instead of the ranges
-        vc = vc.withColumn("_order", -F.col(order_col))
-        out = prefix_sums(vc, groups, measures, "_order", False, n_buckets, tiebreak)
-        return out.drop("_order")
-    b = add_ranges(vc, groups, order_col, n_buckets, tiebreak)
+    b = add_ranges(vc, groups, order_col, n_buckets, tiebreak, descending)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    bucket_order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     before = Window.partitionBy(*groups, BUCKET).orderBy(order, *[F.col(t).asc() for t in tiebreak]) \
         .rowsBetween(Window.unboundedPreceding, -1)
     within = b.select("*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_in_{m}") for m in measures])
     totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    earlier = Window.partitionBy(*groups).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = totals.select(*groups, BUCKET,
                             *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],

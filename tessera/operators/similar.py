@@ -2,32 +2,19 @@
 AG9, PR21, PR22, ML21).
 
 Fingerprints are sorted arrays of set positions computed inside each row
-(no shuffle).  Two exact neighbour strategies return identical results:
-
-* ``equijoin``: explode (id, position) on both sides and equi-join on the
-  position; intersections are counted per (query, reference) pair.  Works for
-  any size; AQE splits skewed (hot) positions.
-* ``bitmap``: the reference side is measured first and broadcast only when
-  it fits ``max_broadcast_bytes``; queries stream through Arrow batches, blocks
-  of references whose set sizes cannot reach a query's k-th best are skipped,
-  and a 0/1 matrix product gives the intersections with the others.
-
-Only the k best neighbours per query leave a task: top-k is taken per
-(query, reference-salt) first and then per query, so no task ever holds all
-candidates of a query.
+(no shuffle).  Neighbours are exact: ``setsearch`` compares tiles of bit rows,
+prunes by set size and merges the k best.  The equi-join on positions
+(``strategy="equijoin"``) gives the same rows for sets with few common positions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
-from tessera.session import share
+from tessera.operators import setsearch
+from tessera.session import write_shared
 
 N_BITS = 2048
 # fixed values: the applicability-domain settings and the overlap bands
@@ -44,7 +31,7 @@ def token_fingerprint(text: Column | str, n_bits: int = N_BITS, pattern: str = "
     Tokens are split on ``pattern``; empty tokens are dropped.  Built-in
     higher-order functions only (no Python UDF)."""
     t = F.col(text) if isinstance(text, str) else text
-    toks = F.filter(F.split(F.trim(t), pattern), lambda x: x != "")
+    toks = F.array_distinct(F.filter(F.split(F.trim(t), pattern), lambda x: x != ""))
     pos = F.transform(toks, lambda x: F.pmod(
         F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int"))
     return F.array_sort(F.array_distinct(pos))
@@ -69,131 +56,23 @@ def _equijoin_pairs(q: DataFrame, r: DataFrame, exclude_self: bool) -> DataFrame
     return pairs.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("inter"))
 
 
-def _dense(bit_lists, n_bits: int = N_BITS) -> np.ndarray:
-    """0/1 float32 matrix of set positions (exact counts under a matmul up to 2**24)."""
-    m = np.zeros((len(bit_lists), n_bits), dtype=np.float32)
-    for i, b in enumerate(bit_lists):
-        if b is not None and len(b):
-            m[i, np.asarray(b, dtype=np.int64)] = 1.0
-    return m
-
-
-REF_BLOCK = 8192
-
-
-def _size_blocks(sizes: np.ndarray, block: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, least size, largest size) of runs of references that are
-    sorted by size."""
-    return [(a, min(a + block, len(sizes)), int(sizes[a]), int(sizes[min(a + block, len(sizes)) - 1]))
-            for a in range(0, len(sizes), block)]
-
-
-def _bound(n: np.ndarray, least: int, largest: int) -> np.ndarray:
-    """The similarity that sets of ``n`` elements can reach with sets of
-    ``least`` to ``largest``: at most the ratio of the sizes."""
-    n = np.maximum(n, 1e-9)
-    return np.minimum(1.0, np.minimum(largest / n, n / max(least, 1e-9)))
-
-
-class _Best:
-    """The k best references per query so far: similarity desc, reference id asc."""
-
-    def __init__(self, n: int, k: int):
-        self.sim = np.full((n, k), -1.0)
-        self.rid = np.full((n, k), np.iinfo(np.int64).max)
-
-    def offer(self, rows: np.ndarray, sim: np.ndarray, rids: np.ndarray) -> None:
-        k = self.sim.shape[1]
-        for at, row in enumerate(rows):
-            # only entries that may displace the k-th are sorted
-            near = np.flatnonzero((sim[at] > 0) & (sim[at] >= self.sim[row, -1]))
-            if not len(near):
-                continue
-            s, r = np.append(self.sim[row], sim[at, near]), np.append(self.rid[row], rids[near])
-            order = np.lexsort((r, -s))[:k]
-            self.sim[row], self.rid[row] = s[order], r[order]
-
-
-def _bitmap_topk(q: DataFrame, r: DataFrame, k: int, exclude_self: bool,
-                 max_broadcast_bytes: int, n_bits: int = N_BITS,
-                 ref_block: int = REF_BLOCK) -> DataFrame | None:
-    """Top-k neighbours per query against a broadcast, size-checked reference.
-
-    The reference is measured first (one aggregation); it is only collected
-    and broadcast when its position lists fit ``max_broadcast_bytes``;
-    otherwise None is returned and the caller uses the equi-join.  References
-    are sorted by set size and cut into blocks; queries stream through Arrow
-    batches and visit the blocks from the best reachable similarity down.  A
-    block is skipped for every query whose k-th best similarity is above what
-    the block's sizes can reach (an exact bound), and intersections with the
-    rest are one 0/1 matrix product, so a task holds one dense block."""
-    stats = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("bits")).alias("s")).first()
-    n_ref, n_pos = int(stats["n"]), int(stats["s"] or 0)
-    if n_ref == 0 or n_ref * 24 + n_pos * 4 > max_broadcast_bytes:
-        return None
-    kk = min(k, n_ref - (1 if exclude_self else 0))
-    if kk <= 0:
-        return None
-    ref = r.select("rid", "bits", F.size("bits").alias("n")).toPandas().sort_values(["n", "rid"], kind="stable")
-    payload = (ref["rid"].to_numpy(), ref["n"].to_numpy(dtype=np.int64),
-               [np.asarray(b, dtype=np.int32) for b in ref["bits"]])
-    ref_value = share(q.sparkSession, payload)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rids, rsize, rbits = ref_value()
-        blocks = _size_blocks(rsize, ref_block)
-        dense_once = _dense(rbits, n_bits) if len(blocks) == 1 else None
-        step = max(1, min(1024, (32 << 20) // max(1, 4 * min(len(rids), ref_block))))
-        for pdf in batches:
-            for s in range(0, len(pdf), step):
-                part = pdf.iloc[s:s + step]
-                qids, qm = part["qid"].to_numpy(), _dense(list(part["bits"]), n_bits)
-                qsize = qm.sum(axis=1)
-                best = _Best(len(part), kk)
-                reach = [_bound(qsize, least, largest) for _, _, least, largest in blocks]
-                for at in sorted(range(len(blocks)), key=lambda i: -reach[i].sum()):
-                    rows = np.flatnonzero(reach[at] >= best.sim[:, -1])
-                    if not len(rows):
-                        continue
-                    a, b, _, _ = blocks[at]
-                    rm = dense_once if dense_once is not None else _dense(rbits[a:b], n_bits)
-                    shared = (qm[rows] @ rm.T).astype(float)
-                    sim = shared / np.maximum(qsize[rows][:, None] + rsize[a:b] - shared, 1.0)
-                    if exclude_self:
-                        sim[qids[rows][:, None] == rids[a:b]] = 0.0
-                    best.offer(rows, sim, rids[a:b])
-                found = best.sim > 0
-                yield pd.DataFrame({"qid": np.repeat(qids, found.sum(axis=1)), "rid": best.rid[found], "sim": best.sim[found]})
-
-    return q.select("qid", "bits").mapInPandas(run, "qid long, rid long, sim double")
-
-
 def topk_neighbours(queries: DataFrame, refs: DataFrame, k: int = 1, exclude_self: bool = False,
-                    strategy: str = "auto", max_broadcast_bytes: int = 128 << 20,
-                    salts: int = 64, ref_block: int = REF_BLOCK, n_bits: int = N_BITS) -> DataFrame:
+                    strategy: str = "tiles", n_bits: int = N_BITS, part: int = setsearch.PART) -> DataFrame:
     """WN3: the k most similar references per query (Tanimoto), ties by
     reference id.  Inputs: ``queries(qid, bits)``, ``refs(rid, bits)``.
 
     Returns (qid, rid, sim, nn_rank) with nn_rank 1..k; queries with fewer
     than k overlapping references get fewer rows (callers pad)."""
-    res = None
-    if strategy in ("auto", "bitmap"):
-        res = _bitmap_topk(queries, refs, k, exclude_self, max_broadcast_bytes, n_bits, ref_block)
-        if res is None and strategy == "bitmap":
-            raise ValueError("reference side exceeds the broadcast budget")
-    if res is None:
-        pairs = _equijoin_pairs(queries, refs, exclude_self)
-        sizes_q = queries.select("qid", F.size("bits").alias("nq"))
-        sizes_r = refs.select("rid", F.size("bits").alias("nr"))
-        p = pairs.join(sizes_q, "qid").join(sizes_r, "rid")
-        union = F.col("nq") + F.col("nr") - F.col("inter")
-        res = p.select("qid", "rid", F.when(union > 0, F.col("inter") / union).otherwise(0.0).alias("sim"))
-    # two-level top-k: per (query, reference salt), then per query over <= k*salts rows
-    order = [F.col("sim").desc(), F.col("rid").asc()]
-    w1 = Window.partitionBy("qid", F.pmod("rid", F.lit(salts))).orderBy(*order)
-    lvl1 = res.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r")
-    w2 = Window.partitionBy("qid").orderBy(*order)
-    return lvl1.withColumn("nn_rank", F.row_number().over(w2)).where(F.col("nn_rank") <= k)
+    if strategy == "tiles":
+        return setsearch.search(queries, refs, k, exclude_self, n_bits, part)
+    pairs = _equijoin_pairs(queries, refs, exclude_self)
+    sizes_q = queries.select("qid", F.size("bits").alias("nq"))
+    sizes_r = refs.select("rid", F.size("bits").alias("nr"))
+    p = pairs.join(sizes_q, "qid").join(sizes_r, "rid")
+    union = F.col("nq") + F.col("nr") - F.col("inter")
+    res = p.select("qid", "rid", F.when(union > 0, F.col("inter") / union).otherwise(0.0).alias("sim"))
+    best = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("rid").asc())
+    return res.withColumn("nn_rank", F.row_number().over(best)).where(F.col("nn_rank") <= k)
 
 
 def nearest_neighbour(queries: DataFrame, refs: DataFrame, ref_label: DataFrame, **kw) -> DataFrame:
@@ -215,29 +94,49 @@ def knn_mean_distance(queries: DataFrame, refs: DataFrame, k: int = AD_K,
     the number of available references."""
     n_ref = refs.agg(F.count(F.lit(1)).alias("_n"))
     top = topk_neighbours(queries, refs, k, exclude_self=exclude_self, **kw)
+    available = F.col("_n") - (1 if exclude_self else 0)
+    return _mean_distance(with_scalars(queries.select("qid"), n_ref), top, F.least(F.lit(k), available)).select("qid", "knn_distance")
+
+
+def _mean_distance(queries: DataFrame, top: DataFrame, kk: Column) -> DataFrame:
     agg = top.groupBy("qid").agg(F.sum(1.0 - F.col("sim")).alias("_sd"), F.count(F.lit(1)).alias("_c"))
-    allq = with_scalars(queries.select("qid"), n_ref)
-    j = allq.join(agg, "qid", "left")
-    kk = F.least(F.lit(k), F.col("_n") - (1 if exclude_self else 0))
-    found = F.coalesce("_sd", F.lit(0.0))
     missing = kk - F.coalesce("_c", F.lit(0))
-    return j.select("qid", F.when(kk > 0, (found + missing * 1.0) / kk).alias("knn_distance"))
+    return queries.join(agg, "qid", "left").withColumn(
+        "knn_distance", F.when(kk > 0, (F.coalesce("_sd", F.lit(0.0)) + missing * 1.0) / kk))
+
+
+def _threshold(distances: DataFrame, sigma: float) -> DataFrame:
+    return distances.agg((F.avg("knn_distance") + sigma * F.stddev_pop("knn_distance")).alias("ad_threshold"),
+                         F.avg("knn_distance").alias("mean_knn_distance"),
+                         F.stddev_pop("knn_distance").alias("sd_knn_distance"))
 
 
 def ad_threshold(train: DataFrame, k: int = AD_K, sigma: float = AD_SIGMA, **kw) -> DataFrame:
     """JN12: threshold = mean + sigma * population sd of each training row's
     kNN distance to the *other* training rows (all rows, no sampling)."""
-    d = knn_mean_distance(train, train.withColumnRenamed("qid", "rid"), k, exclude_self=True, **kw)
-    return d.agg((F.avg("knn_distance") + sigma * F.stddev_pop("knn_distance")).alias("ad_threshold"),
-                 F.avg("knn_distance").alias("mean_knn_distance"),
-                 F.stddev_pop("knn_distance").alias("sd_knn_distance"))
+    return _threshold(knn_mean_distance(train, train.withColumnRenamed("qid", "rid"), k, exclude_self=True, **kw), sigma)
+
+
+def applicability(queries: DataFrame, train: DataFrame, k: int = AD_K, sigma: float = AD_SIGMA, **kw) -> DataFrame:
+    """JN11 + JN12 + PR22 from one search: (qid, knn_distance, ad_threshold, ad) of the
+    queries.  ``train(rid, bits)`` and ``queries(qid, bits)`` have no id in common."""
+    both = queries.select("qid", "bits").unionByName(train.select(F.col("rid").alias("qid"), "bits"))
+    top = topk_neighbours(both, train, k, exclude_self=True, **kw)
+    sides = queries.select("qid", F.lit(0).alias("_own")).unionByName(train.select(F.col("rid").alias("qid"), F.lit(1).alias("_own")))
+    sized = with_scalars(sides, train.agg(F.count(F.lit(1)).alias("_n")))
+    found = write_shared(_mean_distance(sized, top, F.least(F.lit(k), F.col("_n") - F.col("_own"))).select("qid", "_own", "knn_distance"), "distances")
+    threshold = _threshold(found.where("_own = 1"), sigma).select("ad_threshold")
+    return with_scalars(found.where("_own = 0").select("qid", "knn_distance"), threshold).withColumn(
+        "ad", ad_kernel("knn_distance", "ad_threshold"))
 
 
 def ad_kernel(dist: Column | str, thr: Column | str) -> Column:
-    """PR22: clip(exp(-(d/thr)^2), 0, 1); in-domain when >= 0.5."""
+    """PR22: clip(exp(-(d/thr)^2), 0, 1); in-domain when >= 0.5; missing where the
+    distance or the threshold is."""
     d = F.col(dist) if isinstance(dist, str) else dist
     t = F.col(thr) if isinstance(thr, str) else thr
-    return F.least(F.greatest(F.exp(-F.pow(d / F.greatest(t, F.lit(1e-9)), 2)), F.lit(0.0)), F.lit(1.0))
+    known = d.isNotNull() & ~F.isnan(d) & t.isNotNull() & ~F.isnan(t)
+    return F.when(known, F.least(F.greatest(F.exp(-F.pow(d / F.greatest(t, F.lit(1e-9)), 2)), F.lit(0.0)), F.lit(1.0)))
 
 
 def overlap_summary(nn: DataFrame, active_col: str = "nn_active", floor: float = 0.4) -> DataFrame:

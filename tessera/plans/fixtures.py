@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import identity_key, mul_mod32
 from tessera.session import retain
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 _MEMO: dict[tuple[str, str], DataFrame] = {}
 
@@ -110,7 +110,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     id = doc_id, key = sha256(lower(trim(text))), grp = source,
     cohort from quality: 1 active, 0 inactive, missing screen."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = d.join(lab, "doc_id", "left")
     cohort = (F.when(F.col("quality") == 1, "active")

@@ -17,3 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Bytes of a table up to which ``spread`` deals its rows out.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small table out over the cores before row-level work on long
+    texts: one row group is one task, however many cores there are.  A larger
+    table has row groups for all of them and is left as it is."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no JVM plan behind this session
+        return df
+    return df.repartition(cores) if int(str(size)) <= SPREAD_BYTES else df

@@ -102,5 +102,5 @@ def test_neighbour_paths_agree(spark):
                                      f"{name} long, bits array<int>")
     q, r = side("qid", 40), side("rid", 90)
     got = [sorted((x["qid"], x["rid"], round(x["sim"], 9), x["nn_rank"]) for x in similar.topk_neighbours(
-        q, r, 5, strategy=s, ref_block=16, n_bits=60_000).collect()) for s in ("bitmap", "equijoin")]
+        q, r, 5, strategy=s, part=16, n_bits=60_000).collect()) for s in ("tiles", "equijoin")]
     assert got[0] == got[1]
