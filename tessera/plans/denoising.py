@@ -6,18 +6,21 @@ test rows are fold 0.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import denoise as dn
 from tessera.operators import learn as ln
+from tessera.operators import prefixfit as pf
 from tessera.operators import rank
 from tessera.operators import split as sp
 from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.registry import query
 from tessera.plans.sql_fixtures import EMB_LONG, with_
-from tessera.session import retain
+from tessera.session import retain, write_shared
 
 
 def _split(spark, sf_dir):
@@ -202,52 +205,40 @@ def _sizes(spark, p: int, n_points: int = 90) -> list[int]:
     return sorted(r["m"] for r in sp.size_grid_frame(spark.createDataFrame([(p,)], "p int"), n_points).collect())
 
 
-def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4, threads: int = 8):
+def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4):
     """ML10: inner choice of the feature count: per stratified 70/30 shuffle,
     re-rank features on the fit part, then for each m fit the balanced
     logistic model on the standardised top-m features and score the
     validation part.  Returns the (fold, m, auc) table.
 
-    Standardising the top-m columns equals selecting them from the fold's
-    z-scored block, so each fold is z-scored once and persisted; the m fits
-    of a fold read that block and run concurrently."""
+    The top-m columns are a prefix of the fold's ordered block: all counts of all
+    folds are fitted together (``prefixfit``)."""
     p = train.agg(F.max(F.size("x"))).first()[0]
     grid = _sizes(spark, int(p), grid_points)
     sss = sp.stratified_shuffle(train.select("id", "y"), "id", "y", n_inner, 0.7)
-    tasks, held = [], []
-    for r in range(n_inner):
-        part = train.join(sss.where(F.col("repeat") == r).select("id", "set"), "id", "inner") \
-            .transform(retain)
-        fit = part.where(F.col("set") == "train")
-        order = dn.denoise_fit(fit).order
-        st = dn.zscore_fit(fit)
-        rows = st.orderBy("j").collect()
-        mean = np.array([r_["mean"] for r_ in rows]); scale = np.array([r_["scale"] for r_ in rows])
-        weights = ln.class_weights(fit.select("y"), "y").select("y", "w").distinct()
-        z = dn.zscore_apply_arrays(part, mean, scale).join(weights, "y", "inner") \
-            .select("id", "y", "w", "set", "z").transform(retain)
-        held += [part, z]
-        for m in grid:
-            sel = z.withColumn("features", ln.array_to_vector(F.array(*[F.col("z")[c] for c in order[:m]])))
-            a, b = sel.where(F.col("set") == "train"), sel.where(F.col("set") == "test")
-            tasks.append(({"fold": r, "m": int(m)},
-                          (lambda a=a, b=b: ln.fit_logistic(a, b, weighted=True))))
-    preds = ln.run_parallel(tasks, threads)
-    out = rank.rank_sum_test(preds, "p", "y", ["fold", "m"]).select("fold", "m", "auc")
-    out = out.transform(retain)
-    out.count()
-    for h in held:
-        h.unpersist()
+    sets = sss.groupBy("id").agg(*[F.max(F.when(F.col("repeat") == r, (F.col("set") == "train").cast("int"))).alias(f"s{r}") for r in range(n_inner)])
+    rows = train.select("id", "x", "y").join(sets, "id").select(
+        "x", "y", F.array(*[f"s{r}" for r in range(n_inner)]).alias("sets")).transform(retain)
+    with ThreadPoolExecutor(max_workers=n_inner) as pool:
+        fitted = list(pool.map(lambda r: dn.denoise_fit(rows.where(F.col("sets")[r] == 1)), range(n_inner)))
+    folds = [pf.Fold(r, f.order, f.mean, f.scale, w) for r, (f, w) in enumerate(zip(fitted, pf.train_weights(rows, n_inner)))]
+    preds = pf.score_prefixes(rows, folds, pf.fit_prefixes(rows, folds, grid, ln.LOGISTIC_C))
+    out = write_shared(rank.rank_sum_test(preds, "p", "y", ["fold", "m"]).select("fold", "m", "auc"), "inner-scores")
+    rows.unpersist()
     return out
 
 
+def chosen_size(spark, train) -> int:
+    """TK6 of ML10: the feature count chosen on the training rows (id, x, y) alone."""
+    return int(dn.best_size(inner_selection(spark, train)).first()["m_opt"])
+
+
 def _inner_scores(spark, sf_dir):
-    """The (fold, m, auc) table of the training split, shared by ML9 and ML10
-    within a session (grid of 8 sizes for the registered runs; the library
-    default is the 90-point grid)."""
+    """The (fold, m, auc) table of the training split over the 90-point grid,
+    shared by ML9 and ML10 within a session."""
     def build():
         tr, _ = _split(spark, sf_dir)
-        return inner_selection(spark, tr, grid_points=8)
+        return inner_selection(spark, tr)
     return fx.shared(spark, sf_dir, "inner_selection_scores", build)
 
 
