@@ -8,6 +8,7 @@ pandas UDFs.  They are applied only to the final, per-group result rows
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,48 +33,82 @@ def normal_two_sided_p(z: Column | str) -> Column:
     return _two_sided_normal(z)
 
 
-def signed_rank_exact_p(w_plus: float, n: int) -> float:
-    """Exact two-sided p of the Wilcoxon signed-rank statistic (no ties, no zeros).
+#: Largest samples whose p is exact; the normal approximation takes over beyond.
+EXACT_SIGNED, EXACT_RANK_SUM = 50, 40
 
-    Dynamic programme over the 2^n sign assignments' rank sums; n is the
-    number of paired splits (tens), so this stays tiny.
-    """
-    if n <= 0:
-        return float("nan")
-    total = n * (n + 1) // 2
-    counts = np.zeros(total + 1, dtype=float)
+
+def _two_sided(counts: np.ndarray, seen: int) -> float:
+    """Twice the smaller tail of a null distribution at ``seen``, at most 1."""
+    return float(min(1.0, 2.0 * min(counts[:seen + 1].sum(), counts[seen:].sum()) / counts.sum()))
+
+
+@lru_cache(maxsize=4096)
+def signed_rank_null(ranks: tuple[int, ...]) -> np.ndarray:
+    """Number of sign assignments by the sum of the positive ones among ``ranks`` (ranks
+    doubled, so that tied ones are whole numbers)."""
+    counts = np.zeros(sum(ranks) + 1)
     counts[0] = 1.0
-    for r in range(1, n + 1):
-        prev = counts.copy()
-        counts[r:] += prev[:-r]
-    counts /= counts.sum()
-    w = min(w_plus, total - w_plus)
-    p = 2.0 * counts[: int(math.floor(w)) + 1].sum()
-    return float(min(1.0, p))
+    for r in ranks:
+        counts[r:] += counts[:len(counts) - r].copy()
+    return counts
+
+
+@lru_cache(maxsize=4096)
+def rank_sum_null(ties: tuple[int, ...], n_pos: int) -> np.ndarray:
+    """Number of choices of ``n_pos`` of the values by their sum of doubled average
+    ranks; ``ties``: how many values are equal, in order of the values."""
+    n = sum(ties)
+    counts = np.zeros((n_pos + 1, 2 * n * n_pos + 1))
+    counts[0, 0] = 1.0
+    before = 0
+    for t in ties:
+        rank = 2 * before + t + 1
+        new = counts.copy()
+        for k in range(1, min(t, n_pos) + 1):
+            new[k:, k * rank:] += math.comb(t, k) * counts[:-k, :counts.shape[1] - k * rank]
+        counts, before = new, before + t
+    return counts[n_pos]
 
 
 @F.pandas_udf(DoubleType())
-def _signed_rank_p(w_plus: pd.Series, w_minus: pd.Series, n: pd.Series, tie_term: pd.Series) -> pd.Series:
+def _signed_rank_p(w_plus: pd.Series, w_minus: pd.Series, ranks: pd.Series) -> pd.Series:
     out = []
-    for wp, wm, k, tie in zip(w_plus, w_minus, n, tie_term):
-        if k is None or pd.isna(k) or k == 0:
+    for wp, wm, r in zip(w_plus, w_minus, ranks):
+        k = 0 if r is None else len(r)
+        if not k:
             out.append(np.nan)
-            continue
-        k = int(k)
-        w = min(wp, wm)
-        if k <= 50 and tie == 0:
-            out.append(signed_rank_exact_p(w, k))
+        elif k <= EXACT_SIGNED:
+            out.append(_two_sided(signed_rank_null(tuple(int(x) for x in r)), round(2 * wp)))
         else:
-            mu = k * (k + 1) / 4.0
-            variance = (k * (k + 1) * (2 * k + 1) - tie / 2.0) / 24.0
-            out.append(min(1.0, math.erfc(abs(w - mu) / math.sqrt(2.0 * variance))))
+            half = np.asarray(r, float) / 2.0
+            out.append(min(1.0, math.erfc(abs(min(wp, wm) - half.sum() / 2.0) / math.sqrt(2.0 * (half @ half) / 4.0))))
     return pd.Series(out, dtype=float)
 
 
-def signed_rank_p(w_plus: str, w_minus: str, n: str, tie_term: str = "tie_term") -> Column:
-    """Two-sided Wilcoxon signed-rank p from W+, W-, the non-zero pair count and
-    the tie term (sum of t^3 - t over runs of equal absolute differences).
+def signed_rank_p(w_plus: str, w_minus: str, ranks: str) -> Column:
+    """Two-sided Wilcoxon signed-rank p from W+, W- and the doubled ranks of the
+    non-zero differences (one per split).
+
+    Exact, with ties, for up to ``EXACT_SIGNED`` differences, otherwise the normal
+    approximation with the variance of the tied ranks."""
+    return _signed_rank_p(F.col(w_plus), F.col(w_minus), F.col(ranks))
+
+
+@F.pandas_udf(DoubleType())
+def _rank_sum_p(n: pd.Series, n_pos: pd.Series) -> pd.Series:
+    out = []
+    for ties, pos in zip(n, n_pos):
+        ties, pos = np.asarray(ties, int), np.asarray(pos, int)
+        chosen = int(pos.sum())
+        if not 0 < chosen < ties.sum():
+            out.append(np.nan)
+            continue
+        ranks = 2 * (np.cumsum(ties) - ties) + ties + 1
+        out.append(_two_sided(rank_sum_null(tuple(ties.tolist()), chosen), int(pos @ ranks)))
+    return pd.Series(out, dtype=float)
+
 
-    Exact distribution for n <= 50 without ties, otherwise the normal
-    approximation with tie-corrected variance."""
-    return _signed_rank_p(F.col(w_plus), F.col(w_minus), F.col(n), F.col(tie_term))
+def rank_sum_exact_p(n: Column, n_pos: Column) -> Column:
+    """Exact two-sided rank-sum p from the counts of the distinct values in order: all
+    rows and positive rows of each; missing where a class is empty."""
+    return _rank_sum_p(n, n_pos)

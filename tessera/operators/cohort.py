@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
+from tessera.operators import rank
 
 ROLES = ("active", "inactive", "screen")
 
@@ -134,6 +135,32 @@ def recovery_alignment(archived: DataFrame, source: DataFrame, key: str = "key",
         F.count_if(F.col(score) < cutoff).alias("n_below_cutoff"))
 
 
+def _places(df: DataFrame, key: str, id_col: str, n: str, at: str) -> DataFrame:
+    """The place (from 0) of every row among those of its key by id, and their number;
+    counted by ranges, so a frequent key is no single task."""
+    counted = rank.prefix_sums(df.where(F.col(key).isNotNull()).withColumn("_one", F.lit(1)), [key], ["_one"], order_col=id_col)
+    return counted.select(*df.columns, F.col("cum__one").alias(at), F.col("tot__one").alias(n))
+
+
+def align_rows(archived: DataFrame, archived_id: str, source: DataFrame, source_id: str, key: str = "key",
+               score: str = "score", cutoff: float = 0.7) -> DataFrame:
+    """JN8: every archived row with its source row, one to one.
+
+    Within a key both sides are paired in order of their ids.  ``matched``: one row
+    on both sides; ``ambiguous``: more on a side (a surplus archived row has no
+    source row); ``unmatched``: no source row, or a missing key.  ``below_cutoff``
+    lists the candidates whose score is below the cutoff."""
+    a = _places(archived, key, archived_id, "n_archived", "_at")
+    s = _places(source.select(key, source_id), key, source_id, "n_source", "_at")
+    first = s.where("_at = 0").select(key, "n_source")
+    keyless = archived.where(F.col(key).isNull()).withColumn("_at", F.lit(0).cast("long")).withColumn("n_archived", F.lit(1).cast("long"))
+    joined = a.unionByName(keyless).join(s.drop("n_source"), [key, "_at"], "left").join(first, key, "left")
+    status = (F.when(F.col("n_source").isNull(), "unmatched")
+              .when((F.col("n_source") == 1) & (F.col("n_archived") == 1), "matched").otherwise("ambiguous"))
+    return joined.select(*archived.columns, source_id, "n_archived", F.coalesce("n_source", F.lit(0).cast("long")).alias("n_source"),
+                         status.alias("status"), (F.col(score) < cutoff).alias("below_cutoff"))
+
+
 def point_lookup(queries: DataFrame, first_rows: DataFrame, key: str, id_col: str) -> DataFrame:
     """JN9: identity -> first row id (NULL when absent)."""
     return queries.join(first_rows.select(key, id_col), key, "left")

@@ -254,7 +254,8 @@ def paired_signed_rank(metrics: DataFrame, split: str, rung: str, metric: str,
         F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
         F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
         F.count(F.lit(1)).alias("n_nonzero"),
-        F.sum(F.col("t") * F.col("t") - 1).alias("tie_term"))  # sum of t^3 - t over the tied runs
+        F.sum(F.col("t") * F.col("t") - 1).alias("tie_term"),  # sum of t^3 - t over the tied runs
+        F.sort_array(F.collect_list((2 * F.col("r")).cast("int"))).alias("ranks"))  # doubled, one per split
     delta = d.groupBy(rung, metric).agg(F.avg("d").alias("delta"), F.count(F.lit(1)).alias("n_pairs"))
     return delta.join(ws, [rung, metric], "left").withColumn(
         "w_stat", F.least("w_plus", "w_minus"))

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from tessera.functions.frames import with_scalars
+from tessera.functions.stats import EXACT_RANK_SUM, normal_two_sided_p, rank_sum_exact_p
 from tessera.session import write_shared
 
 BUCKET = "_bucket"
@@ -133,6 +135,30 @@ def rank_test_from_counts(vc: DataFrame, groups: Sequence[str] = (),
             .drop("_r1"))
 
 
+def rank_sum_p(df: DataFrame, value: str, label: str, groups: Sequence[str] = (), exact_n: int = EXACT_RANK_SUM) -> DataFrame:
+    """AG7: U and its two-sided p per group: the exact permutation distribution, with
+    ties, for groups of up to ``exact_n`` rows, the tie-corrected normal approximation
+    beyond.  Columns: groups, n_pos, n_neg, u_pos, p_value, is_exact; p is missing
+    where a class is empty."""
+    groups = list(groups)
+    vc = value_counts(df, value, groups, label)
+    sizes = vc.groupBy(*groups).agg(F.sum("n").alias("_size"))
+    sized = join_null_safe(vc, sizes, groups) if groups else with_scalars(vc, sizes)
+    small, large = sized.where(F.col("_size") <= exact_n), sized.where(F.col("_size") > exact_n).drop("_size")
+    # at most exact_n values in a list
+    lists = small.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("v", "n", "n_pos"))).alias("c"),
+                                       F.sum("n_pos").alias("n_pos"), (F.sum("n") - F.sum("n_pos")).alias("n_neg")).where("size(c) > 0")
+    n, pos = F.col("c.n"), F.col("c.n_pos")
+    before = F.transform(F.sequence(F.lit(1), F.size("c")), lambda k: F.aggregate(F.slice(n, 1, k - 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    ranks = F.zip_with(F.zip_with(n, before, lambda t, b: b + (t + 1) / 2.0), pos, lambda r, k: r * k)
+    u = F.aggregate(ranks, F.lit(0.0), lambda a, x: a + x) - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
+    exact = lists.select(*groups, "n_pos", "n_neg", u.alias("u_pos"), rank_sum_exact_p(n, pos).alias("p_value"), F.lit(True).alias("is_exact"))
+    normal = rank_test_from_counts(large, groups).select(
+        *groups, "n_pos", "n_neg", "u_pos", normal_two_sided_p(F.greatest("z", F.lit(0.0))).alias("p_value"), F.lit(False).alias("is_exact"))
+    both = exact.unionByName(normal.where("n_pos IS NOT NULL"))
+    return both.withColumn("p_value", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("p_value")))
+
+
 def exact_quantile(df: DataFrame, value: str, groups: Sequence[str] = (), q: float = 0.5,
                    n_buckets: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantile per group (``median`` for q=0.5).

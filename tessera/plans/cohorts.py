@@ -212,6 +212,28 @@ def jn08_recovery_alignment(spark, sf_dir):
     return co.recovery_alignment(_archived(spark, sf_dir), _docs(spark, sf_dir), "key", "score", 0.7)
 
 
+@query("jn08_alignment_rows", with_(DOCS) + """
+, arch AS (
+  SELECT 'd' || doc_id AS archived_id, key, (doc_id % 10) / 10.0::DOUBLE AS score FROM docs UNION ALL
+  SELECT 'b' || item_id, sha256(lower(trim(text))), (item_id % 10) / 10.0::DOUBLE FROM benchmark),
+a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY archived_id) AS pos, count(*) OVER (PARTITION BY key) AS n_archived FROM arch),
+s AS (SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS pos FROM docs),
+c AS (SELECT key, count(*) AS n_source FROM docs GROUP BY key)
+SELECT a.archived_id, s.doc_id AS source_id, a.score, n_archived, coalesce(n_source, 0) AS n_source,
+       CASE WHEN n_source IS NULL THEN 'unmatched' WHEN n_source = 1 AND n_archived = 1 THEN 'matched' ELSE 'ambiguous' END AS status,
+       a.score < 0.7 AS below_cutoff
+FROM a LEFT JOIN s ON a.key = s.key AND a.pos = s.pos LEFT JOIN c ON a.key = c.key""")
+def jn08_alignment_rows(spark, sf_dir):
+    """JN8 as rows: every archived row with its source row, its status and whether it
+    is listed as a candidate below the cutoff."""
+    d = _docs(spark, sf_dir)
+    arch = d.select(F.concat(F.lit("d"), "doc_id").alias("archived_id"), "key", (F.pmod("doc_id", F.lit(10)) / 10.0).alias("score"))
+    b = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), "item_id").alias("archived_id"), identity_key("text").alias("key"), (F.pmod("item_id", F.lit(10)) / 10.0).alias("score"))
+    return co.align_rows(arch.unionByName(b), "archived_id", d.select("key", F.col("doc_id").alias("source_id")), "source_id", "key", "score", 0.7) \
+        .select("archived_id", "source_id", "score", "n_archived", "n_source", "status", "below_cutoff")
+
+
 @query("jn09_point_lookup", with_(DOCS) + """
 , firsts AS (SELECT key, min(doc_id) AS doc_id FROM docs GROUP BY key)
 SELECT b.item_id, f.doc_id FROM benchmark b LEFT JOIN firsts f ON sha256(lower(trim(b.text))) = f.key""")
@@ -245,7 +267,7 @@ def st01_inventory_difference(spark, sf_dir):
 
 def _doc_registry(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.coalesce("quality", F.lit(0)).alias("y"), "grp")
-    return sp.split_registry(d, "doc_id", "y", "grp", n_random=3)
+    return sp.split_registry(d, "doc_id", "y", "grp")
 
 
 def _st02_sql() -> str:
@@ -253,7 +275,7 @@ def _st02_sql() -> str:
     return with_(DOCS) + """
 , e AS (SELECT doc_id AS id, coalesce(quality, 0) AS y, grp FROM docs),
 reg AS (
-  SELECT printf('random_%02d', repeat) AS split_id, set, id FROM (""" + _sss_sql(3, 0.8) + """)
+  SELECT printf('random_%02d', repeat) AS split_id, set, id FROM (""" + _sss_sql(10, 0.8) + """)
   UNION ALL
   SELECT 'grouped_00', CASE WHEN """ + _h('grp') + """ % 5 = 0 THEN 'test' ELSE 'train' END, id FROM e),
 j AS (SELECT r.split_id, r.set, d.doc_id::VARCHAR AS i, d.key, d.grp FROM reg r JOIN docs d ON r.id = d.doc_id),

@@ -227,7 +227,7 @@ def ag34_split_summary(spark, sf_dir):
     return finish(ev.split_summary(_metric_frame(spark, sf_dir), ["model", "metric"]))
 
 
-@query("ag35_paired_signed_rank", _METRICS_CTE + ", " + _FRAME_SQL + f"""
+_SIGNED_SQL = _METRICS_CTE + ", " + _FRAME_SQL + f"""
 , base_rung AS (SELECT fold, metric, value AS bv FROM frame WHERE model = 'a'),
 d AS (SELECT f.model, f.metric, f.fold, f.value - b.bv AS d
       FROM frame f JOIN base_rung b ON f.fold = b.fold AND f.metric = b.metric WHERE f.model <> 'a'),
@@ -238,6 +238,10 @@ ws AS (SELECT model, metric, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w
               sum(CASE WHEN d < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus, count(*) AS n_nonzero
        FROM rk_abs GROUP BY ALL),
 dl AS (SELECT model, metric, avg(d) AS delta, count(*) AS n_pairs FROM d GROUP BY ALL)
+"""
+
+
+@query("ag35_paired_signed_rank", _SIGNED_SQL + """
 SELECT dl.model, dl.metric, round(delta, 6) AS delta, n_pairs, round(w_plus, 6) AS w_plus,
        round(w_minus, 6) AS w_minus, n_nonzero, round(least(w_plus, w_minus), 6) AS w_stat
 FROM dl LEFT JOIN ws USING (model, metric)""")
@@ -248,11 +252,22 @@ def ag35_paired_signed_rank(spark, sf_dir):
                            "n_nonzero", "w_stat"))
 
 
-@query("ag35_signed_rank_p")
+@query("ag35_signed_rank_p", _SIGNED_SQL + """
+, each AS (SELECT model, metric, r, row_number() OVER (PARTITION BY model, metric ORDER BY r) - 1 AS i,
+                  count(*) OVER (PARTITION BY model, metric) AS n FROM rk_abs),
+signs AS (SELECT model, metric, m, sum(CASE WHEN (m >> i::INTEGER) & 1 = 1 THEN r ELSE 0 END) AS w
+          FROM each JOIN (SELECT unnest(range(0, 32)) AS m) ON m < (1 << n::INTEGER) GROUP BY ALL),
+p AS (SELECT model, metric, avg((w <= w_plus)::INTEGER) AS lo, avg((w >= w_plus)::INTEGER) AS hi
+      FROM signs JOIN ws USING (model, metric) GROUP BY ALL),
+tie AS (SELECT model, metric, sum(c * c * c - c)::DOUBLE AS tie_term
+        FROM (SELECT model, metric, ad, count(*) AS c FROM nz GROUP BY ALL) GROUP BY ALL)
+SELECT dl.model, dl.metric, round(delta, 6) AS delta, n_pairs, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, n_nonzero,
+       round(tie_term, 6) AS tie_term, round(least(w_plus, w_minus), 6) AS w_stat, CASE WHEN lo IS NOT NULL THEN round(least(1.0, 2 * least(lo, hi)), 6) END AS p_value
+FROM dl LEFT JOIN ws USING (model, metric) LEFT JOIN p USING (model, metric) LEFT JOIN tie USING (model, metric)""")
 def ag35_signed_rank_p(spark, sf_dir):
-    """AG35 with p-values (exact for small n without ties; normal approximation otherwise)."""
+    """AG35 with p-values: exact, with ties, for few splits; normal approximation otherwise."""
     r = ev.paired_signed_rank(_metric_frame(spark, sf_dir), "fold", "model", "metric", "a")
-    return finish(r.withColumn("p_value", signed_rank_p("w_plus", "w_minus", "n_nonzero")))
+    return finish(r.withColumn("p_value", signed_rank_p("w_plus", "w_minus", "ranks")).drop("ranks"))
 
 
 @query("ag33_reliability_pooled", with_(SCORES) + f"""

@@ -33,7 +33,7 @@ def _sc03_sql() -> str:
     from tessera.plans.splits import _sss_sql
     return """
 WITH e AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y FROM embeddings)
-SELECT set, y, count(*) AS n FROM (""" + _sss_sql(3, 0.8) + """) WHERE repeat = 1 GROUP BY ALL"""
+SELECT set, y, count(*) AS n FROM (""" + _sss_sql(10, 0.8) + """) WHERE repeat = 1 GROUP BY ALL"""
 
 
 @query("sc03_registry_scan", _sc03_sql())
@@ -42,7 +42,7 @@ def sc03_registry_scan(spark, sf_dir):
     checkpoint folder, read back with partition pruning on one split."""
     raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"))
     e = fx.embeddings(spark, sf_dir).select("id", "y").join(raw, "id")
-    reg = sp.split_registry(e, "id", "y", "grp", n_random=3)
+    reg = sp.split_registry(e, "id", "y", "grp")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
     sinks.write_table(reg, path, partition_by=["split_id"])
     r = scans.split_registry_scan(spark, path, "random_01")

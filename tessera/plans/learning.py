@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
+from tessera.functions.stats import signed_rank_p
 from tessera.operators import denoise as dn
 from tessera.operators import evaluate as ev
 from tessera.operators import learn as ln
@@ -20,6 +21,7 @@ from tessera.operators import rank
 from tessera.operators import split as sp
 from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
+from tessera.plans.denoising import chosen_size
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 from tessera.session import retain
@@ -106,11 +108,11 @@ def ml05_forest_scores(spark, sf_dir):
 
 def _denoised_blocks(tr, te):
     """Denoise the wide block on training rows; add the selected and the
-    reconstructed-selected columns to both sides."""
-    fit_rows = tr.select(F.col("wide").alias("x"), "y")
+    reconstructed-selected columns to both sides.  Their number is chosen by
+    inner selection (ML10) on the training rows."""
+    fit_rows = tr.select("id", F.col("wide").alias("x"), "y")
     sel = dn.denoise_fit(fit_rows)
-    m = max(2, len(sel.order) // 3)
-    cols = sel.order[:m]
+    cols = sel.order[:chosen_size(tr.sparkSession, fit_rows)]
     out = []
     for d in (tr, te):
         rec = dn.reconstruct(d.withColumnRenamed("x", "_x_all").withColumnRenamed("wide", "x"),
@@ -144,16 +146,21 @@ def ml06_feature_ablation(spark, sf_dir):
         .select("variant", "auc", "average_precision", (F.col("variant") == F.col("_best")).alias("is_best")))
 
 
-def _registry_splits(spark, sf_dir, n_random=3):
+def _group():
+    """The group of an embedding: the index of its largest component."""
+    return F.array_position(F.col("x"), F.array_max("x"))
+
+
+def _registry_splits(spark, sf_dir):
     e = _blocks(spark, sf_dir)
-    reg = sp.split_registry(e.withColumn("grp", F.lit(0)), "id", "y", "grp", n_random=n_random)
-    return e, reg.where(F.col("split_id").startswith("random"))
+    return e, sp.split_registry(e.withColumn("grp", _group()), "id", "y", "grp")
 
 
 @query("ml07_calibration_ablation")
 def ml07_calibration_ablation(spark, sf_dir):
-    """ML7: rungs x splits -> calibration metrics (AG26-AG32), across-split
-    mean / sd (AG34) and the veto/fusion block; long (rung, metric) table.
+    """ML7: rungs x (10 random + 1 grouped) splits -> calibration metrics (AG26-AG32),
+    per scheme the across-split mean / sd (AG34), over the random splits the paired
+    signed-rank test against the structure rung (AG35), and the veto/fusion block.
 
     Each split's denoised blocks are built once (splits in parallel) and
     persisted for the six fits that read them; predictions are materialised
@@ -185,12 +192,17 @@ def ml07_calibration_ablation(spark, sf_dir):
     m = ev.confidence_metrics(preds.where(F.col("rung") != "denoised_only"), "p", "y", ["split_id", "rung"])
     cols = [c for c in m.columns if c not in ("split_id", "rung")]
     frame = m.unpivot(["split_id", "rung"], cols, "metric", "value")
-    return finish(ev.split_summary(frame.unionByName(_veto_block(preds)), ["rung", "metric"]))
+    scheme = F.regexp_extract("split_id", "^[a-z]+", 0)
+    every = frame.unionByName(_veto_block(preds)).withColumn("scheme", scheme)
+    paired = ev.paired_signed_rank(frame.where(F.col("split_id").startswith("random")), "split_id", "rung", "metric", "structure")
+    paired = paired.select(F.lit("random").alias("scheme"), "rung", "metric", "delta", "w_stat",
+                           signed_rank_p("w_plus", "w_minus", "ranks").alias("p_value"))
+    return finish(ev.split_summary(every, ["scheme", "rung", "metric"]).join(paired, ["scheme", "rung", "metric"], "left"))
 
 
 def _veto_block(preds):
     """ML7 veto / fusion block per split: structure score vs the product veto
-    and the mean fusion with the denoised scorer (rates at 0.5, AUC, matched
+    and the mean fusion with the denoised scorer (rates at 0.5, AUC, AP, Brier, matched
     precision at the veto's 0.7 coverage); long (split_id, rung, metric, value)."""
     w = preds.where(F.col("rung").isin("structure", "denoised_only")) \
         .groupBy("split_id", "id", "y").pivot("rung", ["structure", "denoised_only"]).agg(F.first("p"))
@@ -207,7 +219,11 @@ def _veto_block(preds):
     mp = ev.top_n_positives(lng, "p", "y", "id", nt, ["split_id", "model"]).select(
         "split_id", F.concat(F.lit("matched_precision_"), F.col("model")).alias("metric"),
         F.col("matched_precision").alias("value"))
-    out = rates.unionByName(auc).unionByName(mp)
+    ap = rank.average_precision(lng, "p", "y", ["split_id", "model"]).select(
+        "split_id", F.concat(F.lit("average_precision_"), F.col("model")).alias("metric"), F.col("average_precision").alias("value"))
+    brier = lng.groupBy("split_id", "model").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("value")).select(
+        "split_id", F.concat(F.lit("brier_"), F.col("model")).alias("metric"), "value")
+    out = rates.unionByName(auc).unionByName(mp).unionByName(ap).unionByName(brier)
     return out.select("split_id", F.lit("veto_block").alias("rung"), "metric", "value")
 
 
@@ -262,7 +278,7 @@ def ml15_two_model_blend(spark, sf_dir):
     """ML15: two OOF models, fixed 0.5 blend, best blend weight (AG40/TK2) and lift (AG41)."""
     folds = ln.assemble(sp.stratified_kfold(_blocks(spark, sf_dir), "id", "y", 5), ["x"])
     both = ln.cv_predictions_many(folds, "fold", {
-        "gbt": _gbt, "forest": lambda tr, te: ln.fit_forest(tr, te, n_trees=50)})
+        "gbt": _gbt, "forest": ln.fit_forest})
     a, b = both.where(F.col("model") == "gbt"), both.where(F.col("model") == "forest")
     grid = ln.blend_grid(a, b, 41)
     half = grid.where(F.col("w") == 0.5).select(F.col("metric").alias("auc_half_blend"))
@@ -309,8 +325,7 @@ def ml17_grouped_eval(spark, sf_dir):
     """ML17: as ML16 with group folds balanced in size and class; the group is the
     index of the largest embedding component (no group spans two folds)."""
     b = _blocks(spark, sf_dir)
-    grp = F.array_position(F.col("x"), F.array_max("x"))
-    folds = sp.balanced_group_kfold(b.withColumn("grp", grp), "grp", 5, label="y").drop("grp")
+    folds = sp.balanced_group_kfold(b.withColumn("grp", _group()), "grp", 5, label="y").drop("grp")
     return finish(_stack(spark, sf_dir, folds))
 
 

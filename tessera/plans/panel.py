@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import compare
+from tessera.operators import compare, rank
 from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.registry import query, r6
 from tessera.plans.sql_fixtures import PANEL_LONG, with_
+from tessera.sources.tables import table
 
 
 def _result(spark, sf_dir, with_p=True):
@@ -111,3 +112,23 @@ def ag07_rank_test(spark, sf_dir):
     st = compare.target_stats(compare.target_scan(fx.panel_long(spark, sf_dir)))
     return finish(st.select("target", F.col("n_active").alias("n_pos"), F.col("n_inactive").alias("n_neg"),
                             "tie_term", "u_pos", "u_neg", "z", "auc"))
+
+
+@query("ag07_small_sample_p", """
+WITH l AS (SELECT l_orderkey AS o, l_extendedprice AS v, (l_returnflag = 'R')::INTEGER AS y FROM lineitem),
+r AS (SELECT o, y, rank() OVER (PARTITION BY o ORDER BY v) + (count(*) OVER (PARTITION BY o, v) - 1) / 2.0 AS r,
+             row_number() OVER (PARTITION BY o ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY o) AS n,
+             sum(y) OVER (PARTITION BY o) AS n1 FROM l),
+seen AS (SELECT o, any_value(n) AS n, any_value(n1) AS n1, sum(r) FILTER (WHERE y = 1) AS w FROM r GROUP BY o),
+mask AS (SELECT unnest(range(0, 128)) AS m),
+w AS (SELECT r.o, m, sum(CASE WHEN (m >> i::INTEGER) & 1 = 1 THEN r ELSE 0 END) AS w
+      FROM r JOIN mask ON m < (1 << n::INTEGER) AND bit_count(m) = n1 WHERE n1 > 0 AND n1 < n GROUP BY r.o, m),
+p AS (SELECT w.o, avg((w.w <= s.w)::INTEGER) AS lo, avg((w.w >= s.w)::INTEGER) AS hi FROM w JOIN seen s USING (o) GROUP BY w.o)
+SELECT s.o AS order_key, n1::BIGINT AS n_pos, (n - n1)::BIGINT AS n_neg, round(coalesce(s.w, 0) - n1 * (n1 + 1) / 2.0, 6) AS u_pos,
+       CASE WHEN lo IS NOT NULL THEN round(least(1.0, 2 * least(lo, hi)), 6) END AS p_value, true AS is_exact
+FROM seen s LEFT JOIN p USING (o)""")
+def ag07_small_sample_p(spark, sf_dir):
+    """AG7 with exact p: per order, the prices of its returned lines against the others'."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_extendedprice").alias("v"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return finish(rank.rank_sum_p(li, "v", "y", ["order_key"]))

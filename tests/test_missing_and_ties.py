@@ -71,11 +71,13 @@ def test_signed_rank_with_ties(spark):
     rows = [(k, "base", "auc", 0.0) for k in range(5)] + [(k, "x", "auc", v) for k, v in enumerate(d)]
     r = evaluate.paired_signed_rank(spark.createDataFrame(rows, "split int, rung string, metric string, value double"),
                                     "split", "rung", "metric", "base")
-    r = r.withColumn("p", signed_rank_p("w_plus", "w_minus", "n_nonzero")).first()
+    r = r.withColumn("p", signed_rank_p("w_plus", "w_minus", "ranks")).first()
     ties = (2 ** 3 - 2) * 2
     assert (r["w_plus"], r["w_minus"], r["tie_term"]) == (10.5, 4.5, ties)
-    z = (4.5 - 7.5) / math.sqrt((5 * 6 * 11 - ties / 2) / 24)
-    assert r["p"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+    # exact: over the 32 sign assignments of the tied ranks
+    ranks = (1.5, 1.5, 3.0, 4.5, 4.5)
+    sums = [sum(r for k, r in enumerate(ranks) if m >> k & 1) for m in range(32)]
+    assert r["p"] == pytest.approx(2 * sum(w >= 10.5 for w in sums) / 32)
 
 
 def test_linear_regressor_is_ridge_with_alpha_one(spark):
