@@ -114,6 +114,47 @@ def sk02_manifest(spark, sf_dir):
     return sinks.manifest(spark, f"{sf_dir.rstrip('/')}/*.parquet")
 
 
+@query("sk02_verify_blocks")
+def sk02_verify_blocks(spark, sf_dir):
+    """SK2: the events exported twice, the second time with one value changed: per file
+    the status and the blocks that differ."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type").orderBy("event_id")
+    for name, kind in (("a", F.col("event_type")), ("b", F.when(F.col("event_id") == 100, F.upper("event_type")).otherwise(F.col("event_type")))):
+        ev.select(F.concat_ws(",", "event_id", kind).alias("line")).coalesce(1).write.text(f"{root}/{name}")
+    # the writer's names hold a job id: the number of the part stays
+    def part(name):
+        found = sinks.block_manifest(spark, f"{root}/{name}/*.txt", block_bytes=4096)
+        return found.withColumn("file", F.regexp_extract("file", "^(part-[0-9]+)", 1))
+    return sinks.verify_blocks(part("b"), part("a"))
+
+
+@query("sk02_block_manifest")
+def sk02_block_manifest(spark, sf_dir):
+    """SK2: size, blocks and root digest of every table file of the dataset folder."""
+    return sinks.root_digests(sinks.block_manifest(spark, f"{sf_dir.rstrip('/')}/*.parquet"))
+
+
+_LINE = "CASE WHEN event_id % 77 = 0 THEN '' WHEN event_id % 50 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END"
+
+
+@query("sc07_quarantine", f"""
+WITH l AS (SELECT event_id, {_LINE} AS line FROM events)
+SELECT CASE WHEN trim(line) = '' THEN 'empty' WHEN NOT json_valid(line) THEN 'malformed'
+            WHEN try_cast(json_extract_string(line, '$.k') AS BIGINT) IS NULL THEN 'missing k' ELSE 'good' END AS reason,
+       count(*) AS n, sum(CASE WHEN json_valid(line) THEN try_cast(json_extract_string(line, '$.k') AS BIGINT) END)::BIGINT AS sum_k
+FROM l GROUP BY ALL""")
+def sc07_quarantine(spark, sf_dir):
+    """SC7: JSON lines written from the events, some cut or blank, read back into good
+    rows and rejects."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select(F.expr(_LINE).alias("line")).where("line IS NOT NULL").write.text(path)
+    good, rejected = scans.quarantine_scan(spark, path, "k bigint", required=["k"])
+    counts = rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("sum_k"))
+    kept = good.agg(F.count(F.lit(1)).alias("n"), F.sum("k").cast("bigint").alias("sum_k")).select(F.lit("good").alias("reason"), "n", "sum_k")
+    return kept.unionByName(counts)
+
+
 @query("sk04_provenance", """
 WITH c AS (
   SELECT 'labels' AS input, count(*) AS n_rows,

@@ -120,9 +120,9 @@ r AS (SELECT o, y, rank() OVER (PARTITION BY o ORDER BY v) + (count(*) OVER (PAR
              row_number() OVER (PARTITION BY o ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY o) AS n,
              sum(y) OVER (PARTITION BY o) AS n1 FROM l),
 seen AS (SELECT o, any_value(n) AS n, any_value(n1) AS n1, sum(r) FILTER (WHERE y = 1) AS w FROM r GROUP BY o),
-mask AS (SELECT unnest(range(0, 128)) AS m),
-w AS (SELECT r.o, m, sum(CASE WHEN (m >> i::INTEGER) & 1 = 1 THEN r ELSE 0 END) AS w
-      FROM r JOIN mask ON m < (1 << n::INTEGER) AND bit_count(m) = n1 WHERE n1 > 0 AND n1 < n GROUP BY r.o, m),
+mask AS (SELECT o, m FROM (SELECT o, n1, unnest(range(0, (1::BIGINT << n::INTEGER))) AS m FROM seen WHERE n1 > 0 AND n1 < n)
+         WHERE bit_count(m) = n1),
+w AS (SELECT r.o, m, sum(CASE WHEN (m >> i::INTEGER) & 1 = 1 THEN r ELSE 0 END) AS w FROM r JOIN mask USING (o) GROUP BY r.o, m),
 p AS (SELECT w.o, avg((w.w <= s.w)::INTEGER) AS lo, avg((w.w >= s.w)::INTEGER) AS hi FROM w JOIN seen s USING (o) GROUP BY w.o)
 SELECT s.o AS order_key, n1::BIGINT AS n_pos, (n - n1)::BIGINT AS n_neg, round(coalesce(s.w, 0) - n1 * (n1 + 1) / 2.0, 6) AS u_pos,
        CASE WHEN lo IS NOT NULL THEN round(least(1.0, 2 * least(lo, hi)), 6) END AS p_value, true AS is_exact

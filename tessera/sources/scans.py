@@ -11,9 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from tessera.functions.keys import normalise_key
+from tessera.session import write_shared
+from tessera.sources.tables import empty_files, file_uri
 
 # fixed values: alias lists of the stored prediction table, first present name wins
 SCORE_ALIASES = {
@@ -133,3 +136,34 @@ def parse_json_column(df: DataFrame, col: str, schema: str) -> DataFrame:
     parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
     return df.withColumn("_parsed", parsed).withColumn(
         "_malformed", F.col(col).isNotNull() & F.col("_parsed").isNull())
+
+
+def quarantine_scan(spark: SparkSession, path: str, schema: str, fmt: str = "json", whole_files: bool = False,
+                    required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """SC1/SC6/SC7: files read once with a declared schema, into good rows and rejects.
+
+    A record is a line, or a whole file (``whole_files``).  Good rows: path, stem and
+    the columns of ``schema``.  Rejects: path, stem, reason, raw; the reason is
+    ``empty`` (no text), ``malformed`` (does not parse as ``fmt``, "json" or "csv"),
+    ``missing <column>`` (the first required column without a value), or ``duplicate
+    stem`` (of whole files with one stem, the smallest path counts).  Every record is
+    on exactly one side; files without any byte are records, too."""
+    scan = spark.read.text(path, wholetext=whole_files, recursiveFileLookup=True)
+    text = scan.select(file_uri(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("raw"))
+    records = text.unionByName(empty_files(scan).withColumn("raw", F.lit("")))
+    full = f"{schema}, _corrupt_record string"
+    parse = {"json": F.from_json, "csv": F.from_csv}[fmt]
+    parsed = records.withColumn("row", parse("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    names = [f.name for f in T._parse_datatype_string(schema)]
+    reason = F.when(F.length(F.trim("raw")) == 0, "empty").when(F.col("row._corrupt_record").isNotNull() | F.col("row").isNull(), "malformed")
+    for c in required:
+        reason = reason.when(F.col(f"row.`{c}`").isNull(), f"missing {c}")
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^/.]*)?$", 1)
+    judged = parsed.select("path", stem.alias("stem"), "raw", reason.alias("reason"), "row")
+    if whole_files:
+        first = judged.where("reason IS NULL").groupBy("stem").agg(F.min("path").alias("_first"))
+        judged = judged.join(first, "stem", "left").withColumn(
+            "reason", F.coalesce("reason", F.when(F.col("path") != F.col("_first"), "duplicate stem")))
+    stored = write_shared(judged.select("path", "stem", "raw", "reason", "row"), "quarantine")
+    return (stored.where("reason IS NULL").select("path", "stem", *[F.col(f"row.`{c}`").alias(c) for c in names]),
+            stored.where("reason IS NOT NULL").select("path", "stem", "reason", "raw"))

@@ -3,12 +3,17 @@ checksums, JSON summary, run provenance."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import with_scalars
+from tessera.sources.tables import empty_files
 
 
 def preview(df: DataFrame, order: Sequence, k: int = 20) -> DataFrame:
@@ -50,6 +55,65 @@ def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return j.withColumn("status", status)
 
 
+#: Bytes of a block, and of the largest file whose content passes through a cell.
+BLOCK_BYTES, CELL_BYTES = 8 << 20, 256 << 20
+
+
+def block_manifest(spark: SparkSession, path_glob: str, block_bytes: int = BLOCK_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """SK2 for files of any size: (file, size, block, sha256), one row per block.
+
+    Files of up to ``cell_bytes`` are read by the binaryFile scan (the filter on the
+    length keeps larger contents out of it) and hashed by block in the JVM; the
+    blocks of a larger file are dealt out over the tasks, each of which reads its
+    byte range and nothing else.  The digests do not depend on the way.  An empty
+    file has one block."""
+    b = spark.read.format("binaryFile").load(path_glob)
+    named = b.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / block_bytes).cast("int"))
+    blocks = F.sequence(F.lit(0), n_blocks - 1)
+    digests = F.transform(blocks, lambda k: F.sha2(F.col("content").substr((k * block_bytes + 1).cast("int"), F.lit(block_bytes)), 256))
+    small = named.where(F.col("length") <= cell_bytes).select("file", F.col("length").alias("size"), F.posexplode(digests).alias("block", "sha256"))
+    large = named.where(F.col("length") > cell_bytes).select("path", "file", F.col("length").alias("size"), F.explode(blocks).alias("block")) \
+        .repartition("path", "block")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", r.pop("path")))
+                with system.open_input_file(path) as f:
+                    f.seek(r["block"] * block_bytes)
+                    r["sha256"] = hashlib.sha256(f.read(block_bytes)).hexdigest()
+            yield pa.RecordBatch.from_pylist(rows, schema=_BLOCKS)
+
+    hollow = empty_files(b).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.lit(0).cast("long").alias("size"),
+                                   F.lit(0).alias("block"), F.lit(hashlib.sha256().hexdigest()).alias("sha256"))
+    return small.unionByName(hollow).unionByName(large.mapInArrow(read, "file string, size long, block int, sha256 string"))
+
+
+_BLOCKS = pa.schema([("file", pa.string()), ("size", pa.int64()), ("block", pa.int32()), ("sha256", pa.string())])
+
+
+def root_digests(blocks: DataFrame) -> DataFrame:
+    """(file, size, n_blocks, root): root is the SHA-256 of the block digests in order."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block", "sha256"))), lambda b: b["sha256"])
+    return blocks.groupBy("file", "size").agg(F.count(F.lit(1)).alias("n_blocks"), F.sha2(F.array_join(ordered, ""), 256).alias("root"))
+
+
+def verify_blocks(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """SK2 verify by block: (file, status, n_blocks, changed): per file ok, changed,
+    missing or extra, and the numbers of its blocks that differ, are gone or are new."""
+    a = actual.select("file", "block", F.col("sha256").alias("_a"))
+    e = expected.select("file", "block", F.col("sha256").alias("_e"))
+    j = e.join(a, ["file", "block"], "full_outer")
+    same = F.coalesce(F.col("_a") == F.col("_e"), F.lit(False))
+    per = j.groupBy("file").agg(F.count("_e").alias("_n_e"), F.count("_a").alias("_n_a"), F.count(F.lit(1)).alias("n_blocks"),
+                                F.sort_array(F.collect_list(F.when(~same, F.col("block")))).alias("changed"))
+    status = (F.when(F.col("_n_a") == 0, "missing").when(F.col("_n_e") == 0, "extra")
+              .when(F.size("changed") == 0, "ok").otherwise("changed"))
+    return per.select("file", status.alias("status"), "n_blocks", "changed")
+
+
 def write_json_summary(df: DataFrame, path: str) -> None:
     """SK3: nested run summary as JSON (one struct per row)."""
     df.select(F.struct(*df.columns).alias("summary")).write.mode("overwrite").json(path)

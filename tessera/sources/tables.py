@@ -6,7 +6,8 @@ filters into the parquet scan, so callers select only what they use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -33,3 +34,15 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # noqa: BLE001 - no JVM plan behind this session
         return df
     return df.repartition(cores) if int(str(size)) <= SPREAD_BYTES else df
+
+
+def file_uri(path: Column) -> Column:
+    """One spelling of a file's URI."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def empty_files(scan: DataFrame) -> DataFrame:
+    """(path) of the files of a scan that hold no byte: Spark lists them, but makes no
+    split of them."""
+    listed = scan.sparkSession.createDataFrame([(p,) for p in scan.inputFiles()], "path string").select(file_uri(F.col("path")).alias("path"))
+    return listed.join(scan.select(file_uri(F.col("_metadata.file_path")).alias("path")).distinct(), "path", "left_anti")

@@ -1,4 +1,5 @@
 """Scans and sinks on small files written by the test (F-FILES)."""
+import hashlib
 import json
 import os
 import tempfile
@@ -78,3 +79,54 @@ def test_registry_partition_pruning(spark):
     r = scans.split_registry_scan(spark, d, "s1")
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and r.count() == 2
+
+
+def test_block_manifest_names_changed_blocks(spark):
+    d = tempfile.mkdtemp(prefix="tessera-blocks-")
+    body = {"big.bin": bytes(range(256)) * 40, "small.bin": b"abc", "none.bin": b"", "gone.bin": b"x" * 100}
+    for name, data in body.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    ranges = sinks.block_manifest(spark, f"{d}/*.bin", block_bytes=1000, cell_bytes=50)
+    cells = sinks.block_manifest(spark, f"{d}/*.bin", block_bytes=1000)
+    key = lambda r: (r["file"], r["size"], r["block"], r["sha256"])
+    want = sorted((n, len(b), k, hashlib.sha256(b[k * 1000:(k + 1) * 1000]).hexdigest())
+                  for n, b in body.items() for k in range(max(1, -(-len(b) // 1000))))
+    assert sorted(map(key, ranges.collect())) == sorted(map(key, cells.collect())) == want
+    stored = spark.createDataFrame(cells.collect(), cells.schema)
+    roots = {r["file"]: (r["n_blocks"], r["root"]) for r in sinks.root_digests(stored).collect()}
+    assert roots["big.bin"] == (11, hashlib.sha256("".join(w[3] for w in want if w[0] == "big.bin").encode()).hexdigest())
+    with open(os.path.join(d, "big.bin"), "r+b") as f:
+        f.seek(3500)
+        f.write(b"!!")
+        f.seek(0, 2)
+        f.write(b"tail" * 300)
+    os.replace(os.path.join(d, "gone.bin"), os.path.join(d, "new.bin"))
+    got = {r["file"]: (r["status"], list(r["changed"])) for r in sinks.verify_blocks(
+        sinks.block_manifest(spark, f"{d}/*.bin", block_bytes=1000), stored).collect()}
+    assert got == {"big.bin": ("changed", [3, 10, 11]), "small.bin": ("ok", []), "none.bin": ("ok", []),
+                   "gone.bin": ("missing", [0]), "new.bin": ("extra", [0])}
+
+
+def test_quarantine_of_whole_files(spark):
+    d = tempfile.mkdtemp(prefix="tessera-quarantine-")
+    files = {"a/m1.json": '{"metric": "auc",\n "value": 0.9}', "b/m1.json": '{"metric": "auc", "value": 0.1}', "a/m2.json": "{not json",
+             "a/m3.json": "", "a/m4.json": '{"value": 2}', "a/m5.json": " \n ", "b/m6.json": '{"metric": "f1", "value": 1.0}'}
+    for name, text in files.items():
+        os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    good, bad = scans.quarantine_scan(spark, d, "metric string, value double", whole_files=True, required=["metric"])
+    assert sorted((r["stem"], r["metric"], r["value"]) for r in good.collect()) == [("m1", "auc", 0.9), ("m6", "f1", 1.0)]
+    got = {r["path"][-9:]: (r["reason"], r["raw"]) for r in bad.collect()}
+    assert got == {k: (v, files[k]) for k, v in {"b/m1.json": "duplicate stem", "a/m2.json": "malformed", "a/m3.json": "empty",
+                                                 "a/m4.json": "missing metric", "a/m5.json": "empty"}.items()}
+
+
+def test_quarantine_of_csv_lines(spark):
+    d = tempfile.mkdtemp(prefix="tessera-csv-")
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write("1,2.5\n\n2,oops\n3,\n4,1.0\n")
+    good, bad = scans.quarantine_scan(spark, d, "id int, y double", fmt="csv", required=["y"])
+    assert sorted((r["id"], r["y"]) for r in good.collect()) == [(1, 2.5), (4, 1.0)]
+    assert sorted((r["reason"], r["raw"]) for r in bad.collect()) == [("empty", ""), ("malformed", "2,oops"), ("missing y", "3,")]
