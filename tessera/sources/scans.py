@@ -155,7 +155,7 @@ def quarantine_scan(spark: SparkSession, path: str, schema: str, fmt: str = "jso
     parse = {"json": F.from_json, "csv": F.from_csv}[fmt]
     parsed = records.withColumn("row", parse("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     names = [f.name for f in T._parse_datatype_string(schema)]
-    reason = F.when(F.length(F.trim("raw")) == 0, "empty").when(F.col("row._corrupt_record").isNotNull() | F.col("row").isNull(), "malformed")
+    reason = F.when(F.col("raw").rlike(r"^\s*$"), "empty").when(F.col("row._corrupt_record").isNotNull() | F.col("row").isNull(), "malformed")
     for c in required:
         reason = reason.when(F.col(f"row.`{c}`").isNull(), f"missing {c}")
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^/.]*)?$", 1)
