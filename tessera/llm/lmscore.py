@@ -162,9 +162,11 @@ WITH t AS (SELECT DISTINCT doc_id FROM (
              SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN toxic IS NULL THEN NULL WHEN quality = 1 THEN 'high' END AS d
              FROM labels) WHERE d = 'high' AND doc_id IS NOT NULL),
 docs AS (SELECT row_number() OVER () AS pos, doc_id, text, doc_id IN (SELECT doc_id FROM t) AS target FROM documents),
-chars AS (SELECT pos, target, unnest(range(1, length(text) + 1)) AS i, string_split(text, '') AS l FROM docs),
-grams AS (SELECT pos, target, CASE WHEN i > 2 THEN l[i-2] ELSE '' END AS a, CASE WHEN i > 1 THEN l[i-1] ELSE '' END AS b, l[i] AS c FROM chars),
-n AS (SELECT a, b, c, count(*) AS n_all, count(*) FILTER (WHERE target) AS n_t FROM grams GROUP BY ALL),
+lists AS (SELECT pos, target, string_split(text, '') AS l FROM docs WHERE length(text) > 0),
+chars AS (SELECT pos, target, unnest(l) AS c, unnest(list_concat([''], l[1:len(l) - 1])) AS b,
+                 unnest(list_concat(['', ''], l[1:greatest(len(l) - 2, 0)])) AS a FROM lists),
+grams AS (SELECT pos, target, a, b, c, count(*) AS k FROM chars WHERE c IS NOT NULL GROUP BY ALL),
+n AS (SELECT a, b, c, sum(k) AS n_all, coalesce(sum(k) FILTER (WHERE target), 0) AS n_t FROM grams GROUP BY ALL),
 abx AS (SELECT a, b, sum(n_all) AS x_all, sum(n_t) AS x_t FROM n GROUP BY ALL),
 bc AS (SELECT b, c, sum(n_all) AS bc_all, sum(n_t) AS bc_t FROM n GROUP BY ALL),
 bx AS (SELECT b, sum(n_all) AS bx_all, sum(n_t) AS bx_t FROM n GROUP BY ALL),
@@ -176,7 +178,8 @@ p2 AS (SELECT *, CASE WHEN bx_all > 0 THEN {w} * bc_all / bx_all + {v} * q_all E
               CASE WHEN bx_t > 0 THEN {w} * bc_t / bx_t + {v} * q_t ELSE q_t END AS r_t FROM p1),
 p3 AS (SELECT a, b, c, -ln(CASE WHEN x_all > 0 THEN {w} * n_all / x_all + {v} * r_all ELSE r_all END) AS l_all,
               -ln(CASE WHEN x_t > 0 THEN {w} * n_t / x_t + {v} * r_t ELSE r_t END) AS l_t FROM p2),
-m AS (SELECT pos, count(*) AS n_tokens, avg(l_t) AS l_t, avg(l_all) AS l_all FROM grams JOIN p3 USING (a, b, c) GROUP BY pos)
+m AS (SELECT pos, sum(k)::BIGINT AS n_tokens, sum(k * l_t) / sum(k) AS l_t, sum(k * l_all) / sum(k) AS l_all
+      FROM grams JOIN p3 USING (a, b, c) GROUP BY pos)
 SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(l_t, 6) AS loss_target, round(l_all, 6) AS loss_all,
        round(l_t - l_all, 6) + 0.0 AS score
 FROM docs LEFT JOIN m USING (pos)"""
