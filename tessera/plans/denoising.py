@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import denoise as dn
@@ -86,9 +85,9 @@ def ag11_noise_edge(spark, sf_dir):
 @query("ag11_spectrum")
 def ag11_spectrum(spark, sf_dir):
     """AG11: eigenvalues (descending) with the strict signal flag."""
-    sel, _ = _fit(spark, sf_dir)
-    s = sel.spectrum
-    rows = [(i + 1, float(v), bool(f)) for i, (v, f) in enumerate(zip(s.eigvals[::-1], s.signal[::-1]))]
+    tr, _ = _split(spark, sf_dir)
+    values, signal = dn.full_spectrum(*dn.correlation(dn.zscore_apply(tr, dn.zscore_fit(tr))))
+    rows = [(i + 1, float(v), bool(f)) for i, (v, f) in enumerate(zip(values, signal))]
     return finish(spark.createDataFrame(rows, "position int, eigenvalue double, is_signal boolean"))
 
 
@@ -116,11 +115,8 @@ def ag13_spearman(spark, sf_dir):
 def ag14_hybrid_order(spark, sf_dir):
     """AG14: hybrid score prior * |rho| and its order."""
     tr, _ = _split(spark, sf_dir)
-    stats = dn.zscore_fit(tr)
-    z = dn.zscore_apply(tr, stats)
-    corr, n = dn.correlation(z)
-    spec = dn.spectrum(corr, n)
-    return finish(dn.hybrid_order(spec.prior, dn.spearman_to_label(z.select("z", "y"), "z"), spark))
+    z = dn.zscore_apply(tr, dn.zscore_fit(tr))
+    return finish(dn.hybrid_order(dn.denoise_fit(tr).spectrum.prior, dn.spearman_to_label(z.select("z", "y"), "z"), spark))
 
 
 @query("tk01_top_features")
@@ -129,6 +125,51 @@ def tk01_top_features(spark, sf_dir):
     return ag14_hybrid_order(spark, sf_dir).orderBy(F.col("hybrid").desc(), "j").limit(15)
 
 
+_GIVEN = with_(EMB_LONG) + """
+, tr AS (SELECT * FROM emb_long WHERE is_train),
+pri AS (SELECT j, stddev_pop(value) AS prior FROM tr GROUP BY j),
+r AS (SELECT j, y, rank() OVER (PARTITION BY j ORDER BY value)
+                   + (count(*) OVER (PARTITION BY j, value) - 1) / 2.0 AS rx,
+             rank() OVER (PARTITION BY j ORDER BY y) + (count(*) OVER (PARTITION BY j, y) - 1) / 2.0 AS ry
+      FROM tr),
+rho AS (SELECT j, coalesce(abs(corr(rx, ry)), 0.0) AS abs_rho FROM r GROUP BY j),
+h AS (SELECT j::INTEGER AS j, prior, abs_rho, prior * abs_rho AS hybrid, row_number() OVER (ORDER BY prior * abs_rho DESC, j) AS position
+      FROM pri JOIN rho USING (j)),
+e AS (SELECT j::INTEGER AS j, prior, coalesce(sum(prior) OVER (ORDER BY prior DESC, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
+             / sum(prior) OVER () AS cum_share_before FROM pri)
+"""
+
+
+def _given_prior(spark, sf_dir):
+    """A prior that SQL can state: the spread of every feature over the training rows."""
+    tr, _ = _split(spark, sf_dir)
+    rows = dn.long_features(tr, "x", []).groupBy("j").agg(F.stddev_pop("value").alias("prior")).orderBy("j").collect()
+    return [r["prior"] for r in rows], tr
+
+
+@query("ag14_hybrid_order_given", _GIVEN + """
+SELECT j, round(prior, 6) AS prior, round(abs_rho, 6) AS abs_rho, round(hybrid, 6) AS hybrid, position::INTEGER AS position FROM h""")
+def ag14_hybrid_order_given(spark, sf_dir):
+    """AG14 on a given prior."""
+    prior, tr = _given_prior(spark, sf_dir)
+    return finish(dn.hybrid_order(prior, dn.spearman_to_label(tr.select("x", "y")), spark))
+
+
+@query("tk01_top_features_given", _GIVEN + """
+SELECT j, round(prior, 6) AS prior, round(abs_rho, 6) AS abs_rho, round(hybrid, 6) AS hybrid, position::INTEGER AS position
+FROM h WHERE position <= 15""")
+def tk01_top_features_given(spark, sf_dir):
+    """TK1 on a given prior: the 15 best features."""
+    return ag14_hybrid_order_given(spark, sf_dir).orderBy("position").limit(15)
+
+
+@query("ag17_energy_gate_given", _GIVEN + """
+SELECT j, round(prior, 6) AS prior, round(cum_share_before, 6) AS cum_share_before, cum_share_before < 0.98 AS kept FROM e""")
+def ag17_energy_gate_given(spark, sf_dir):
+    """AG17 on a given prior."""
+    return finish(dn.energy_gate(_given_prior(spark, sf_dir)[0], spark, 0.98))
+
+
 @query("ag15_reconstruction")
 def ag15_reconstruction(spark, sf_dir):
     """AG15: signal-subspace reconstruction of every row (training statistics)."""
@@ -262,4 +303,4 @@ def ml09_denoise_select(spark, sf_dir):
     out = spark.createDataFrame(rows, "position int, j int, selected boolean")
     s = sel.spectrum
     return finish(out.withColumn("m_opt", F.lit(m)).withColumn("lambda_plus", F.lit(s.lambda_plus))
-                  .withColumn("q", F.lit(s.q)).withColumn("n_signal", F.lit(int(np.sum(s.signal)))))
+                  .withColumn("q", F.lit(s.q)).withColumn("n_signal", F.lit(len(s.values))))
