@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tessera.operators.prefixfit import TREE, tree_sum
 from tessera.session import share
 
-BLOCK = 16
+BLOCK = 64
 TOLERANCE = 1e-11
 MAX_STEPS = 400
 

@@ -66,11 +66,6 @@ def ag10_correlation(spark, sf_dir):
     return finish(dn.correlation_frame(z))
 
 
-def _fit(spark, sf_dir):
-    tr, _ = _split(spark, sf_dir)
-    return dn.denoise_fit(tr), tr
-
-
 @query("ag11_noise_edge", with_(EMB_LONG) + """
 , n AS (SELECT count(DISTINCT id) AS n, count(DISTINCT j) AS p FROM emb_long WHERE is_train)
 SELECT n, p, round(p / n, 6) AS q, round(pow(1 + sqrt(p / n), 2), 6) AS lambda_plus FROM n""")
@@ -93,8 +88,8 @@ def ag11_spectrum(spark, sf_dir):
 
 @query("ag12_feature_prior")
 def ag12_feature_prior(spark, sf_dir):
-    sel, _ = _fit(spark, sf_dir)
-    rows = [(i, float(v)) for i, v in enumerate(sel.spectrum.prior)]
+    tr, _ = _split(spark, sf_dir)
+    rows = [(i, float(v)) for i, v in enumerate(dn.fit_signal(tr)[0].prior)]
     return finish(spark.createDataFrame(rows, "j int, prior double"))
 
 
@@ -116,7 +111,7 @@ def ag14_hybrid_order(spark, sf_dir):
     """AG14: hybrid score prior * |rho| and its order."""
     tr, _ = _split(spark, sf_dir)
     z = dn.zscore_apply(tr, dn.zscore_fit(tr))
-    return finish(dn.hybrid_order(dn.denoise_fit(tr).spectrum.prior, dn.spearman_to_label(z.select("z", "y"), "z"), spark))
+    return finish(dn.hybrid_order(dn.fit_signal(tr)[0].prior, dn.spearman_to_label(z.select("z", "y"), "z"), spark))
 
 
 @query("tk01_top_features")
@@ -173,9 +168,9 @@ def ag17_energy_gate_given(spark, sf_dir):
 @query("ag15_reconstruction")
 def ag15_reconstruction(spark, sf_dir):
     """AG15: signal-subspace reconstruction of every row (training statistics)."""
-    sel, _ = _fit(spark, sf_dir)
-    e = fx.embeddings(spark, sf_dir)
-    rec = dn.reconstruct(e, sel.spectrum, sel.mean, sel.scale)
+    tr, _ = _split(spark, sf_dir)
+    spec, _, mean, scale = dn.fit_signal(tr)
+    rec = dn.reconstruct(fx.embeddings(spark, sf_dir), spec, mean, scale)
     return finish(rec.select("id", F.aggregate("x_rec", F.lit(0.0), lambda a, v: a + v).alias("rec_sum")))
 
 
@@ -190,8 +185,8 @@ def ag16_block_sum(spark, sf_dir):
 @query("ag17_energy_gate")
 def ag17_energy_gate(spark, sf_dir):
     """AG17 (own definition): features kept up to 98 % of the prior mass."""
-    sel, _ = _fit(spark, sf_dir)
-    return finish(dn.energy_gate(sel.spectrum.prior, spark, 0.98))
+    tr, _ = _split(spark, sf_dir)
+    return finish(dn.energy_gate(dn.fit_signal(tr)[0].prior, spark, 0.98))
 
 
 @query("ag18_constant_filter", with_(EMB_LONG) + """
