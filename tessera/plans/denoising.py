@@ -228,11 +228,13 @@ def wn08_fold_order(spark, sf_dir):
     """WN8: feature order re-ranked inside each inner training fold."""
     tr, _ = _split(spark, sf_dir)
     sss = sp.stratified_shuffle(tr.select("id", "y"), "id", "y", 4, 0.7)
-    rows = []
-    for r in range(4):
+
+    def order(r):
         fit_ids = sss.where((F.col("repeat") == r) & (F.col("set") == "train")).select("id")
-        sel = dn.denoise_fit(tr.join(fit_ids, "id", "left_semi"))
-        rows += [(r, pos + 1, j) for pos, j in enumerate(sel.order)]
+        return dn.denoise_fit(tr.join(fit_ids, "id", "left_semi")).order
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = [(r, pos + 1, j) for r, found in enumerate(pool.map(order, range(4))) for pos, j in enumerate(found)]
     return spark.createDataFrame(rows, "fold int, position int, j int")
 
 
