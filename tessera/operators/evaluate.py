@@ -162,47 +162,64 @@ def calibration_bins(df: DataFrame, p: str, y: str, groups: Sequence[str],
 
 def confidence_metrics(df: DataFrame, p: str, y: str, groups: Sequence[str],
                        n_bins: int = 10, t_hi: float = 0.7, t_hi2: float = 0.9) -> DataFrame:
-    """AG26-AG32 (+AG19) per group.
+    """AG26-AG32 (+AG19) per group, from one ranked table of value counts.
 
-    One row-level pass aggregates per (group, bin); every calibration number
-    is then a sum over at most ``n_bins`` rows per group.  AUC comes from the
-    rank machinery and is joined on the group keys.  Rows with a missing score
-    or label are left out of every metric."""
+    Every number is a sum over the distinct clipped scores, taken per (group, bin)
+    in one pass that also adds up the rank statistic of the AUC (only with both
+    classes present).  Rows with a missing score or label are left out."""
     groups = list(groups)
-    df = scored_rows(df, p, y)
-    pc = clip_prob(p)
-    yy = F.col(y).cast("double")
-    rows = df.select(*groups, pc.alias("_p"), yy.alias("_y"), bin_index(pc, n_bins).alias("_bin"))
-    per_bin = rows.groupBy(*groups, "_bin").agg(
-        F.count(F.lit(1)).cast("double").alias("nb"), F.sum("_p").alias("sp"),
-        F.sum("_y").alias("sy"), F.sum(F.pow(F.col("_p") - F.col("_y"), 2)).alias("sse"),
-        F.sum(-(F.col("_y") * F.ln("_p") + (1 - F.col("_y")) * F.ln(1 - F.col("_p")))).alias("sll"),
-        F.sum(F.col("_p") * F.col("_p")).alias("spp"),
-        F.count_if(F.col("_p") >= t_hi).cast("double").alias("n70"),
-        F.sum(F.when(F.col("_p") >= t_hi, F.col("_y"))).alias("y70"),
-        F.count_if(F.col("_p") >= t_hi2).cast("double").alias("n90"),
-        F.sum(F.when(F.col("_p") >= t_hi2, F.col("_y"))).alias("y90"))
-    tot = per_bin.groupBy(*groups).agg(F.sum("nb").alias("_tn"), F.sum("sy").alias("_ty"))
-    j = join_on_groups(per_bin, tot, groups)
+    rows = scored_rows(df, p, y).select(*groups, clip_prob(p).alias("_p"), F.col(y).alias("_y"))
+    counts = rank.prefix_sums(rank.value_counts(rows, "_p", groups, "_y"), groups, ["n", "n_pos"])
+    v, n, k = F.col("v"), F.col("n").cast("double"), F.col("n_pos").cast("double")
+    below = (F.col("cum_n") - F.col("cum_n_pos")).cast("double")  # negatives with a smaller score
+    per_bin = counts.groupBy(*groups, bin_index("v", n_bins).alias("_bin")).agg(
+        F.sum(n).alias("nb"), F.sum(n * v).alias("sp"), F.sum(k).alias("sy"),
+        F.sum(k * F.pow(v - 1, 2) + (n - k) * v * v).alias("sse"),
+        F.sum(-(k * F.ln(v) + (n - k) * F.ln(1 - v))).alias("sll"), F.sum(n * v * v).alias("spp"),
+        *[F.sum(F.when(v >= t, n).otherwise(0.0)).alias(f"n{c}") for c, t in ((70, t_hi), (90, t_hi2))],
+        *[F.sum(F.when(v >= t, k)).alias(f"y{c}") for c, t in ((70, t_hi), (90, t_hi2))],
+        F.sum(k * (below + (n - k) / 2.0)).alias("u"),
+        F.first("tot_n").cast("double").alias("_tn"), F.first("tot_n_pos").cast("double").alias("_ty"))
     w = F.col("nb") / F.col("_tn")
     mp, oy, obar = F.col("sp") / F.col("nb"), F.col("sy") / F.col("nb"), F.col("_ty") / F.col("_tn")
-    m = j.groupBy(*groups).agg(
-        (F.sum("sse") / F.first("_tn")).alias("brier"),
-        (F.sum("sll") / F.first("_tn")).alias("log_loss"),
+    total, positive = F.first("_tn"), F.first("_ty")
+    return per_bin.groupBy(*groups).agg(
+        (F.sum("sse") / total).alias("brier"),
+        (F.sum("sll") / total).alias("log_loss"),
         F.sum(w * F.abs(mp - oy)).alias("ece"),
         F.sum(w * F.pow(mp - oy, 2)).alias("reliability"),
         F.sum(w * F.pow(oy - obar, 2)).alias("resolution"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum("spp") / F.first("_tn")
-                          - F.pow(F.sum("sp") / F.first("_tn"), 2))).alias("sharpness_std"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum("spp") / total - F.pow(F.sum("sp") / total, 2))).alias("sharpness_std"),
         F.try_divide(F.sum("y70"), F.sum("n70")).alias("precision_at_0_7"),
-        (F.sum("n70") / F.first("_tn")).alias("coverage_at_0_7"),
+        (F.sum("n70") / total).alias("coverage_at_0_7"),
         F.try_divide(F.sum("y90"), F.sum("n90")).alias("precision_at_0_9"),
-        (F.sum("n90") / F.first("_tn")).alias("coverage_at_0_9"),
-        (F.first("_ty") / F.first("_tn")).alias("base_rate"))
-    auc = rank.rank_sum_test(df.select(*groups, clip_prob(p).alias("_p"), F.col(y).alias("_y")),
-                             "_p", "_y", groups).select(*groups, "auc")
-    # AUC only when both classes are present
-    return join_on_groups(m, auc, groups, "left")
+        (F.sum("n90") / total).alias("coverage_at_0_9"),
+        (positive / total).alias("base_rate"),
+        F.try_divide(F.sum("u"), positive * (total - positive)).alias("auc"))
+
+
+def threshold_metrics(df: DataFrame, p: str, y: str, groups: Sequence[str], t: float = 0.5) -> DataFrame:
+    """AG19, AG20, AG22, AG25 per group from one ranked table of value counts: n_pos,
+    n_neg, auc, average_precision, tp, fp, tn, fn at ``p >= t``, and the threshold of the
+    best F1 (tie -> lower threshold).  Rows with a missing score or label are left
+    out; a metric that needs a class that is absent is missing."""
+    groups = list(groups)
+    c = rank.descending_counts(df, p, y, groups)
+    k, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
+    tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
+    pos_total, neg_total = F.col("pos_total"), F.col("neg_total")
+    f1 = F.try_divide(2 * tp, tp + fp + pos_total)
+    at = F.col("v") >= t
+    a = c.groupBy(*groups).agg(
+        F.first("pos_total").alias("n_pos"), F.first("neg_total").alias("n_neg"),
+        F.sum(k * (neg_total - fp + neg / 2.0)).alias("_u"),
+        F.sum(F.try_divide(k, pos_total) * tp / (tp + fp)).alias("average_precision"),
+        F.coalesce(F.max(F.when(at, F.col("tp"))), F.lit(0).cast("long")).alias("tp"),
+        F.coalesce(F.max(F.when(at, F.col("fp"))), F.lit(0).cast("long")).alias("fp"),
+        F.max(F.struct(f1.alias("f1"), (-F.col("v")).alias("neg_v"))).alias("_best"))
+    return a.select(*groups, "n_pos", "n_neg", F.try_divide(F.col("_u"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "average_precision",
+                    "tp", "fp", (F.col("n_neg") - F.col("fp")).alias("tn"), (F.col("n_pos") - F.col("tp")).alias("fn"),
+                    F.col("_best.f1").alias("f1_opt"), (-F.col("_best.neg_v")).alias("threshold_f1_opt"))
 
 
 def reliability_curve(df: DataFrame, p: str, y: str, groups: Sequence[str],

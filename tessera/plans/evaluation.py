@@ -364,10 +364,8 @@ FROM auc JOIN ap USING (fold, model) JOIN conf USING (fold, model)""")
 def ml20_replay(spark, sf_dir):
     """ML20: all metrics recomputed from a stored long prediction table, per (split, model)."""
     lng = _long(spark, sf_dir)
-    auc = rank.rank_sum_test(lng, "p", "y", G).select(*G, "n_pos", "n_neg", "auc")
-    ap = rank.average_precision(lng, "p", "y", G)
-    cf = ev.rates(ev.confusion(lng, "p", "y", G, 0.5)).select(*G, "tp", "fp", "tn", "fn", "fpr", "recall")
-    return finish(auc.join(ap, G).join(cf, G))
+    return finish(ev.rates(ev.threshold_metrics(lng, "p", "y", G, 0.5)).select(
+        *G, "n_pos", "n_neg", "auc", "average_precision", "tp", "fp", "tn", "fn", "fpr", "recall"))
 
 
 def _events_p(spark, sf_dir):
