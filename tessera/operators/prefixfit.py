@@ -49,7 +49,10 @@ class Fold:
 
 
 def tree_sum(parts: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Sums of array column ``vector`` per key, over a bucket of the tasks first."""
+    """Sums of array column ``vector`` per key; with more than ``TREE`` cores, so that
+    many parts, over a bucket of the tasks first."""
+    if parts.sparkSession.sparkContext.defaultParallelism <= TREE:
+        return parts.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector(vector))).alias(vector))
     first = parts.groupBy(*keys, "bucket").agg(Summarizer.sum(array_to_vector(vector)).alias("s"))
     return first.groupBy(*keys).agg(vector_to_array(Summarizer.sum(F.col("s"))).alias(vector))
 

@@ -19,6 +19,7 @@ from tessera.operators import evaluate as ev
 from tessera.operators import learn as ln
 from tessera.operators import rank
 from tessera.operators import split as sp
+from tessera.operators.extratrees import fit_extra_trees
 from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.denoising import chosen_size
@@ -106,6 +107,13 @@ def ml05_forest_scores(spark, sf_dir):
     return finish(ln.fit_forest(ln.assemble(tr, ["x"]), ln.assemble(te, ["x"])))
 
 
+@query("ml05_extra_trees_scores")
+def ml05_extra_trees_scores(spark, sf_dir):
+    """ML5: extremely randomised trees' P(class 1) on the held-out fold."""
+    tr, te = _train_test(spark, sf_dir)
+    return finish(fit_extra_trees(ln.assemble(tr, ["x"]), ln.assemble(te, ["x"])))
+
+
 def _denoised_blocks(tr, te):
     """Denoise the wide block on training rows; add the selected and the
     reconstructed-selected columns to both sides.  Their number is chosen by
@@ -300,7 +308,7 @@ def _learners():
         "forest": ln.fit_forest,
         "logistic": ln.fit_logistic,
         "svc": ln.fit_linear_svc,
-        "gbt_deep": lambda tr, te: ln.fit_gbt(tr, te, max_iter=GBT_ITERS, max_depth=5),
+        "extra_trees": fit_extra_trees,
     }
 
 
@@ -347,7 +355,9 @@ def ml16_stack_regression(spark, sf_dir):
     folds = sp.hash_kfold(e.select("id", "y", "x"), "id", 5)
     learners = {"gbt": lambda tr, te: ln.fit_regressor(tr, te, "gbt", max_iter=GBT_ITERS),
                 "forest": lambda tr, te: ln.fit_regressor(tr, te, "forest"),
-                "linear": lambda tr, te: ln.fit_regressor(tr, te, "linear")}
+                "linear": lambda tr, te: ln.fit_regressor(tr, te, "linear"),
+                "extra_trees": fit_extra_trees,
+                "extra_trees_shallow": lambda tr, te: fit_extra_trees(tr, te, max_depth=5, seed=43)}
     oofs = ln.cv_predictions_many(ln.assemble(folds, ["x"]), "fold", learners)
     scores = ln.cv_score(oofs, task="regression")
     wide = oofs.groupBy("id", "y", "fold").pivot("model", list(learners)).agg(F.first("p"))
