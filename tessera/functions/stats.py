@@ -53,6 +53,11 @@ def signed_rank_null(ranks: tuple[int, ...]) -> np.ndarray:
     return counts
 
 
+def signed_rank_exact_p(w_plus: float, n: int) -> float:
+    """Exact two-sided p of W+ for n differences without ties or zeros."""
+    return _two_sided(signed_rank_null(tuple(range(2, 2 * n + 1, 2))), round(2 * w_plus)) if n > 0 else float("nan")
+
+
 @lru_cache(maxsize=4096)
 def rank_sum_null(ties: tuple[int, ...], n_pos: int) -> np.ndarray:
     """Number of choices of ``n_pos`` of the values by their sum of doubled average

@@ -65,6 +65,8 @@ def topk_neighbours(queries: DataFrame, refs: DataFrame, k: int = 1, exclude_sel
     than k overlapping references get fewer rows (callers pad)."""
     if strategy == "tiles":
         return setsearch.search(queries, refs, k, exclude_self, n_bits, part)
+    if strategy != "equijoin":
+        raise ValueError(f"unknown strategy {strategy!r}")
     pairs = _equijoin_pairs(queries, refs, exclude_self)
     sizes_q = queries.select("qid", F.size("bits").alias("nq"))
     sizes_r = refs.select("rid", F.size("bits").alias("nr"))

@@ -25,10 +25,10 @@ def test_anti_plus_semi_is_everything(spark):
     assert co.decontaminate(scr, lab).count() + co.member_of(scr, lab, "key").count() == scr.count()
 
 
-@pytest.mark.parametrize("ref_block", [8192, 50])
-def test_bitmap_and_equijoin_neighbours_agree(spark, ref_block):
+@pytest.mark.parametrize("part", [8192, 50])
+def test_tiles_and_equijoin_neighbours_agree(spark, part):
     q, r, _ = simq._sides(spark, SF_SMALL)
-    a = sm.topk_neighbours(q, r, 5, strategy="bitmap", ref_block=ref_block).select(
+    a = sm.topk_neighbours(q, r, 5, part=part).select(
         "qid", "rid", "nn_rank", F.round("sim", 12).alias("s"))
     b = sm.topk_neighbours(q, r, 5, strategy="equijoin").select("qid", "rid", "nn_rank",
                                                                  F.round("sim", 12).alias("s"))
