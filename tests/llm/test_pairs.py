@@ -143,7 +143,7 @@ def test_neighbour_recall_and_scores(spark):
 
 def test_neighbours_with_a_real_graph(spark, monkeypatch):
     """Leaves and buckets much smaller than the table: descent and search do the work."""
-    for name, value in {"LEAF": 64, "TABLES": 3, "BUCKET": 128, "BEAM": 64, "BEAM_EXPAND": 16}.items():
+    for name, value in {"LEAF": 64, "TABLES": 3, "BLOCK": 128, "BEAM": 64, "ASKS": 16}.items():
         monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(9)
     x = rng.standard_normal((900, 12))
@@ -174,3 +174,37 @@ def test_neighbours_of_awkward_rows(spark):
     assert (got[(got["query_id"] == 0)]["vec_id"] == 0).sum() == 2
     assert 903 not in set(got["vec_id"]) and 901 not in set(got["vec_id"])
     assert ann.nearest(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_neighbours_in_a_group_of_near_copies_larger_than_leaves(spark, monkeypatch):
+    """A third of all vectors are near copies, several leaves of them; recall by class of query."""
+    for name, value in {"LEAF": 64, "BLOCK": 64, "BEAM": 96, "ASKS": 32}.items():
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 24))
+    x[::3] = x[0] + 0.05 * rng.standard_normal((500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df["vec_id"] % 20 == 0, k=10).toPandas()
+    recall = {True: [], False: []}
+    for q, group in got.groupby("query_id"):
+        scores = x @ x[q]
+        want = sorted((v for v in range(1500) if v != q), key=lambda v: (-scores[v], v))[:10]
+        recall[q % 3 == 0].append(len(set(want) & set(group["vec_id"])) / 10)
+    assert len(recall[True]) == 25 and len(recall[False]) == 50
+    assert np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9
+
+
+def test_rows_sent_per_node_do_not_grow(spark, monkeypatch):
+    """A node sends at most one row per edge, whatever the number of nodes and however often it is listed."""
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    monkeypatch.setattr(ann, "REVERSE", 4)
+    for n in (40, 400):
+        # every node lists node 1 (a hub) and its two successors
+        ids = [(k << ann.PLACE - 3) + 1 for k in range(n)]
+        state = [(ids[k], np.array([ids[0], ids[(k + 1) % n], ids[(k + 2) % n]], np.int64).tobytes(),
+                  np.array([0.9, 0.8, 0.7]).tobytes(), bytes(3), b"\0" * 12) for k in range(1, n)]
+        state.append((ids[0], np.array(ids[1:4], np.int64).tobytes(), np.array([0.9, 0.8, 0.7]).tobytes(), bytes(3), b"\0" * 12))
+        sent = ann.pushes(spark.createDataFrame(state, ann.STATE), 3).toPandas()
+        assert sent.groupby("id").size().max() <= 3 + 4
+        assert sum(len(a) // 4 for a in sent[sent["id"] == ids[0]]["at"]) <= 3 + 4
