@@ -64,16 +64,20 @@ def block_manifest(spark: SparkSession, path_glob: str, block_bytes: int = BLOCK
 
     Files of up to ``cell_bytes`` are read by the binaryFile scan (the filter on the
     length keeps larger contents out of it) and hashed by block in the JVM; the
-    blocks of a larger file are dealt out over the tasks, each of which reads its
-    byte range and nothing else.  The digests do not depend on the way.  An empty
+    blocks of a larger file are dealt out over the tasks in ranges, each of which is
+    read once and nothing else.  The digests do not depend on the way.  An empty
     file has one block."""
     b = spark.read.format("binaryFile").load(path_glob)
     named = b.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / block_bytes).cast("int"))
     blocks = F.sequence(F.lit(0), n_blocks - 1)
-    digests = F.transform(blocks, lambda k: F.sha2(F.col("content").substr((k * block_bytes + 1).cast("int"), F.lit(block_bytes)), 256))
+    # the content as a lambda variable: as a column it is copied whole out of its row for every block
+    digests = F.transform(F.array("content"), lambda c: F.transform(
+        blocks, lambda k: F.sha2(c.substr((k * block_bytes + 1).cast("int"), F.lit(block_bytes)), 256)))[0]
     small = named.where(F.col("length") <= cell_bytes).select("file", F.col("length").alias("size"), F.posexplode(digests).alias("block", "sha256"))
-    large = named.where(F.col("length") > cell_bytes).select("path", "file", F.col("length").alias("size"), F.explode(blocks).alias("block")) \
+    together = max(1, BLOCK_BYTES // block_bytes)  # blocks of one range: small ones are read together
+    large = named.where(F.col("length") > cell_bytes).select(
+        "path", "file", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0), n_blocks - 1, F.lit(together))).alias("block")) \
         .repartition("path", "block")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +87,10 @@ def block_manifest(spark: SparkSession, path_glob: str, block_bytes: int = BLOCK
                 system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", r.pop("path")))
                 with system.open_input_file(path) as f:
                     f.seek(r["block"] * block_bytes)
-                    r["sha256"] = hashlib.sha256(f.read(block_bytes)).hexdigest()
-            yield pa.RecordBatch.from_pylist(rows, schema=_BLOCKS)
+                    held = memoryview(f.read(together * block_bytes))
+                yield pa.RecordBatch.from_pylist([
+                    r | {"block": r["block"] + k, "sha256": hashlib.sha256(held[k * block_bytes:(k + 1) * block_bytes]).hexdigest()}
+                    for k in range(-(-len(held) // block_bytes))], schema=_BLOCKS)
 
     hollow = empty_files(b).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.lit(0).cast("long").alias("size"),
                                    F.lit(0).alias("block"), F.lit(hashlib.sha256().hexdigest()).alias("sha256"))

@@ -2,7 +2,9 @@
 import hashlib
 import json
 import os
+import random
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,19 @@ def test_block_manifest_names_changed_blocks(spark):
                    "gone.bin": ("missing", [0]), "new.bin": ("extra", [0])}
 
 
+def test_small_blocks_of_one_file_take_linear_time(spark):
+    d = tempfile.mkdtemp(prefix="tessera-blocks-")
+    data = random.Random(3).randbytes(48 << 20)
+    with open(os.path.join(d, "one.bin"), "wb") as f:
+        f.write(data)
+    want = {k: hashlib.sha256(data[k * 4096:(k + 1) * 4096]).hexdigest() for k in range(len(data) // 4096)}
+    for cell in (sinks.CELL_BYTES, 1 << 20):
+        start = time.monotonic()
+        got = {r["block"]: r["sha256"] for r in sinks.block_manifest(spark, f"{d}/*.bin", block_bytes=4096, cell_bytes=cell).collect()}
+        assert got == want
+        assert time.monotonic() - start < 30  # a copy of the file per block: 590 GB
+
+
 def test_quarantine_of_whole_files(spark):
     d = tempfile.mkdtemp(prefix="tessera-quarantine-")
     files = {"a/m1.json": '{"metric": "auc",\n "value": 0.9}', "b/m1.json": '{"metric": "auc", "value": 0.1}', "a/m2.json": "{not json",
