@@ -152,8 +152,9 @@ def cv_predictions_many(df: DataFrame, fold_col: str, fitters: dict[str, Fitter]
                         threads: int = 8) -> DataFrame:
     """Out-of-fold predictions of several learners: all (learner, fold) fits
     are independent, so they share one thread pool and one persisted input."""
-    # every fit reads the same assembled rows: compute their lineage once
-    df = df.transform(retain)
+    # every fit reads the same assembled rows: compute their lineage once.  Each pass of a tree
+    # learner shuffles its histograms once per partition, whatever the rows: no more than cores
+    df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism).transform(retain)
     folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
     tasks = []
     for model, fitter in fitters.items():
