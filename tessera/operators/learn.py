@@ -32,6 +32,14 @@ RIDGE_ALPHA = 1.0
 #: Rows of a partition of small training sets: an iterative fit is hundreds of jobs, each of
 #: which pays for every task.
 FIT_ROWS = 4096
+#: Numbers in a row of such a set; wider rows get more partitions.
+FIT_WIDTH = 64
+
+
+def in_few(df: DataFrame, n_rows: int, width: int = FIT_WIDTH) -> DataFrame:
+    """Persisted rows that many small jobs read, in a partition per ``FIT_ROWS`` rows of
+    ``FIT_WIDTH`` numbers; larger inputs keep their partitions."""
+    return df.coalesce(max(1, -(-n_rows * width // (FIT_ROWS * FIT_WIDTH))))
 
 
 def assemble(df: DataFrame, arrays: Sequence[str], out: str = "features") -> DataFrame:
@@ -158,7 +166,7 @@ def cv_predictions_many(df: DataFrame, fold_col: str, fitters: dict[str, Fitter]
     # every fit reads the same assembled rows: compute their lineage once.  Each pass of a tree
     # learner shuffles its histograms once per partition, whatever the rows: no more than cores
     df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism).transform(retain)
-    kept, df = df, df.coalesce(max(1, -(-df.count() // FIT_ROWS)))
+    kept, df = df, in_few(df, df.count())
     folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
     tasks = []
     for model, fitter in fitters.items():

@@ -255,14 +255,14 @@ def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4):
     grid = _sizes(spark, int(p), grid_points)
     sss = sp.stratified_shuffle(train.select("id", "y"), "id", "y", n_inner, 0.7)
     sets = sss.groupBy("id").agg(*[F.max(F.when(F.col("repeat") == r, (F.col("set") == "train").cast("int"))).alias(f"s{r}") for r in range(n_inner)])
-    rows = train.select("id", "x", "y").join(sets, "id").select(
+    kept = train.select("id", "x", "y").join(sets, "id").select(
         "x", "y", F.array(*[f"s{r}" for r in range(n_inner)]).alias("sets")).transform(retain)
-    with ThreadPoolExecutor(max_workers=n_inner) as pool:
-        fitted = list(pool.map(lambda r: dn.denoise_fit(rows.where(F.col("sets")[r] == 1)), range(n_inner)))
+    rows = ln.in_few(kept, kept.count(), int(p))
+    fitted = dn.denoise_fits(rows, n_inner)
     folds = [pf.Fold(r, f.order, f.mean, f.scale, w) for r, (f, w) in enumerate(zip(fitted, pf.train_weights(rows, n_inner)))]
     preds = pf.score_prefixes(rows, folds, pf.fit_prefixes(rows, folds, grid, ln.LOGISTIC_C))
     out = write_shared(rank.rank_sum_test(preds, "p", "y", ["fold", "m"]).select("fold", "m", "auc"), "inner-scores")
-    rows.unpersist()
+    kept.unpersist()
     return out
 
 

@@ -9,6 +9,8 @@ Boosted trees run up to 400 iterations and stop early on their held-out tenth.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from tessera.plans.common import finish
 from tessera.plans.denoising import chosen_size
 from tessera.plans.registry import query
 from tessera.sources.tables import table
-from tessera.session import retain
+from tessera.session import drop_shared, retain, write_shared
 
 GBT_ITERS = 400
 BASE, EXTRA6, WIDE = list(range(0, 32)), list(range(32, 38)), list(range(38, 64))
@@ -119,8 +121,10 @@ def _denoised_blocks(tr, te):
     reconstructed-selected columns to both sides.  Their number is chosen by
     inner selection (ML10) on the training rows."""
     fit_rows = tr.select("id", F.col("wide").alias("x"), "y")
-    sel = dn.denoise_fit(fit_rows)
-    cols = sel.order[:chosen_size(tr.sparkSession, fit_rows)]
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        size = pool.submit(chosen_size, tr.sparkSession, fit_rows)
+        sel = dn.denoise_fit(fit_rows)
+        cols = sel.order[:size.result()]
     out = []
     for d in (tr, te):
         rec = dn.reconstruct(d.withColumnRenamed("x", "_x_all").withColumnRenamed("wide", "x"),
@@ -178,38 +182,46 @@ def calibration_ablation(spark, sf_dir, n_random=10):
     per scheme the across-split mean / sd (AG34), over the random splits the paired
     signed-rank test against the structure rung (AG35), and the veto/fusion block.
 
-    Each split's denoised blocks are built once (splits in parallel) and
-    persisted for the six fits that read them; predictions are materialised
-    before the blocks are released."""
-    from concurrent.futures import ThreadPoolExecutor
+    The registry is stored once, each split's rows and denoised blocks are persisted
+    (splits in parallel) for the steps and the six fits that read them.  Predictions are
+    stored before the blocks are released: what follows neither recomputes nor plans the
+    fits again."""
     e, reg = _registry_splits(spark, sf_dir, n_random)
+    reg = write_shared(reg.select("split_id", "id", "set"), "registry")
     splits = [r[0] for r in reg.select("split_id").distinct().orderBy("split_id").collect()]
+    cores = spark.sparkContext.defaultParallelism
 
     def blocks(s):
-        part = e.join(reg.where(F.col("split_id") == s).select("id", "set"), "id")
-        tr, te = part.where(F.col("set") == "train"), part.where(F.col("set") == "test")
-        tr, te = _denoised_blocks(tr, te)
-        return s, tr.transform(retain), te.transform(retain)
+        part = e.join(reg.where(F.col("split_id") == s).select("id", "set"), "id").transform(retain)
+        rows = ln.in_few(part, part.count())
+        both = _denoised_blocks(rows.where(F.col("set") == "train"), rows.where(F.col("set") == "test"))
+        kept = [d.select("id", "y", "base", "extra6", "wide", "sel", "rec").transform(retain) for d in both]
+        tr, te = [ln.in_few(d, d.count()) for d in kept]
+        part.unpersist()
+        return s, tr, te, kept
 
     with ThreadPoolExecutor(max_workers=len(splits) or 1) as pool:
         per_split = list(pool.map(blocks, splits))
     tasks = []
-    for s, tr, te in per_split:
+    for s, tr, te, _ in per_split:
         for v, c in RUNGS:
             tasks.append(({"split_id": s, "rung": v},
                           (lambda c=c, tr=tr, te=te: _gbt(ln.assemble(tr, c), ln.assemble(te, c)))))
         tasks.append(({"split_id": s, "rung": "denoised_only"},
                       (lambda tr=tr, te=te: _gbt(ln.assemble(tr, ["rec"]), ln.assemble(te, ["rec"])))))
-    preds = ln.run_parallel(tasks).transform(retain)
-    preds.count()
-    for _, tr, te in per_split:
-        tr.unpersist()
-        te.unpersist()
-    m = ev.confidence_metrics(preds.where(F.col("rung") != "denoised_only"), "p", "y", ["split_id", "rung"])
+    preds = write_shared(ln.run_parallel(tasks).coalesce(cores), "ablation-scores")
+    for *_, kept in per_split:
+        for d in kept:
+            d.unpersist()
+    drop_shared(reg)
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        veto_rows = pool.submit(_veto_block, preds)
+        m = ev.confidence_metrics(preds.where(F.col("rung") != "denoised_only"), "p", "y", ["split_id", "rung"]).transform(retain)
+        veto_rows = veto_rows.result()
     cols = [c for c in m.columns if c not in ("split_id", "rung")]
     frame = m.unpivot(["split_id", "rung"], cols, "metric", "value")
     scheme = F.regexp_extract("split_id", "^[a-z]+", 0)
-    every = frame.unionByName(_veto_block(preds)).withColumn("scheme", scheme)
+    every = frame.unionByName(veto_rows).withColumn("scheme", scheme)
     paired = ev.paired_signed_rank(frame.where(F.col("split_id").startswith("random")), "split_id", "rung", "metric", "structure")
     paired = paired.select(F.lit("random").alias("scheme"), "rung", "metric", "delta", "w_stat",
                            signed_rank_p("w_plus", "w_minus", "ranks").alias("p_value"))
@@ -223,20 +235,23 @@ def _veto_block(preds):
     w = preds.where(F.col("rung").isin("structure", "denoised_only")) \
         .groupBy("split_id", "id", "y").pivot("rung", ["structure", "denoised_only"]).agg(F.first("p"))
     w = w.withColumn("veto", ev.veto("structure", "denoised_only")) \
-         .withColumn("mean_fusion", ev.mean_fusion("structure", "denoised_only"))
+         .withColumn("mean_fusion", ev.mean_fusion("structure", "denoised_only")).transform(retain)
     eff = ev.veto_effect(w, "structure", "veto", "y", ["split_id"], 0.5)
     rates = eff.unpivot(["split_id"], ["fpr_before", "fpr_after", "recall_before", "recall_after",
                                        "fpr_reduction_pct"], "metric", "value")
     lng = w.unpivot(["split_id", "id", "y"], ["structure", "veto", "mean_fusion"], "model", "p")
-    auc = rank.rank_sum_test(lng, "p", "y", ["split_id", "model"]).select(
-        "split_id", F.concat(F.lit("auc_"), F.col("model")).alias("metric"), F.col("auc").alias("value"))
     n_top = w.groupBy("split_id").agg(F.count_if(F.col("veto") >= 0.7).alias("n_top"))
     nt = lng.select("split_id", "model").distinct().join(n_top, "split_id")
-    mp = ev.top_n_positives(lng, "p", "y", "id", nt, ["split_id", "model"]).select(
-        "split_id", F.concat(F.lit("matched_precision_"), F.col("model")).alias("metric"),
-        F.col("matched_precision").alias("value"))
-    ap = rank.average_precision(lng, "p", "y", ["split_id", "model"]).select(
-        "split_id", F.concat(F.lit("average_precision_"), F.col("model")).alias("metric"), F.col("average_precision").alias("value"))
+    keys = ["split_id", "model"]
+    # each ranks the scores in jobs of its own
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        auc, mp, ap = (f.result() for f in [pool.submit(rank.rank_sum_test, lng, "p", "y", keys),
+                                            pool.submit(ev.top_n_positives, lng, "p", "y", "id", nt, keys),
+                                            pool.submit(rank.average_precision, lng, "p", "y", keys)])
+    auc = auc.select("split_id", F.concat(F.lit("auc_"), F.col("model")).alias("metric"), F.col("auc").alias("value"))
+    mp = mp.select("split_id", F.concat(F.lit("matched_precision_"), F.col("model")).alias("metric"),
+                   F.col("matched_precision").alias("value"))
+    ap = ap.select("split_id", F.concat(F.lit("average_precision_"), F.col("model")).alias("metric"), F.col("average_precision").alias("value"))
     brier = lng.groupBy("split_id", "model").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("value")).select(
         "split_id", F.concat(F.lit("brier_"), F.col("model")).alias("metric"), "value")
     out = rates.unionByName(auc).unionByName(mp).unionByName(ap).unionByName(brier)
