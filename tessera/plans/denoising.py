@@ -19,7 +19,7 @@ from tessera.plans import fixtures as fx
 from tessera.plans.common import finish
 from tessera.plans.registry import query
 from tessera.plans.sql_fixtures import EMB_LONG, with_
-from tessera.session import retain, write_shared
+from tessera.session import drop_shared, retain, write_shared
 
 
 def _split(spark, sf_dir):
@@ -255,14 +255,17 @@ def inner_selection(spark, train, grid_points: int = 90, n_inner: int = 4):
     grid = _sizes(spark, int(p), grid_points)
     sss = sp.stratified_shuffle(train.select("id", "y"), "id", "y", n_inner, 0.7)
     sets = sss.groupBy("id").agg(*[F.max(F.when(F.col("repeat") == r, (F.col("set") == "train").cast("int"))).alias(f"s{r}") for r in range(n_inner)])
-    kept = train.select("id", "x", "y").join(sets, "id").select(
-        "x", "y", F.array(*[f"s{r}" for r in range(n_inner)]).alias("sets")).transform(retain)
+    # stored, then persisted: some twenty jobs read the rows, and none plans the shuffles again
+    stored = write_shared(train.select("id", "x", "y").join(sets, "id").select(
+        "x", "y", F.array(*[f"s{r}" for r in range(n_inner)]).alias("sets")), "inner-rows")
+    kept = stored.transform(retain)
     rows = ln.in_few(kept, kept.count(), int(p))
     fitted = dn.denoise_fits(rows, n_inner)
     folds = [pf.Fold(r, f.order, f.mean, f.scale, w) for r, (f, w) in enumerate(zip(fitted, pf.train_weights(rows, n_inner)))]
     preds = pf.score_prefixes(rows, folds, pf.fit_prefixes(rows, folds, grid, ln.LOGISTIC_C))
     out = write_shared(rank.rank_sum_test(preds, "p", "y", ["fold", "m"]).select("fold", "m", "auc"), "inner-scores")
     kept.unpersist()
+    drop_shared(stored)
     return out
 
 

@@ -182,9 +182,9 @@ def calibration_ablation(spark, sf_dir, n_random=10):
     per scheme the across-split mean / sd (AG34), over the random splits the paired
     signed-rank test against the structure rung (AG35), and the veto/fusion block.
 
-    The registry is stored once, each split's rows and denoised blocks are persisted
-    (splits in parallel) for the steps and the six fits that read them.  Predictions are
-    stored before the blocks are released: what follows neither recomputes nor plans the
+    The registry is stored once, each split's rows are persisted and its denoised blocks
+    stored (splits in parallel) for the steps and the six fits that read them.  Predictions
+    are stored before the blocks are dropped: what follows neither recomputes nor plans the
     fits again."""
     e, reg = _registry_splits(spark, sf_dir, n_random)
     reg = write_shared(reg.select("split_id", "id", "set"), "registry")
@@ -195,7 +195,7 @@ def calibration_ablation(spark, sf_dir, n_random=10):
         part = e.join(reg.where(F.col("split_id") == s).select("id", "set"), "id").transform(retain)
         rows = ln.in_few(part, part.count())
         both = _denoised_blocks(rows.where(F.col("set") == "train"), rows.where(F.col("set") == "test"))
-        kept = [d.select("id", "y", "base", "extra6", "wide", "sel", "rec").transform(retain) for d in both]
+        kept = [write_shared(d.select("id", "y", "base", "extra6", "wide", "sel", "rec"), "ablation-set") for d in both]
         tr, te = [ln.in_few(d, d.count()) for d in kept]
         part.unpersist()
         return s, tr, te, kept
@@ -210,10 +210,7 @@ def calibration_ablation(spark, sf_dir, n_random=10):
         tasks.append(({"split_id": s, "rung": "denoised_only"},
                       (lambda tr=tr, te=te: _gbt(ln.assemble(tr, ["rec"]), ln.assemble(te, ["rec"])))))
     preds = write_shared(ln.run_parallel(tasks).coalesce(cores), "ablation-scores")
-    for *_, kept in per_split:
-        for d in kept:
-            d.unpersist()
-    drop_shared(reg)
+    drop_shared(reg, *[d for *_, kept in per_split for d in kept])
     with ThreadPoolExecutor(max_workers=1) as pool:
         veto_rows = pool.submit(_veto_block, preds)
         m = ev.confidence_metrics(preds.where(F.col("rung") != "denoised_only"), "p", "y", ["split_id", "rung"]).transform(retain)
