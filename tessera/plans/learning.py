@@ -168,13 +168,9 @@ def _registry_splits(spark, sf_dir, n_random):
     return e, sp.split_registry(e.withColumn("grp", _group()), "id", "y", "grp", n_random=n_random)
 
 
-#: Random splits of the registered run; the protocol has 10 (see the README for its time).
-REGISTERED_SPLITS = 3
-
-
 @query("ml07_calibration_ablation")
 def ml07_calibration_ablation(spark, sf_dir):
-    return calibration_ablation(spark, sf_dir, REGISTERED_SPLITS)
+    return calibration_ablation(spark, sf_dir)
 
 
 def calibration_ablation(spark, sf_dir, n_random=10):

@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import denoise as dn
@@ -42,6 +43,23 @@ def test_metrics_read_stored_predictions(spark, tmp_path, monkeypatch):
     assert got["random", "+wide", "auc"]["delta"] == 0.0 and got["random", "structure", "auc"]["mean"] == got["random", "veto_block", "auc_structure"]["mean"]
 
 
+def test_registered_query_runs_the_whole_protocol(spark, tmp_path, monkeypatch):
+    _rows(spark, tmp_path, 100)
+    seen, splits = [], learning._registry_splits
+
+    class Seen(Exception):
+        pass
+
+    def registry(*args):
+        _, reg = splits(*args)
+        seen.extend(sorted(r[0] for r in reg.select("split_id").distinct().collect()))
+        raise Seen
+    monkeypatch.setattr(learning, "_registry_splits", registry)
+    with pytest.raises(Seen):
+        learning.ml07_calibration_ablation(spark, str(tmp_path))
+    assert seen == ["grouped_00"] + [f"random_{k:02d}" for k in range(10)]
+
+
 def test_denoise_fits_share_passes(spark, monkeypatch):
     seen, spectrum = [], dn.signal_spectrum
     monkeypatch.setattr(dn, "signal_spectrum", lambda rows, *a: (seen.append(rows.rdd.getNumPartitions()), spectrum(rows, *a))[1])
