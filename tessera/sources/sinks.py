@@ -34,12 +34,37 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     w.save(path)
 
 
-def manifest(spark: SparkSession, path_glob: str) -> DataFrame:
-    """SK2: per file name, size and SHA-256 of the content (binaryFile scan)."""
+#: Bytes of the largest file that the manifest takes in a cell: a task holds it several times over.
+FILE_BYTES = 64 << 20
+
+
+def manifest(spark: SparkSession, path_glob: str, cell_bytes: int = FILE_BYTES) -> DataFrame:
+    """SK2: per file name, size and SHA-256 of the content.
+
+    Files of up to ``cell_bytes`` are hashed by the binaryFile scan; a larger one, of any
+    size, is read by its task as a stream (the filter on the length keeps its content out of
+    the scan).  The digest of a file is sequential: files are dealt out, not their parts."""
     b = spark.read.format("binaryFile").load(path_glob)
-    name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    return b.select(name.alias("file"), F.col("length").alias("size"),
-                    F.sha2(F.col("content"), 256).alias("sha256"))
+    name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1).alias("file")
+    size = F.col("length").alias("size")
+    small = b.where(F.col("length") <= cell_bytes).select(name, size, F.sha2(F.col("content"), 256).alias("sha256"))
+    large = b.where(F.col("length") > cell_bytes).select("path", name, size)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                local = re.match("file:/+(.*)", path := r.pop("path"), re.DOTALL)
+                system, path = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(path) as f:
+                    while held := f.read(BLOCK_BYTES):
+                        digest.update(held)
+                yield pa.RecordBatch.from_pylist([r | {"sha256": digest.hexdigest()}], schema=_FILES)
+
+    return small.unionByName(large.mapInArrow(read, "file string, size long, sha256 string"))
+
+
+_FILES = pa.schema([("file", pa.string()), ("size", pa.int64()), ("sha256", pa.string())])
 
 
 def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:

@@ -83,6 +83,20 @@ def test_registry_partition_pruning(spark):
     assert "PartitionFilters" in plan and r.count() == 2
 
 
+def test_manifest_streams_large_files(spark, tmp_path):
+    import hashlib
+    held = {"a b%20.bin": b"x" * 3000, "c.bin": bytes(range(256)) * 20, "d.bin": b"small"}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+    longest = "spark.sql.sources.binaryFile.maxLength"  # 2 GB unless set: more does not fit in a cell
+    spark.conf.set(longest, 1000)
+    try:
+        got = sorted(map(tuple, sinks.manifest(spark, f"{tmp_path}/*.bin", cell_bytes=1000).collect()))
+    finally:
+        spark.conf.unset(longest)
+    assert got == sorted((n, len(c), hashlib.sha256(c).hexdigest()) for n, c in held.items())
+
+
 def test_block_manifest_names_changed_blocks(spark):
     d = tempfile.mkdtemp(prefix="tessera-blocks-")
     body = {"big.bin": bytes(range(256)) * 40, "small.bin": b"abc", "none.bin": b"", "gone.bin": b"x" * 100}
